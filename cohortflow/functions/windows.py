@@ -74,16 +74,19 @@ def _slice_expr(df: DataFrame, key: Column, slices: int, n: int, seed: int = 17)
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                cols: Sequence[str], descending: bool = False,
                inclusive: bool = True, out_prefix: str = "cum_",
-               slices: int | None = None, window_rows: int | None = None) -> DataFrame:
+               slices: int | None = None, window_rows: int | None = None,
+               n: int | None = None) -> DataFrame:
     """Add ``<out_prefix><c>`` = running sum of ``c`` within ``by`` ordered by ``order``.
 
-    ``inclusive=False`` gives the sum over strictly earlier rows.
+    ``inclusive=False`` gives the sum over strictly earlier rows. ``n`` is
+    the row count of ``df`` when the caller already knows it.
     """
     by, order, cols = list(by), list(order), list(cols)
     spark = df.sparkSession
     if window_rows is None:
         window_rows = int(spark.conf.get(WINDOW_ROWS_CONF, str(DEFAULT_WINDOW_ROWS)))
-    n = df.count()
+    if n is None:
+        n = df.count()
     if n <= window_rows:
         return window_prefix_sum(df, by, order, cols, descending, inclusive, out_prefix)
     if slices is None:

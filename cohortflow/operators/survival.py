@@ -34,13 +34,14 @@ def kaplan_meier(df: DataFrame, sch: SurvivalSchema = DEFAULT, by: Sequence[str]
     """
     by = list(by)
     ev = event_table(df, sch, by)
-    ev = prefix_sum(ev, by, [sch.time], ["c"], descending=True, out_prefix="_risk_")
+    n_ev = ev.count()  # one count decides the running-sum strategy for both passes
+    ev = prefix_sum(ev, by, [sch.time], ["c"], descending=True, out_prefix="_risk_", n=n_ev)
     ev = ev.withColumnRenamed("_risk_c", "n_at_risk")
     n = F.col("n_at_risk").cast("double")
     d = F.col("d").cast("double")
     ev = ev.withColumn("_lf", F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0))) \
            .withColumn("_z", F.when((d >= n) & (d > 0), F.lit(1)).otherwise(F.lit(0)))
-    ev = prefix_sum(ev, by, [sch.time], ["_lf", "_z"], out_prefix="_cum")
+    ev = prefix_sum(ev, by, [sch.time], ["_lf", "_z"], out_prefix="_cum", n=n_ev)
     s = F.when(F.col("_cum_z") > 0, F.lit(0.0)).otherwise(F.exp(F.col("_cum_lf")))
     return ev.select(*by, sch.time, F.col("n_at_risk").cast("bigint").alias("n_at_risk"),
                      F.col("d").cast("bigint").alias("d"), F.col("c").cast("bigint").alias("c"),

@@ -39,9 +39,29 @@ def split(df: DataFrame, seed: int = SEED, frac: float = TRAIN_FRAC) -> DataFram
     return sample.hash_split(df, "patient_id", frac, seed)
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def memo(key: tuple, build):
+    """Session-scoped memo of fitted state / materialised tables.
+
+    Keyed by the session, so a new session never sees stale files;
+    ``reset_memo`` drops everything (the bench does so between queries so
+    each query is timed from the parquet files on).
+    """
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def reset_memo() -> None:
+    _MEMO.clear()
+
+
 def split_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patient cohort with ``is_train``, written once to the checkpoint folder."""
-    return materialize(split(patient_cohort(spark, sf_dir)))
+    return memo(("split", id(spark), sf_dir),
+                lambda: materialize(split(patient_cohort(spark, sf_dir))))
 
 
 def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
