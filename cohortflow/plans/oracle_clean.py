@@ -77,3 +77,23 @@ CLEAN_CTES = [
 ]
 
 CLEAN_BASE = BASE + CLEAN_CTES
+
+
+def synth_sql(src: str, name: str) -> str:
+    """The five derived synthetic methods drawn from ``src`` (DuckDB)."""
+    return f"""{name} AS (
+  SELECT *, 'copy' AS method FROM {src} WHERE h % 2 = 0
+  UNION ALL BY NAME
+  SELECT * REPLACE (time * 1.25 + 0.5 AS time, mutation_count + 3 AS mutation_count), 'shift' AS method FROM {src}
+  UNION ALL BY NAME
+  SELECT * REPLACE (time * 0.6 AS time), 'short' AS method FROM {src}
+  UNION ALL BY NAME
+  SELECT * REPLACE (mutation_count + 0.37 AS mutation_count,
+                    CASE WHEN h % 10 = 0 THEN 1 - status ELSE status END AS status,
+                    CASE WHEN h % 71 = 0 THEN 1.25::DOUBLE ELSE fga END AS fga), 'noisy' AS method FROM {src}
+  UNION ALL BY NAME
+  SELECT * REPLACE (12.0::DOUBLE AS time), 'collapsed' AS method FROM {src}
+)"""
+
+
+CLEAN_SYN = CLEAN_BASE + [synth_sql("ctrain", "csyn")]

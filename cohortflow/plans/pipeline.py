@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators import clean
 from cohortflow.plans import cohort
 from cohortflow.schema import DEFAULT
+from cohortflow.session import materialize
 
 # Column roles of the derived cohort (FIXTURES.md §2), in the
 # reference's order of concerns: ids dropped, top-15 bucket, semantic clip,
@@ -106,5 +107,6 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     res.params["codes"] = codes
     res.params["categorical"] = cats
     df = clean.label_encode(df, codes, cats)
-    res.stages["encoded"] = df
+    # the clean cohort feeds every later operator: write it once
+    res.stages["encoded"] = materialize(df)
     return res
