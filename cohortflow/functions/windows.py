@@ -37,15 +37,17 @@ def _sort_exprs(order: Sequence[str], descending: bool) -> list[Column]:
 
 def window_prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                       cols: Sequence[str], descending: bool = False,
-                      inclusive: bool = True, out_prefix: str = "cum_") -> DataFrame:
+                      inclusive: bool = True, out_prefix: str = "cum_",
+                      next_col: str | None = None) -> DataFrame:
     """Plain-window running sum (callers bound the row count)."""
     frame_end = Window.currentRow if inclusive else -1
-    w = Window.orderBy(*_sort_exprs(order, descending))
+    w0 = Window.orderBy(*_sort_exprs(order, descending))
     if by:
-        w = Window.partitionBy(*by).orderBy(*_sort_exprs(order, descending))
-    w = w.rowsBetween(Window.unboundedPreceding, frame_end)
+        w0 = Window.partitionBy(*by).orderBy(*_sort_exprs(order, descending))
+    w = w0.rowsBetween(Window.unboundedPreceding, frame_end)
+    extra = [F.lead(order[0]).over(w0).alias(next_col)] if next_col else []
     return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{out_prefix}{c}")
-                            for c in cols])
+                            for c in cols], *extra)
 
 
 def _slice_expr(df: DataFrame, key: Column, slices: int, n: int, seed: int = 17) -> Column:
@@ -75,11 +77,12 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                cols: Sequence[str], descending: bool = False,
                inclusive: bool = True, out_prefix: str = "cum_",
                slices: int | None = None, window_rows: int | None = None,
-               n: int | None = None) -> DataFrame:
+               n: int | None = None, next_col: str | None = None) -> DataFrame:
     """Add ``<out_prefix><c>`` = running sum of ``c`` within ``by`` ordered by ``order``.
 
     ``inclusive=False`` gives the sum over strictly earlier rows. ``n`` is
-    the row count of ``df`` when the caller already knows it.
+    the row count of ``df`` when the caller already knows it. ``next_col``
+    also adds the next row's first order key (a lead that crosses slices).
     """
     by, order, cols = list(by), list(order), list(cols)
     spark = df.sparkSession
@@ -88,7 +91,7 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
     if n is None:
         n = df.count()
     if n <= window_rows:
-        return window_prefix_sum(df, by, order, cols, descending, inclusive, out_prefix)
+        return window_prefix_sum(df, by, order, cols, descending, inclusive, out_prefix, next_col)
     if slices is None:
         slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -100,21 +103,28 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
     frame_end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy("_slice", *by).orderBy(*_sort_exprs(order, descending))
                .rowsBetween(Window.unboundedPreceding, frame_end))
+    w_lead = Window.partitionBy("_slice", *by).orderBy(*_sort_exprs(order, descending))
+    extra = [F.lead(order[0]).over(w_lead).alias("_lead")] if next_col else []
     local = sliced.select(
-        "*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{c}") for c in cols])
+        "*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{c}") for c in cols], *extra)
 
-    totals = sliced.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    first = (F.max if descending else F.min)(order[0]).alias("_first")
+    totals = sliced.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols], first)
     if by:
         w_off = Window.partitionBy(*by).orderBy("_slice")
     else:
         # one row per slice: this window holds at most `slices` rows
         w_off = Window.orderBy("_slice")
     w_off = w_off.rowsBetween(Window.unboundedPreceding, -1)
+    w_next = (Window.partitionBy(*by) if by else Window).orderBy("_slice")
     offsets = totals.select(
         "_slice", *by,
-        *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in cols])
+        *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in cols],
+        F.lead("_first").over(w_next).alias("_next_first"))
 
     joined = local.join(offsets, on=["_slice", *by], how="inner")
+    extra_out = [F.coalesce(F.col("_lead"), F.col("_next_first")).alias(next_col)] if next_col else []
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{out_prefix}{c}") for c in cols])
+        *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{out_prefix}{c}") for c in cols],
+        *extra_out)

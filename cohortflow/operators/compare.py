@@ -95,3 +95,87 @@ def detection_verdict(auc: DataFrame, col: str = "auc") -> DataFrame:
                           .when(a < 0.6, F.lit("good"))
                           .when(a < 0.75, F.lit("borderline"))
                           .otherwise(F.lit("concerning")))
+
+
+def preflight(syn_all: DataFrame, real: DataFrame, sch: SurvivalSchema = DEFAULT,
+              method: str = "method", strict: bool = False) -> DataFrame:
+    """F16: per method a (check, severity, detail) table and a pass flag.
+
+    Rules: missing time/status -> fail; > 1 % null time or status -> warn;
+    times outside [0.5 lo, 2 hi] of real: > 10 % fail, else any -> warn;
+    q05..q95 spanning < 5 % of the real range -> fail (collapsed);
+    non-binary status after rounding -> warn; event-rate gap > 0.15 -> warn.
+    A failure blocks the metrics; warnings only under ``strict``.
+    """
+    spark = syn_all.sparkSession
+    missing = [c for c in (sch.time, sch.status) if c not in syn_all.columns]
+    if missing:
+        ms = syn_all.select(method).distinct()
+        return ms.select(method, F.lit("missing_column").alias("check"), F.lit("fail").alias("severity"),
+                         F.lit(",".join(missing)).alias("detail"), F.lit(False).alias("passed"))
+    rr = real.agg(F.min(sch.time).alias("r_lo"), F.max(sch.time).alias("r_hi"),
+                  F.avg(F.col(sch.status).cast("double")).alias("r_ev")).first()
+    r_lo, r_hi, r_ev = float(rr["r_lo"]), float(rr["r_hi"]), float(rr["r_ev"])
+    t = nan_null(F.col(sch.time).cast("double"))
+    s = nan_null(F.col(sch.status).cast("double"))
+    s_round = F.bround(s, 0)
+    s_clip = F.when(s_round < 0, 0.0).when(s_round > 1, 1.0).otherwise(s_round)
+    st = syn_all.groupBy(method).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(t.isNull()).alias("na_t"), F.count_if(s.isNull()).alias("na_s"),
+        F.count(t).alias("n_t"),
+        F.count_if(t < r_lo * 0.5).alias("n_below"), F.count_if(t > r_hi * 2.0).alias("n_above"),
+        F.percentile(t, F.lit(0.05)).alias("q05"), F.percentile(t, F.lit(0.95)).alias("q95"),
+        F.count_if(s.isNotNull() & ~s_round.isin(0.0, 1.0)).alias("n_nonbinary"),
+        F.avg(s_clip).alias("s_ev"))
+    oob = F.col("n_below") + F.col("n_above")
+    checks = F.array(
+        F.struct(F.lit("null_time").alias("check"),
+                 F.when(F.col("na_t") > 0.01 * F.col("n"), "warn").alias("severity"),
+                 F.format_string("%d/%d null", F.col("na_t"), F.col("n")).alias("detail")),
+        F.struct(F.lit("null_status").alias("check"),
+                 F.when(F.col("na_s") > 0.01 * F.col("n"), "warn").alias("severity"),
+                 F.format_string("%d/%d null", F.col("na_s"), F.col("n")).alias("detail")),
+        F.struct(F.lit("time_range").alias("check"),
+                 F.when(oob > 0.1 * F.col("n_t"), "fail").when(oob > 0, "warn").alias("severity"),
+                 F.format_string("%d below, %d above", F.col("n_below"), F.col("n_above")).alias("detail")),
+        F.struct(F.lit("time_collapsed").alias("check"),
+                 F.when(F.col("q95") - F.col("q05") < 0.05 * (r_hi - r_lo), "fail").alias("severity"),
+                 F.format_string("q05..q95 = %.3f..%.3f", F.col("q05"), F.col("q95")).alias("detail")),
+        F.struct(F.lit("status_binary").alias("check"),
+                 F.when(F.col("n_nonbinary") > 0, "warn").alias("severity"),
+                 F.format_string("%d non-binary", F.col("n_nonbinary")).alias("detail")),
+        F.struct(F.lit("event_rate").alias("check"),
+                 F.when(F.abs(F.col("s_ev") - r_ev) > 0.15, "warn").alias("severity"),
+                 F.format_string("real=%.3f syn=%.3f", F.lit(r_ev), F.col("s_ev")).alias("detail")),
+    )
+    long = st.select(method, F.explode(checks).alias("c")).select(method, "c.*")
+    long = long.withColumn("severity", F.coalesce("severity", F.lit("ok")))
+    bad = F.max(F.when(F.col("severity") == "fail", 1).when(
+        F.lit(strict) & (F.col("severity") == "warn"), 1).otherwise(0)).over(Window.partitionBy(method))
+    return long.withColumn("passed", bad == 0)
+
+
+def nan_null(c):
+    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+
+
+def resolve_aliases(metrics: DataFrame, aliases: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
+    """for every headline name the first non-null metric among its
+    candidates (lowest priority number). ``metrics``: (keys..., metric, value);
+    ``aliases``: (headline, metric, priority), a small literal table."""
+    j = metrics.where(F.col("value").isNotNull() & ~F.isnan("value")).join(F.broadcast(aliases), "metric")
+    return j.groupBy(*keys, "headline").agg(F.min_by("value", "priority").alias("value"),
+                                            F.min_by("metric", "priority").alias("source_metric"))
+
+
+def method_comparison(metrics: DataFrame, headline: Sequence[str], method: str = "method",
+                      vs: str = "vs") -> DataFrame:
+    """one row per method, ``<vs>__<metric>`` columns; headline metrics first.
+
+    A pivot over a known column list (no discovery pass)."""
+    m = metrics.withColumn("_col", F.concat(F.col(vs), F.lit("__"), F.col("metric")))
+    names = [r["_col"] for r in m.select("_col").distinct().orderBy("_col").collect()]
+    head = [n for h in headline for n in names if n.endswith("__" + h)]
+    rest = [n for n in names if n not in head]
+    wide = m.groupBy(method).pivot("_col", head + rest).agg(F.first("value"))
+    return wide.select(method, *head, *rest)

@@ -35,3 +35,238 @@ def mean_comparison(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Se
     return j.select(*by, "column", "real_mean", "syn_mean",
                     (F.abs(F.col("real_mean") - F.col("syn_mean")) / (F.abs(F.col("real_mean")) + 1e-8)
                      * 100.0).alias("rel_diff_pct"))
+
+
+# ---------------------------------------------------------------- F1, F7 ----
+
+def fit_bins(real: DataFrame, cols: Sequence[str], max_discrete: int = 20, n_bins: int = 10) -> DataFrame:
+    """(column, discrete, lo, hi): a column with at most ``max_discrete``
+    distinct real values is binned by value, else into ``n_bins`` equal-width
+    bins over the real [min, max]. One aggregation for all columns."""
+    st = stack(real, cols).groupBy("column").agg(
+        F.count_distinct("value").alias("nd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return st.select("column", (F.col("nd") <= max_discrete).alias("discrete"), "lo", "hi")
+
+
+def bin_value(value: Column, discrete: Column, lo: Column, hi: Column, n_bins: int = 10) -> Column:
+    """Bin id as double: the value itself (discrete) or a clamped equal-width bin."""
+    span = hi - lo
+    b = F.floor((value - lo) / span * n_bins)
+    b = F.when(span <= 0, F.lit(0)).otherwise(F.least(F.greatest(b, F.lit(0)), F.lit(n_bins - 1)))
+    return F.when(discrete, value).otherwise(b.cast("double"))
+
+
+def binned_frequencies(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
+                       max_discrete: int = 20, n_bins: int = 10) -> DataFrame:
+    """(by..., column, bin, p_real, p_syn, n_real, n_syn) over the union of bins, 0-filled."""
+    bins = F.broadcast(fit_bins(real, cols, max_discrete, n_bins))  # one row per column
+    def counts(df, keys):
+        s = stack(df, cols, keys).join(bins, "column")
+        s = s.withColumn("bin", bin_value(F.col("value"), F.col("discrete"), F.col("lo"), F.col("hi"), n_bins))
+        return s.groupBy(*keys, "column", "bin").agg(F.count(F.lit(1)).alias("n"))
+    r = counts(real, []).withColumnRenamed("n", "_cr")
+    s = counts(syn, list(by)).withColumnRenamed("n", "_cs")
+    r_tot = r.groupBy("column").agg(F.sum("_cr").alias("n_real"))
+    s_tot = s.groupBy(*by, "column").agg(F.sum("_cs").alias("n_syn"))
+    keys = s_tot.select(*by, "column")
+    r_k = r.join(keys, "column")  # real bins repeated once per (method, column) present
+    j = r_k.join(s, [*by, "column", "bin"], "full_outer")
+    j = j.join(r_tot, "column").join(s_tot, [*by, "column"])
+    return j.select(*by, "column", "bin",
+                    F.coalesce(F.col("_cr"), F.lit(0)).alias("c_real"),
+                    F.coalesce(F.col("_cs"), F.lit(0)).alias("c_syn"), "n_real", "n_syn")
+
+
+def jensen_shannon(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
+                   max_discrete: int = 20, n_bins: int = 10) -> DataFrame:
+    """per (by, column): JS distance sqrt(JSD), natural log; bins from the real table."""
+    f = binned_frequencies(real, syn, cols, by, max_discrete, n_bins)
+    p = F.col("c_real") / F.col("n_real")
+    q = F.col("c_syn") / F.col("n_syn")
+    m = (p + q) / 2.0
+    term = (F.when(p > 0, p * F.log(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log(q / m)).otherwise(0.0)) / 2.0
+    return (f.groupBy(*by, "column").agg(F.sum(term).alias("jsd"))
+            .select(*by, "column", F.sqrt(F.greatest(F.col("jsd"), F.lit(0.0))).alias("js_distance")))
+
+
+def inverse_kl(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
+               max_discrete: int = 20, n_bins: int = 10) -> DataFrame:
+    """per column 1 / (1 + KL(P_real || P_syn)) with add-one smoothing over the union of bins."""
+    f = binned_frequencies(real, syn, cols, by, max_discrete, n_bins)
+    k = F.count(F.lit(1)).over(Window.partitionBy(*by, "column"))
+    f = f.withColumn("_k", k)
+    p = (F.col("c_real") + 1.0) / (F.col("n_real") + F.col("_k"))
+    q = (F.col("c_syn") + 1.0) / (F.col("n_syn") + F.col("_k"))
+    return (f.groupBy(*by, "column").agg(F.sum(p * F.log(p / q)).alias("kl"))
+            .select(*by, "column", (1.0 / (1.0 + F.col("kl"))).alias("inv_kl")))
+
+
+# ---------------------------------------------------------------- F2-F4 -----
+
+def wasserstein_1d(real: DataFrame, syn: DataFrame, groups: Sequence[str], value: str = "value",
+                   by: Sequence[str] = ()) -> DataFrame:
+    """Exact W1 = integral |F - G| per group, from weighted distinct values.
+
+    ``groups`` key both sides (e.g. column, or status); ``by`` keys the
+    synthetic side only (method). Values are grouped first, so the running
+    sums run over distinct values with ``prefix_sum`` (no single task).
+    """
+    groups, by = list(groups), list(by)
+    keys = by + groups
+    s = syn.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ns"))
+    r = real.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("nr"))
+    pairs = s.select(*keys).distinct()
+    r = r.join(pairs, groups)
+    u = r.join(s, [*keys, value], "full_outer").select(
+        *keys, value, F.coalesce("nr", F.lit(0)).alias("nr"), F.coalesce("ns", F.lit(0)).alias("ns"))
+    tot = u.groupBy(*keys).agg(F.sum("nr").alias("_Nr"), F.sum("ns").alias("_Ns"))
+    u = prefix_sum(u, keys, [value], ["nr", "ns"], out_prefix="_c", next_col="_next")
+    u = u.join(tot, keys)
+    nxt = F.col("_next")
+    seg = u.select(*keys, (F.abs(F.col("_cnr") / F.col("_Nr") - F.col("_cns") / F.col("_Ns"))
+                           * (nxt - F.col(value))).alias("_a"), "_Nr", "_Ns")
+    return seg.groupBy(*keys).agg(F.sum("_a").alias("w1"), F.first("_Nr").alias("_Nr"),
+                                  F.first("_Ns").alias("_Ns")) \
+        .select(*keys, F.when((F.col("_Nr") > 0) & (F.col("_Ns") > 0), F.coalesce(F.col("w1"), F.lit(0.0))).alias("w1"))
+
+
+def wasserstein_time(real: DataFrame, syn: DataFrame, sch: SurvivalSchema = DEFAULT,
+                     by: Sequence[str] = ()) -> DataFrame:
+    """W1 of time for events and for censored rows separately."""
+    lab = F.when(F.col(sch.status) == 1, F.lit("event")).otherwise(F.lit("censor")).alias("subset")
+    r = real.select(lab, F.col(sch.time).cast("double").alias("value"))
+    s = syn.select(*by, lab, F.col(sch.time).cast("double").alias("value"))
+    return wasserstein_1d(r, s, ["subset"], "value", by)
+
+
+def minmax_params(real: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return stack(real, cols).groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def _scaled(df: DataFrame, cols: Sequence[str], params: DataFrame, keys: Sequence[str]) -> DataFrame:
+    s = stack(df, cols, keys).join(F.broadcast(params), "column")
+    span = F.col("hi") - F.col("lo")
+    return s.select(*keys, "column", F.when(span > 0, (F.col("value") - F.col("lo")) / span)
+                    .otherwise(F.lit(0.0)).alias("value"))
+
+
+def wasserstein_columns(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """F3 (re-aimed): per column W1 of min-max scaled values (real range); the
+    mean over columns is the joint-distance proxy."""
+    p = minmax_params(real, cols)
+    return wasserstein_1d(_scaled(real, cols, p, []), _scaled(syn, cols, p, by), ["column"], "value", by)
+
+
+def mmd_linear(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """F4 (linear kernel): squared distance of the mean min-max scaled vectors."""
+    p = minmax_params(real, cols)
+    r = _scaled(real, cols, p, []).groupBy("column").agg(F.avg("value").alias("mr"))
+    s = _scaled(syn, cols, p, by).groupBy(*by, "column").agg(F.avg("value").alias("ms"))
+    j = s.join(r, "column")
+    return j.groupBy(*by).agg(F.sum((F.col("ms") - F.col("mr")) ** 2).alias("mmd_linear"))
+
+
+# ---------------------------------------------------------------- F18-F20 ---
+
+def marginal_table(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
+                   max_discrete: int = 20, n_edges: int = 30) -> DataFrame:
+    """categorical columns: normalised value counts per side over the
+    union of categories (0-filled); continuous: density on ``n_edges - 1``
+    equal bins between the pooled (real + that method) 1st and 99th
+    percentile; values outside are left out, the last bin holds its right edge.
+    """
+    disc = F.broadcast(fit_bins(real, cols, max_discrete).select("column", "discrete"))
+    rs = stack(real, cols).join(disc, "column")
+    ss = stack(syn, cols, by).join(disc, "column")
+    pairs = ss.select(*by, "column").distinct()
+    pooled = rs.join(pairs, "column").select(*by, "column", "value", "discrete").unionByName(
+        ss.select(*by, "column", "value", "discrete"))
+    rng = pooled.where(~F.col("discrete")).groupBy(*by, "column").agg(
+        F.percentile("value", F.lit(0.01)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))
+    nb = n_edges - 1
+
+    def side(df, keys, name):
+        d = df.where(F.col("discrete")).groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+        d = d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "column")))
+        d = d.select(*keys, "column", F.lit("value").alias("kind"), F.col("value").alias("x"), F.col("share").alias(name))
+        c = df.where(~F.col("discrete")).join(rng, ["column"] if not keys else [*keys, "column"])
+        w = (F.col("hi") - F.col("lo")) / nb
+        b = F.floor((F.col("value") - F.col("lo")) / w)
+        b = F.when(F.col("value") == F.col("hi"), F.lit(nb - 1)).otherwise(b)
+        c = c.where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")) & (F.col("hi") > F.col("lo")))
+        c = c.withColumn("x", b.cast("double"))
+        c = c.groupBy(*keys, "column", "x").agg(F.count(F.lit(1)).alias("n"), F.first(w).alias("_w"))
+        c = c.withColumn(name, F.col("n") / (F.sum("n").over(Window.partitionBy(*keys, "column")) * F.col("_w")))
+        c = c.select(*keys, "column", F.lit("bin").alias("kind"), "x", name)
+        return d.unionByName(c)
+
+    r = side(rs.join(pairs, "column"), list(by), "real") if by else side(rs, [], "real")
+    s = side(ss, list(by), "syn")
+    j = r.join(s, [*by, "column", "kind", "x"], "full_outer")
+    return j.select(*by, "column", "kind", "x", F.coalesce("real", F.lit(0.0)).alias("real"),
+                    F.coalesce("syn", F.lit(0.0)).alias("syn"))
+
+
+def histogram_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin of ``np.histogram(values, bins)`` over [lo, hi]: equal width, the
+    last bin holds hi; floating edge cases corrected against the exact edges."""
+    step = (hi - lo) / F.lit(float(bins))
+    edge = lambda i: F.when(i == bins, hi).otherwise(i.cast("double") * step + lo)
+    i0 = F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int")
+    i0 = F.least(F.greatest(i0, F.lit(0)), F.lit(bins - 1))
+    i1 = F.when((i0 > 0) & (x < edge(i0)), i0 - 1).otherwise(i0)
+    i2 = F.when((i1 < bins - 1) & (x >= edge(i1 + 1)), i1 + 1).otherwise(i1)
+    return F.when(hi == lo, F.lit(0)).otherwise(i2)
+
+
+def time_histogram(df: DataFrame, sch: SurvivalSchema = DEFAULT, by: Sequence[str] = (),
+                   bins: int = 15) -> DataFrame:
+    """equal-width counts over each table's own [min, max]."""
+    t = F.col(sch.time).cast("double")
+    rng = df.groupBy(*by).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    j = df.select(*by, t.alias("_t")).join(rng, list(by)) if by else \
+        df.select(F.lit(0).alias("_g"), t.alias("_t")).join(rng.withColumn("_g", F.lit(0)), "_g")
+    j = j.withColumn("bin", histogram_bin(F.col("_t"), F.col("lo"), F.col("hi"), bins))
+    out = j.groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                    F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / float(bins)
+    return out.select(*by, "bin", (F.col("bin") * step + F.col("lo")).alias("left_edge"), "n")
+
+
+def average_ranks(df: DataFrame, cols: Sequence[str], row_id: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., row_id, column, rank) with ties given their average rank.
+
+    Per (by, column, value): count; an exclusive running count (prefix_sum)
+    gives rank_min - 1; average = before + (count + 1) / 2.
+    """
+    s = stack(df, cols, [*by, row_id])
+    v = s.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    v = prefix_sum(v, [*by, "column"], ["value"], ["_n"], inclusive=False, out_prefix="_before")
+    v = v.select(*by, "column", "value", (F.col("_before_n") + (F.col("_n") + 1) / 2.0).alias("rank"))
+    return s.join(v, [*by, "column", "value"]).select(*by, row_id, "column", "rank")
+
+
+def spearman_panel(df: DataFrame, cols: Sequence[str], row_id: str, by: Sequence[str] = ()) -> DataFrame:
+    """Spearman rho for every column pair (Pearson on average ranks).
+
+    Ranks are pivoted back to one row per record, then every row emits its
+    C(C-1)/2 column pairs (C <= 25 columns, a fixed fan-out per row) and one
+    grouped ``corr`` aggregates them.
+    """
+    cols = list(cols)
+    r = average_ranks(df, cols, row_id, by)
+    wide = r.groupBy(*by, row_id).pivot("column", cols).agg(F.first("rank"))
+    pairs = [F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.col(a).alias("x"), F.col(b).alias("y"))
+             for i, a in enumerate(cols) for b in cols[i + 1:]]
+    long = wide.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*")
+    return long.groupBy(*by, "c1", "c2").agg(pearson("x", "y").alias("rho"))
+
+
+def pearson(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; null when either side is constant
+    (``corr`` raises on a zero variance under ANSI mode)."""
+    mx, my = F.avg(x), F.avg(y)
+    sxy = F.avg(F.col(x) * F.col(y)) - mx * my
+    sxx = F.avg(F.col(x) * F.col(x)) - mx * mx
+    syy = F.avg(F.col(y) * F.col(y)) - my * my
+    return F.when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))

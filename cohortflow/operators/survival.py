@@ -244,13 +244,13 @@ def concordance(df: DataFrame, sch: SurvivalSchema = DEFAULT, score: str = "scor
     lv = lv.groupBy(*by, "_lvl", "_parent", score).agg(F.sum("_q").alias("_q"), F.sum("_w").alias("_w"))
     lv = lv.where((F.col("_q") > 0) | (F.col("_w") > 0))
     lv = prefix_sum(lv, [*by, "_lvl", "_parent"], [score], ["_w"], descending=True,
-                    inclusive=False, out_prefix="_gt")
+                    inclusive=False, out_prefix="_gt")  # -> _gt_w
     cross = lv.groupBy(*by).agg(F.sum(F.col("_q") * F.col("_gt_w")).alias("conc"),
                                 F.sum(F.col("_q") * F.col("_w")).alias("tie"))
 
     # same time: events vs censored at that time
     st = prefix_sum(cells.select(*by, sch.time, score, "ne", "nc"), [*by, sch.time], [score], ["nc"],
-                    descending=True, inclusive=False, out_prefix="_gt")
+                    descending=True, inclusive=False, out_prefix="_gt_")
     same = st.groupBy(*by).agg(F.sum(F.col("ne") * F.col("_gt_nc")).alias("conc"),
                                F.sum(F.col("ne") * F.col("nc")).alias("tie"))
 
