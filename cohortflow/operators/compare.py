@@ -179,3 +179,58 @@ def method_comparison(metrics: DataFrame, headline: Sequence[str], method: str =
     rest = [n for n in names if n not in head]
     wide = m.groupBy(method).pivot("_col", head + rest).agg(F.first("value"))
     return wide.select(method, *head, *rest)
+
+
+# Headline metric names and their candidate keys, first match wins
+# (priority in list order). Keys name our metric long table.
+KEY_ALIASES = {
+    "JSD (lower=better)": [
+        "stats.jensenshannon_dist.marginal.mean",
+        "stats.jensenshannon_dist.mean",
+        "stats.jensenshannon_dist.joint.mean",
+    ],
+    "Precision": ["stats.prdc.precision.mean", "performance.prdc.precision.mean"],
+    "Recall": ["stats.prdc.recall.mean", "performance.prdc.recall.mean"],
+    "Detection AUC XGB (0.5=best)": ["detection.detection_xgb.mean.mean", "detection.detection_xgb.mean"],
+    "Detection AUC MLP (0.5=best)": ["detection.detection_mlp.mean.mean", "detection.detection_mlp.mean"],
+    "Downstream C-Index (TSTR, syn→real)": [
+        "performance.xgb.syn_ood.mean", "performance.xgb.syn_ood", "custom.xgb_tstr", "custom.cox_tstr"],
+    "Feat. importance corr": [
+        "performance.feat_rank_distance.corr.mean", "performance.feat_rank_distance.corr",
+        "custom.feat_imp_spearman"],
+    "Optimism (0=best)": ["custom.optimism"],
+    "KM Divergence (0=best)": ["custom.km_divergence"],
+    "Short-sightedness (0=best)": ["custom.short_sightedness"],
+}
+
+
+def alias_table(spark) -> DataFrame:
+    rows = [(h, m, i) for h, ms in KEY_ALIASES.items() for i, m in enumerate(ms)]
+    return spark.createDataFrame(rows, "headline string, metric string, priority int")
+
+
+def auc_rank(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """ROC AUC by the rank formula (ties get average ranks):
+    (sum of positive ranks - n1 (n1 + 1) / 2) / (n1 n0).
+
+    Ranks come from a distributed prefix count over distinct scores, so one
+    group never lands in a single task."""
+    from cohortflow.functions.windows import prefix_sum
+
+    by = list(by)
+    cells = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"),
+                                       F.sum(F.col(label).cast("long")).alias("_p"))
+    cells = prefix_sum(cells, by, [score], ["_n"], inclusive=False, out_prefix="_b")
+    rank = F.col("_b_n") + (F.col("_n") + 1) / 2.0
+    agg = cells.groupBy(*by).agg(F.sum(F.col("_p") * rank).alias("_rs"), F.sum("_p").alias("_n1"),
+                                 F.sum(F.col("_n") - F.col("_p")).alias("_n0"))
+    auc = (F.col("_rs") - F.col("_n1") * (F.col("_n1") + 1) / 2.0) / (F.col("_n1") * F.col("_n0"))
+    return agg.select(*by, F.when((F.col("_n1") > 0) & (F.col("_n0") > 0), auc).alias("auc"))
+
+
+def metric_long(df: DataFrame, keys: Sequence[str], metric_cols: dict[str, str], vs: str | None = None) -> DataFrame:
+    """Wide metric columns -> (keys..., [vs], metric, value)."""
+    arr = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
+                    for name, c in metric_cols.items()])
+    out = df.select(*keys, F.explode(arr).alias("_m")).select(*keys, "_m.metric", "_m.value")
+    return out.withColumn("vs", F.lit(vs)) if vs is not None else out
