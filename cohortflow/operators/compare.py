@@ -178,7 +178,7 @@ def method_comparison(metrics: DataFrame, headline: Sequence[str], method: str =
     head = [n for h in headline for n in names if n.endswith("__" + h)]
     rest = [n for n in names if n not in head]
     wide = m.groupBy(method).pivot("_col", head + rest).agg(F.first("value"))
-    return wide.select(method, *head, *rest)
+    return wide.select(method, *[F.col(f"`{n}`") for n in head + rest])
 
 
 # Headline metric names and their candidate keys, first match wins

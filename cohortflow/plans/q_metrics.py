@@ -122,7 +122,8 @@ def q_e6(spark, sf_dir):
 @register("E14_retrofit_bounds", with_ctes(*CLEAN_SYN, tail=f"""
 SELECT {sql_r6('t_min')} AS t_min, {sql_r6('t_max')} AS t_max, {sql_r6('l_min')} AS log_t_min,
        {sql_r6('l_max')} AS log_t_max,
-       {sql_r6('l_min - 0.05 * (l_max - l_min)')} AS log_clamp_lo, {sql_r6('l_max + 0.05 * (l_max - l_min)')} AS log_clamp_hi,
+       {sql_r6('l_min - 0.05 * greatest(l_max - l_min, 1e-6)')} AS log_clamp_lo,
+       {sql_r6('l_max + 0.05 * greatest(l_max - l_min, 1e-6)')} AS log_clamp_hi,
        {sql_r6('0.5 * t_min')} AS t_clamp_lo, {sql_r6('2.0 * t_max')} AS t_clamp_hi
 FROM (SELECT min(time) AS t_min, max(time) AS t_max, min(ln(greatest(time, 0.001))) AS l_min,
              max(ln(greatest(time, 0.001))) AS l_max FROM ctrain)"""))

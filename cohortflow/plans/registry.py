@@ -87,4 +87,3 @@ syn_g AS (SELECT s.method, s.cancer_type AS g, s.time, s.status FROM syn_n s
 
 register("F22_subgroup_report", _subgroup_sql())(subgroup_report_query)
 
-from cohortflow.plans import q_clean, q_metrics, q_more, q_repair  # noqa: E402,F401  (register their queries)
