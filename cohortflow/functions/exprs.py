@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def r6(c: Column | str, digits: int = 6) -> Column:
     """Round a float for export/compare; -0.0 folded into 0.0."""
-    x = F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
+    x = F.round((F.col(f"`{c}`") if isinstance(c, str) else c).cast("double"), digits)
     return F.when(x == 0, F.lit(0.0)).otherwise(x)
 
 
@@ -20,7 +20,7 @@ def round_floats(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(r6(f.name, digits).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
 
 
