@@ -58,16 +58,30 @@ def clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     return cohort.memo(("clean", id(spark), sf_dir), lambda: build_clean_cohort(spark, sf_dir))
 
 
+def _null_share(expr, floating: bool):
+    miss = expr.isNull()
+    if floating:
+        miss = miss | F.isnan(expr)
+    return F.avg(miss.cast("double"))
+
+
 def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     """Run B5-B18 on the split patient cohort; train/test live in one table
-    (``is_train``) so every apply is one projection over both splits."""
+    (``is_train``) so every apply is one projection over both splits.
+
+    The fits are merged into as few passes over the training rows as their
+    dependencies allow: (1) the top-15 list; (2) one aggregation for the
+    missing profile before and after the text coercions, the integer check
+    and every median; (3) one aggregation for the p99 bounds and the sorted
+    categories of every text column. Each pass returns one small row.
+    """
     res = CleanResult()
     df = cohort.split_cohort(spark, sf_dir)
     train = lambda d: d.where("is_train")
 
     df = clean.drop_columns(df, ID_COLUMNS)                                  # B5
     res.stages["dropped"] = df
-    top = clean.fit_top_n(train(df), BUCKET_COLUMN, TOP_N)                   # B8
+    top = clean.fit_top_n(train(df), BUCKET_COLUMN, TOP_N)                   # B8 (pass 1)
     df = clean.bucket_top_n(df, BUCKET_COLUMN, top)
     res.params["top"] = top
     res.stages["bucketed"] = df
@@ -75,38 +89,76 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     for c, (lo, hi) in SEMANTIC_CLIP.items():                                # B9
         df = clean.clip_range(df, c, lo, hi)
     res.stages["semantic_clipped"] = df
-    profile = clean.missing_profile(train(df), exclude=["is_train"] + HIDDEN)  # B11
-    res.params["missing_profile"] = profile
-    sparse = clean.sparse_columns(profile, SPARSE_THRESHOLD)                 # B12
+
+    # ---- pass 2: profiles (B11, after-coercion), integer check (B13), medians
+    cols = [c for c in df.columns if c not in ["is_train"] + HIDDEN]
+    coerced_expr = {c: F.col(c) for c in cols}
+    for c in NUMERIC_TEXT_COLUMNS:
+        if c in coerced_expr:
+            coerced_expr[c] = clean.nan_to_null(F.col(c).try_cast("double"))
+    for c in NULL_TOKEN_COLUMNS:
+        if c in coerced_expr:
+            coerced_expr[c] = F.nullif(F.col(c).cast("string"), F.lit("nan"))
+    numeric_after = [c for c in cols if clean.is_numeric(df, c) or c in NUMERIC_TEXT_COLUMNS]
+    aggs = []
+    for c in cols:
+        flt = df.schema[c].dataType.simpleString() in ("double", "float")
+        aggs.append(_null_share(F.col(c), flt).alias(f"p1__{c}"))
+        aggs.append(_null_share(coerced_expr[c], flt).alias(f"p2__{c}"))
+    for c in numeric_after:
+        x = clean.nan_to_null(coerced_expr[c].cast("double"))
+        aggs.append(F.median(x).alias(f"med__{c}"))
+        if c in INT_CANDIDATES:
+            aggs.append(F.count(x).alias(f"n__{c}"))
+            aggs.append(F.coalesce(F.bool_and(x == F.bround(x, 0)), F.lit(True)).alias(f"int__{c}"))
+    r = train(df).agg(*aggs).first()
+    types = {c: (df.schema[c].dataType.simpleString()) for c in cols}
+    prof_rows = sorted([(c, float(r[f"p1__{c}"]), types[c]) for c in cols if r[f"p1__{c}"] > 0],
+                       key=lambda t: (-t[1], t[0]))
+    res.params["missing_profile"] = spark.createDataFrame(prof_rows, "var string, proportion double, dtype string")
+    sparse = [c for c, p, _ in prof_rows if p > SPARSE_THRESHOLD]                # B12
     res.params["sparse"] = sparse
     df = clean.drop_columns(df, sparse)
     df = clean.to_numeric(df, NUMERIC_TEXT_COLUMNS)                          # B6
     df = clean.null_token(df, NULL_TOKEN_COLUMNS)                            # B7
     res.stages["coerced"] = df
-    ints = clean.integer_columns(train(df), INT_CANDIDATES)                  # B13
+    kept = [c for c in cols if c not in sparse]
+    ints = [c for c in INT_CANDIDATES if c in kept and r[f"n__{c}"] > 0 and r[f"int__{c}"]]  # B13
     res.params["integer_columns"] = ints
-    prof2 = clean.missing_profile(train(df), exclude=["is_train"] + HIDDEN)
-    miss = [r["var"] for r in prof2.collect()]
+    miss = [c for c in kept if r[f"p2__{c}"] > 0]
     num_missing = [c for c in miss if clean.is_numeric(df, c)]
     str_missing = [c for c in miss if clean.is_string(df, c)]
-    med = clean.medians_map(clean.fit_medians(train(df), num_missing))      # B14
+    med = {c: r[f"med__{c}"] for c in num_missing}                          # B14
     res.params["medians"] = med
     df = clean.impute_median(df, med)
     df = clean.impute_constant(df, str_missing, "Unknown")                   # B15
     res.stages["imputed"] = df
-    p99 = clean.bounds_map(clean.fit_quantile_bounds(train(df), P99_COLUMNS, 0.99))  # B10
+
+    # ---- pass 3: p99 bounds (B10) and sorted categories of text columns
+    cats = [c for c in kept if clean.is_string(df, c) and c not in LABELS]
+    p99_cols = [c for c in P99_COLUMNS if c in df.columns]
+    aggs = [F.percentile(clean.nan_to_null(F.col(c).cast("double")), F.lit(0.99)).alias(f"q__{c}") for c in p99_cols]
+    aggs += [F.array_sort(F.collect_set(F.col(c))).alias(f"v__{c}") for c in cats]
+    aggs += [F.max(F.col(c).isNull().cast("int")).alias(f"nn__{c}") for c in cats]
+    r3 = train(df).agg(*aggs).first()
+    p99 = {c: (0.0, float(r3[f"q__{c}"])) for c in p99_cols}
     res.params["p99"] = p99
     df = clean.apply_bounds(df, p99)
     res.stages["quantile_clipped"] = df
-    int_fallback = clean.medians_map(clean.fit_medians(train(df), ints))
-    df = clean.restore_int(df, ints, int_fallback)                           # B16
+    # fallback medians only matter for integer columns that can still hold nulls
+    fallback = dict(med)
+    need = [c for c in ints if c not in med]
+    if need:
+        fallback.update(clean.medians_map(clean.fit_medians(train(df), need)))
+    df = clean.restore_int(df, ints, fallback)                               # B16
     res.stages["restored"] = df
-    cats = [r["var"] for r in clean.categorical_profile(
-        train(df), exclude=LABELS + ["is_train"] + HIDDEN).collect()]        # B17
-    codes = clean.fit_label_codes(train(df), cats)                          # B18
-    res.params["codes"] = codes
-    res.params["categorical"] = cats
-    df = clean.label_encode(df, codes, cats)
+    values = {c: list(r3[f"v__{c}"]) for c in cats}
+    prof = sorted([(c, len(values[c]) + int(r3[f"nn__{c}"] or 0)) for c in cats], key=lambda t: (-t[1], t[0]))
+    res.params["categorical"] = [c for c, _ in prof]
+    res.params["categorical_profile"] = spark.createDataFrame(prof, "var string, nunique bigint")
+    code_rows = [(c, v, i) for c in cats for i, v in enumerate(values[c])]
+    res.params["codes"] = spark.createDataFrame(code_rows, "column string, value string, code int")
+    df = clean.label_encode_literal(df, values)                              # B18
     # the clean cohort feeds every later operator: write it once
     res.stages["encoded"] = materialize(df)
     return res
