@@ -307,3 +307,63 @@ from cohortflow.plans.registry import ORACLES as _OR  # noqa: E402
 register("A3_column_metadata_io", _OR["B20_column_bounds"])(q_a3)
 register("A4_read_methods", with_ctes(*CLEAN_SYN, tail=f"""
 SELECT method, patient_id, status, {sql_r6('time')} AS time FROM csyn"""))(q_a4)
+
+
+@register("A2_write_cohort")
+def q_a2(spark, sf_dir):
+    """Clean train and test written as Parquet (and the test split as CSV) and read back."""
+    from cohortflow.plans.q_repair import FEATURES as _F
+
+    real, test, _ = _tables(spark, sf_dir)
+    p1, p2 = io.scratch_dir(spark, "train"), io.scratch_dir(spark, "test_csv")
+    io.write_cohort(real, p1, "parquet")
+    io.write_cohort(test.select("patient_id", *_F, "status", "time"), p2, "csv")
+    schema = ", ".join(["patient_id bigint"] + [f"{c} {test.schema[c].dataType.simpleString()}" for c in _F]
+                       + ["status int", "time double"])
+    a = io.read_cohort(spark, p1, fmt="parquet").select("patient_id", "status", "time").withColumn("split", F.lit("train"))
+    b = io.read_cohort(spark, p2, schema=schema, fmt="csv").select("patient_id", "status", "time") \
+        .withColumn("split", F.lit("test"))
+    return round_floats(a.unionByName(b))
+
+
+@register("A5_write_metrics")
+def q_a5(spark, sf_dir):
+    """The long metric table appended under (method, vs) partitions and read back."""
+    from cohortflow.operators import evaluate
+
+    real, test, syn = _tables(spark, sf_dir)
+    m = evaluate.cheap_metrics(real, test, syn, DEFAULT)
+    path = io.scratch_dir(spark, "metrics")
+    io.write_metrics(m, path)
+    return spark.read.parquet(path).select("method", "vs", "metric", "value")
+
+
+@register("A6_save_load_fitted")
+def q_a6(spark, sf_dir):
+    """Precision and constraint parameters saved, reloaded, and applied to a
+    synthetic method without refitting."""
+    from cohortflow.operators import repair
+    from cohortflow.plans.q_repair import FEATURES as _F
+
+    real, _, syn = _tables(spark, sf_dir)
+    r = real.select(*_F, "status", "time")
+    tables = {"precision": repair.fit_precision(r, _F, 1000), "constraints": repair.resolve_constraints(r)}
+    path = io.scratch_dir(spark, "fitted")
+    io.save_fitted(tables, path)
+    back = io.load_fitted(spark, path, ["precision", "constraints"])
+    s = syn.where("method = 'noisy'").select("patient_id", *_F, "status", "time")
+    s, _ = repair.match_precision(s, back["precision"], 1000)
+    s, _ = repair.enforce_constraints(s, back["constraints"])
+    return round_floats(s)
+
+
+@register("C4_subsample_pair")
+def q_c4(spark, sf_dir):
+    """n rows from each side: without replacement where there are enough rows
+    (real test), with replacement where not (the 'copy' method at n = 3 x test)."""
+    _, test, syn = _tables(spark, sf_dir)
+    n = 3 * test.count()
+    a = sample.subsample(test, n // 3, "patient_id", 42, side="real").select(F.lit("real").alias("side"), "patient_id")
+    b = sample.subsample(syn.where("method = 'copy'"), n, "patient_id", 42, side="syn").select(
+        F.lit("syn").alias("side"), "patient_id")
+    return a.unionByName(b)

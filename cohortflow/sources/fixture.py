@@ -41,15 +41,17 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pa = _read(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-           .join(cu, od.o_custkey == cu.c_custkey)
-           .join(pa, li.l_partkey == pa.p_partkey))
-
+    # the row id and its hash depend on lineitem only: computing them before the
+    # joins keeps md5 to one evaluation per row (filters pushed into the join
+    # condition then reference the column instead of re-deriving it)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     sid = F.concat_ws("-", *[F.col(c).cast("string") for c in
                              ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                       cents.cast("string"))
-    j = j.withColumn("sample_id", sid).withColumn("h", hash32(F.col("sample_id")))
+    li = li.withColumn("sample_id", sid).withColumn("h", hash32(F.col("sample_id")))
+    j = (li.join(od, li.l_orderkey == od.o_orderkey)
+           .join(cu, od.o_custkey == cu.c_custkey)
+           .join(pa, li.l_partkey == pa.p_partkey))
     h = F.col("h")
     days = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
     age_txt = F.when(F.col("p_size") > 47, F.lit(">47")).otherwise(F.col("p_size").cast("string"))
