@@ -13,6 +13,8 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from cohortflow.functions.exprs import pct
 from pyspark.sql import types as T
 
 from cohortflow.schema import DEFAULT, SurvivalSchema
@@ -157,7 +159,7 @@ def fit_quantile_bounds(train: DataFrame, cols: Sequence[str], q: float = 0.99,
     aggs = []
     for c in cols:
         x = nan_to_null(F.col(c).cast("double"))
-        p = F.percentile(x, F.lit(q)) if exact else F.percentile_approx(x, F.lit(q), F.lit(100000))
+        p = pct(x, F.lit(q)) if exact else F.percentile_approx(x, F.lit(q), F.lit(100000))
         aggs.append(p.alias(c))
     wide = train.agg(*aggs)
     long = wide.unpivot([], cols, "column", "hi")
@@ -477,8 +479,8 @@ def clip_time_to_real(syn: DataFrame, real: DataFrame, sch: SurvivalSchema = DEF
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count_if(t < tmin).cast("bigint").alias("n_below"),
         F.count_if(t > tmax).cast("bigint").alias("n_above"),
-        F.percentile(t, F.lit(0.01)).alias("q01"),
-        F.percentile(t, F.lit(0.5)).alias("q50"),
-        F.percentile(t, F.lit(0.99)).alias("q99"),
+        pct(t, F.lit(0.01)).alias("q01"),
+        pct(t, F.lit(0.5)).alias("q50"),
+        pct(t, F.lit(0.99)).alias("q99"),
     )
     return clipped, report

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import pct
+
 from cohortflow.functions.hashing import hash32, keyed
 from cohortflow.functions.windows import prefix_sum
 from cohortflow.operators import clean, compare, fidelity, models, privacy, sample, survival
@@ -67,7 +69,7 @@ def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch:
     gbt_r = models.fit_log_time(rt, sch, cols, trees=tree_count) if trees else None
     g_trtr = (survival.concordance(models.predict_log_time(gbt_r, real_test, cols), sch, "score")
               .first()["c_index"] if trees else None)
-    t_med = real_test.agg(F.percentile(sch.time, F.lit(0.5))).first()[0] if brier else None
+    t_med = real_test.agg(pct(sch.time, F.lit(0.5))).first()[0] if brier else None
     for m in _methods(syn):
         s = sample.cap_rows(syn.where(F.col("method") == m), max_n, id_col, seed)
         cox_s = models.CoxPH(0.01).fit(s, sch, cols)

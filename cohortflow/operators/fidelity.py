@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import pct
+
 from cohortflow.functions.windows import prefix_sum
 from cohortflow.operators.clean import nan_to_null
 from cohortflow.schema import DEFAULT, SurvivalSchema
@@ -182,7 +184,7 @@ def marginal_table(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Seq
     pooled = rs.join(pairs, "column").select(*by, "column", "value", "discrete").unionByName(
         ss.select(*by, "column", "value", "discrete"))
     rng = pooled.where(~F.col("discrete")).groupBy(*by, "column").agg(
-        F.percentile("value", F.lit(0.01)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))
+        pct("value", F.lit(0.01)).alias("lo"), pct("value", F.lit(0.99)).alias("hi"))
     nb = n_edges - 1
 
     def side(df, keys, name):

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import pct
+
 from cohortflow.functions.hashing import TWO_32, hash32, keyed, poisson_small, uniform
 from cohortflow.functions.windows import prefix_sum
 
@@ -146,7 +148,7 @@ def bootstrap_summary(runs: DataFrame, metric: str = "metric", value: str = "val
     return finite.groupBy(*by, metric).agg(
         F.avg(v).alias("boot_mean"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("boot_std"),
-        F.percentile(v, F.lit(0.025)).alias("boot_ci_lo"),
-        F.percentile(v, F.lit(0.975)).alias("boot_ci_hi"),
+        pct(v, F.lit(0.025)).alias("boot_ci_lo"),
+        pct(v, F.lit(0.975)).alias("boot_ci_hi"),
         F.count(v).cast("bigint").alias("boot_n"),
     )

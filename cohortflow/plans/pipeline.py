@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import pct
+
 from cohortflow.operators import clean
 from cohortflow.plans import cohort
 from cohortflow.schema import DEFAULT
@@ -137,7 +139,7 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     # ---- pass 3: p99 bounds (B10) and sorted categories of text columns
     cats = [c for c in kept if clean.is_string(df, c) and c not in LABELS]
     p99_cols = [c for c in P99_COLUMNS if c in df.columns]
-    aggs = [F.percentile(clean.nan_to_null(F.col(c).cast("double")), F.lit(0.99)).alias(f"q__{c}") for c in p99_cols]
+    aggs = [pct(clean.nan_to_null(F.col(c).cast("double")), F.lit(0.99)).alias(f"q__{c}") for c in p99_cols]
     aggs += [F.array_sort(F.collect_set(F.col(c))).alias(f"v__{c}") for c in cats]
     aggs += [F.max(F.col(c).isNull().cast("int")).alias(f"nn__{c}") for c in cats]
     r3 = train(df).agg(*aggs).first()
