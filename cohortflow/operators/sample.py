@@ -152,3 +152,12 @@ def bootstrap_summary(runs: DataFrame, metric: str = "metric", value: str = "val
         pct(v, F.lit(0.975)).alias("boot_ci_hi"),
         F.count(v).cast("bigint").alias("boot_n"),
     )
+
+
+def cap_rows_by(df: DataFrame, n: int, id_col: str, by: str, seed: int = 42) -> DataFrame:
+    """C5 per group: at most ``n`` rows of every ``by`` value, the n smallest
+    hash(id, seed). A per-group top-n (``row_number`` over the hash; Spark's
+    window group limit keeps n rows per group before the shuffle's sort)."""
+    w = Window.partitionBy(by).orderBy("_u", id_col)
+    return (df.withColumn("_u", split_key(id_col, seed)).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= n).drop("_u", "_rn"))

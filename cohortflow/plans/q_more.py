@@ -367,3 +367,84 @@ def q_c4(spark, sf_dir):
     b = sample.subsample(syn.where("method = 'copy'"), n, "patient_id", 42, side="syn").select(
         F.lit("syn").alias("side"), "patient_id")
     return a.unionByName(b)
+
+
+# ------------------------------------------------------------------ k-NN (capped) ----
+
+_KNN_COLS = FEATURES + ["time", "status"]
+_CAP = 2000
+
+
+def _knn_sql():
+    from cohortflow.plans.q_repair import FEATURES as _F
+
+    cols = _F + ["time", "status"]
+    mm = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in cols)
+
+    def sc(c):
+        return f"CASE WHEN hi_{c} - lo_{c} > 0 THEN (CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0.0 END AS {c}"
+
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    return [f"mm AS (SELECT {mm} FROM ctrain)",
+            f"""rcap AS (SELECT *, row_number() OVER (ORDER BY {u_sql('patient_id', 42)}, patient_id) AS i FROM ctrain
+                QUALIFY i <= {_CAP})""",
+            f"""scap AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY {u_sql("method || ':' || CAST(patient_id AS VARCHAR)", 42)},
+                   method || ':' || CAST(patient_id AS VARCHAR)) AS j FROM csyn QUALIFY j <= {_CAP})""",
+            f"rs AS (SELECT i, {', '.join(sc(c) for c in cols)} FROM rcap, mm)",
+            f"ss AS (SELECT method, j, {', '.join(sc(c) for c in cols)} FROM scap, mm)",
+            f"rr AS (SELECT a.i, b.i AS i2, {d2} AS d2 FROM rs a JOIN rs b ON a.i <> b.i)",
+            """rrad AS (SELECT i, max(CASE WHEN rn = 5 THEN d2 END) AS rad, max(CASE WHEN rn = 1 THEN d2 END) AS nn1
+                FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2) AS rn FROM rr) GROUP BY i)""",
+            f"sspair AS (SELECT a.method, a.j, b.j AS j2, {d2} AS d2 FROM ss a JOIN ss b ON a.method = b.method AND a.j <> b.j)",
+            """srad AS (SELECT method, j, max(CASE WHEN rn = 5 THEN d2 END) AS rad
+                FROM (SELECT *, row_number() OVER (PARTITION BY method, j ORDER BY d2) AS rn FROM sspair) GROUP BY ALL)""",
+            f"rsd AS (SELECT b.method, a.i, b.j, {d2} AS d2 FROM rs a JOIN ss b ON true)",
+            ]
+
+
+_KNN_TAIL = f"""
+SELECT p.method,
+  {sql_r6('avg(CASE WHEN p.hit THEN 1.0 ELSE 0.0 END)')} AS precision,
+  {sql_r6('any_value(q.recall)')} AS recall,
+  {sql_r6('any_value(q.density)')} AS density,
+  {sql_r6('any_value(q.coverage)')} AS coverage,
+  {sql_r6('any_value(q.identifiability)')} AS identifiability
+FROM (SELECT x.method, x.j, bool_or(x.d2 <= r.rad) AS hit FROM rsd x JOIN rrad r USING (i) GROUP BY ALL) p
+JOIN (
+  SELECT x.method,
+    avg(CASE WHEN x.rec THEN 1.0 ELSE 0.0 END) AS recall,
+    sum(x.n_in) / (5.0 * any_value(m.m)) AS density,
+    avg(CASE WHEN x.mind <= r.rad THEN 1.0 ELSE 0.0 END) AS coverage,
+    avg(CASE WHEN x.mind < r.nn1 THEN 1.0 ELSE 0.0 END) AS identifiability
+  FROM (SELECT y.method, y.i, min(y.d2) AS mind, bool_or(y.d2 <= sr.rad) AS rec,
+               count_if(y.d2 <= rr2.rad) AS n_in
+        FROM rsd y JOIN srad sr ON sr.method = y.method AND sr.j = y.j JOIN rrad rr2 ON rr2.i = y.i GROUP BY ALL) x
+  JOIN rrad r USING (i) JOIN (SELECT method, count(*) AS m FROM ss GROUP BY method) m USING (method)
+  GROUP BY x.method) q USING (method)
+GROUP BY p.method"""
+
+
+@register("F5_F13_prdc_identifiability", with_ctes(*CLEAN_SYN, *_knn_sql(), tail=_KNN_TAIL))
+def q_f5(spark, sf_dir):
+    """k-NN precision / recall / density / coverage (k = 5) and identifiability,
+    2 000 hash-capped rows a side, min-max scaled by the real range."""
+    from cohortflow.operators import neighbours
+
+    real, _, syn = _tables(spark, sf_dir)
+    return round_floats(neighbours.knn_metrics(real, syn, _KNN_COLS, cap=_CAP, k=5))
+
+
+@register("F6_alpha_precision")
+def q_f6(spark, sf_dir):
+    """Naive alpha-precision / beta-coverage deltas and authenticity on capped rows."""
+    from cohortflow.operators import neighbours
+
+    real, _, syn = _tables(spark, sf_dir)
+    return round_floats(neighbours.alpha_precision(real, syn, _KNN_COLS, cap=_CAP))
+
+
+@register("F13_identifiability", with_ctes(*CLEAN_SYN, *_knn_sql(), tail=f"""
+SELECT method, identifiability FROM ({_KNN_TAIL})"""))
+def q_f13(spark, sf_dir):
+    """Share of (capped) real rows whose nearest synthetic row is nearer than their nearest other real row."""
+    return q_f5(spark, sf_dir).select("method", "identifiability")
