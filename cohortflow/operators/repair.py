@@ -263,24 +263,35 @@ def reorder(df: DataFrame, order: Sequence[str], first: Sequence[str] = ()) -> D
     return df.select(*out)
 
 
-def median_then_zero_fill(df: DataFrame, codes: DataFrame | None, medians: Mapping[str, float],
-                          cols: Sequence[str]) -> DataFrame:
-    """Numericise features: text via a shared code table (unseen -> null),
-    numbers as is; null -> median -> 0."""
+def median_then_zero_fill(df: DataFrame, codes: DataFrame | None, cols: Sequence[str],
+                          medians: Mapping[str, float] | None = None) -> DataFrame:
+    """Numericise features. Text columns take the code of a mapping
+    shared across tables (fitted on the real table); a null text is -1 (as a
+    pandas category code), an unseen text is missing. Then every missing value
+    takes the column median -- of this table unless ``medians`` is given -- and
+    what is still missing (an all-null column) becomes 0."""
     out = df
     if codes is not None:
         text = [c for c in cols if c in df.columns and not is_numeric(df, c)]
-        for c in text:
-            m = F.broadcast(codes.where(F.col("column") == c)
-                            .select(F.col("value").alias("_lv"), F.col("code").alias("_lc")))
-            out = (out.join(m, out[c].cast("string") == m["_lv"], "left")
-                   .withColumn(c, F.col("_lc").cast("double")).drop("_lv", "_lc"))
-    exprs = []
-    for c in out.columns:
-        if c in cols:
-            med = medians.get(c)
-            x = nan_to_null(F.col(c).cast("double"))
-            exprs.append(F.coalesce(x, F.lit(med).cast("double"), F.lit(0.0)).alias(c))
-        else:
-            exprs.append(F.col(c))
-    return out.select(*exprs)
+        cmap = {}
+        for r in codes.collect():
+            cmap.setdefault(r["column"], []).append((r["code"], r["value"]))
+        exprs = []
+        for c in out.columns:
+            if c in text:
+                vals = [v for _, v in sorted(cmap.get(c, []))]
+                arr = F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<string>")
+                pos = F.array_position(arr, F.col(c).cast("string"))
+                code = F.when(F.col(c).isNull(), F.lit(-1.0)).when(pos > 0, (pos - 1).cast("double"))
+                exprs.append(code.alias(c))
+            else:
+                exprs.append(F.col(c))
+        out = out.select(*exprs)
+    num = [c for c in cols if c in out.columns]
+    out = out.select(*[nan_to_null(F.col(c).cast("double")).alias(c) if c in num else F.col(c)
+                       for c in out.columns])
+    if medians is None:
+        row = out.agg(*[F.median(c).alias(c) for c in num]).first()
+        medians = {c: row[c] for c in num}
+    return out.select(*[F.coalesce(F.col(c), F.lit(medians.get(c)).cast("double"), F.lit(0.0)).alias(c)
+                        if c in num else F.col(c) for c in out.columns])

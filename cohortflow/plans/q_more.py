@@ -448,3 +448,44 @@ SELECT method, identifiability FROM ({_KNN_TAIL})"""))
 def q_f13(spark, sf_dir):
     """Share of (capped) real rows whose nearest synthetic row is nearer than their nearest other real row."""
     return q_f5(spark, sf_dir).select("method", "identifiability")
+
+
+_B23_TEXT = ["cancer_type", "subgroup", "sex", "ancestry", "msi_type"]
+_B23_NUM = ["age", "purity", "mutation_count", "tmb", "fga", "ploidy"]
+
+
+def _b23_sql():
+    codes = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, value, row_number() OVER (ORDER BY value) - 1 AS code FROM "
+        f"(SELECT DISTINCT {c} AS value FROM split WHERE is_train AND {c} IS NOT NULL)" for c in _B23_TEXT)
+    coded = ", ".join(
+        [f"CASE WHEN t.{c} IS NULL THEN -1.0 ELSE CAST((SELECT code FROM codes WHERE col = '{c}' AND value = t.{c}) AS DOUBLE) END AS {c}"
+         for c in _B23_TEXT]
+        + ["TRY_CAST(t.age AS DOUBLE) AS age", "TRY_CAST(t.purity AS DOUBLE) AS purity"]
+        + [f"CAST(t.{c} AS DOUBLE) AS {c}" for c in ("mutation_count", "tmb", "fga", "ploidy")])
+    cols = _B23_TEXT + _B23_NUM
+    meds = ", ".join(f"median({c}) AS m_{c}" for c in cols)
+    fill = ", ".join(f"{sql_r6(f'coalesce({c}, m_{c}, 0.0)')} AS {c}" for c in cols)
+    return with_ctes(*BASE_SPLIT, f"codes AS ({codes})",
+                     f"coded AS (SELECT t.patient_id, {coded} FROM split t WHERE NOT t.is_train)",
+                     f"med AS (SELECT {meds} FROM coded)", tail=f"SELECT patient_id, {fill} FROM coded, med")
+
+
+from cohortflow.plans.oracle import BASE as BASE_SPLIT  # noqa: E402
+
+
+@register("B23_median_then_zero_fill", _b23_sql())
+def q_b23(spark, sf_dir):
+    """Raw test split numericised: text via codes fitted on the train split
+    (null -> -1, unseen -> missing), then this table's medians, then 0."""
+    from cohortflow.operators import clean as _clean, repair
+    from cohortflow.plans import cohort as _cohort
+
+    s = _clean.to_numeric(_cohort.split_cohort(spark, sf_dir), ["age", "purity"])
+    codes = encode.fit_categories(s.where("is_train"), _B23_TEXT)
+    from pyspark.sql import Window
+
+    codes = codes.withColumn("code", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+                             .cast("int"))
+    t = s.where(~F.col("is_train")).select("patient_id", *_B23_TEXT, *_B23_NUM)
+    return round_floats(repair.median_then_zero_fill(t, codes, _B23_TEXT + _B23_NUM))
