@@ -49,3 +49,25 @@ def pct(x: Column | str, q: Column, accuracy: int = 100000) -> Column:
     if approx:
         return F.percentile_approx(col, q, F.lit(accuracy))
     return F.percentile(col, q)
+
+
+def small_distinct_counts(df: DataFrame, cols: list[str], limit: int) -> dict[str, int | None]:
+    """Exact distinct counts for the columns that can be at most ``limit``; None
+    for the others.
+
+    A first pass of HyperLogLog sketches (merged map-side, no shuffle of
+    values) rules out the high-cardinality columns; only columns whose
+    estimate is within a wide margin of ``limit`` get an exact count. So a
+    continuous column with billions of distinct values is never shuffled
+    value by value just to learn that it is not categorical.
+    """
+    if not cols:
+        return {}
+    est = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    margin = int(limit * 1.5) + 10
+    small = [c for c in cols if est[c] <= margin]
+    out: dict[str, int | None] = {c: None for c in cols}
+    if small:
+        exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in small]).first()
+        out.update({c: int(exact[c]) for c in small})
+    return out

@@ -25,9 +25,16 @@ WEIGHT_FLOOR = 1e-3
 
 
 def discrete_columns(df: DataFrame, cols: Sequence[str], limit: int = 10) -> DataFrame:
-    """(column, n_distinct, is_discrete) in one aggregation."""
-    st = stack(df, cols).groupBy("column").agg(F.count_distinct("value").cast("bigint").alias("n_distinct"))
-    return st.select("column", "n_distinct", (F.col("n_distinct") <= limit).alias("is_discrete"))
+    """(column, n_distinct, is_discrete); ``n_distinct`` is exact for the
+    discrete columns and null for columns ruled out by their sketch."""
+    from cohortflow.functions.exprs import small_distinct_counts
+
+    cols = list(cols)
+    nd = small_distinct_counts(df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]),
+                               cols, limit)
+    rows = [(c, nd[c] if nd[c] is not None and nd[c] <= limit else None,
+             nd[c] is not None and nd[c] <= limit) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column string, n_distinct bigint, is_discrete boolean")
 
 
 def time_horizons(df: DataFrame, sch: SurvivalSchema = DEFAULT, m: int = 100) -> DataFrame:

@@ -44,10 +44,17 @@ def mean_comparison(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Se
 def fit_bins(real: DataFrame, cols: Sequence[str], max_discrete: int = 20, n_bins: int = 10) -> DataFrame:
     """(column, discrete, lo, hi): a column with at most ``max_discrete``
     distinct real values is binned by value, else into ``n_bins`` equal-width
-    bins over the real [min, max]. One aggregation for all columns."""
-    st = stack(real, cols).groupBy("column").agg(
-        F.count_distinct("value").alias("nd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return st.select("column", (F.col("nd") <= max_discrete).alias("discrete"), "lo", "hi")
+    bins over the real [min, max]. Distinct counts come from sketches first
+    (``small_distinct_counts``); min/max from one aggregation."""
+    from cohortflow.functions.exprs import small_distinct_counts
+
+    cols = list(cols)
+    vals = [nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]
+    wide = real.select(*vals)
+    nd = small_distinct_counts(wide, cols, max_discrete)
+    mm = wide.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols]).first()
+    rows = [(c, nd[c] is not None and nd[c] <= max_discrete, mm[c]["lo"], mm[c]["hi"]) for c in cols]
+    return real.sparkSession.createDataFrame(rows, "column string, discrete boolean, lo double, hi double")
 
 
 def bin_value(value: Column, discrete: Column, lo: Column, hi: Column, n_bins: int = 10) -> Column:

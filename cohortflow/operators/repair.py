@@ -33,14 +33,17 @@ def fit_precision(real: DataFrame, cols: Sequence[str], unique_threshold: int =
     threshold (``collect_set`` is capped by the distinct count check: a column
     above the threshold keeps no values).
     """
+    from cohortflow.functions.exprs import small_distinct_counts
+
     cols = [c for c in cols if c in real.columns and is_numeric(real, c)]
-    aggs = []
-    for c in cols:
-        x = nan_to_null(F.col(c).cast("double"))
-        aggs.append(F.struct(F.count_distinct(x).alias("nuniq"),
-                             F.max(decimals_needed(x)).alias("dec")).alias(c))
-    stats = real.agg(*aggs).unpivot([], cols, "column", "s").select(
-        "column", F.col("s.nuniq").cast("bigint").alias("real_nuniq"), F.col("s.dec").alias("decimals"))
+    wide = real.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    nd = small_distinct_counts(wide, cols, unique_threshold)
+    dec = wide.agg(*[F.max(decimals_needed(F.col(c))).alias(c) for c in cols]).first()
+    # above the threshold only "more than the threshold" matters; the sketch says so
+    big = unique_threshold + 1
+    stats = real.sparkSession.createDataFrame(
+        [(c, nd[c] if nd[c] is not None else big, dec[c]) for c in cols],
+        "column string, real_nuniq bigint, decimals int")
     small = [r["column"] for r in stats.where(F.col("real_nuniq") <= unique_threshold).collect()]
     if small:
         vals = real.select(F.explode(F.array(*[

@@ -113,7 +113,8 @@ def q_c8(spark, sf_dir):
 
 @register("D1_discrete_columns", with_ctes(*CLEAN_SYN, f"""
 rs AS ({stack_sql('ctrain', COLS)})""", tail="""
-SELECT "column", count(DISTINCT value)::BIGINT AS n_distinct, count(DISTINCT value) <= 10 AS is_discrete
+SELECT "column", CASE WHEN count(DISTINCT value) <= 10 THEN count(DISTINCT value) END::BIGINT AS n_distinct,
+       count(DISTINCT value) <= 10 AS is_discrete
 FROM rs GROUP BY "column\""""))
 def q_d1(spark, sf_dir):
     real, _, _ = _tables(spark, sf_dir)
