@@ -29,34 +29,26 @@ def fit_precision(real: DataFrame, cols: Sequence[str], unique_threshold: int =
     """B24/B25 fit: per column: real distinct count, decimals, integer type, and
     the sorted distinct values when there are at most ``unique_threshold``.
 
-    One aggregation over all columns; the value arrays are bounded by the
-    threshold (``collect_set`` is capped by the distinct count check: a column
-    above the threshold keeps no values).
+    Two passes over the real rows: HyperLogLog sketches and the decimals of
+    every column; then ``collect_set`` only for the columns whose sketch is
+    near or under the threshold (its size is the exact count), so a
+    continuous column is never collected value by value.
     """
-    from cohortflow.functions.exprs import small_distinct_counts
-
     cols = [c for c in cols if c in real.columns and is_numeric(real, c)]
     wide = real.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    nd = small_distinct_counts(wide, cols, unique_threshold)
-    dec = wide.agg(*[F.max(decimals_needed(F.col(c))).alias(c) for c in cols]).first()
-    # above the threshold only "more than the threshold" matters; the sketch says so
-    big = unique_threshold + 1
-    stats = real.sparkSession.createDataFrame(
-        [(c, nd[c] if nd[c] is not None else big, dec[c]) for c in cols],
-        "column string, real_nuniq bigint, decimals int")
-    small = [r["column"] for r in stats.where(F.col("real_nuniq") <= unique_threshold).collect()]
-    if small:
-        vals = real.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c).cast("double")).alias("v")) for c in small
-        ])).alias("kv")).select("kv.*").where(F.col("v").isNotNull()).distinct()
-        vals = vals.groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("values"))
-        stats = stats.join(vals, "column", "left")
-    else:
-        stats = stats.withColumn("values", F.lit(None).cast("array<double>"))
-    ints = {c for c in cols if real.schema[c].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")}
-    nullable_real = real.sparkSession.createDataFrame(
-        [(c, c in ints) for c in cols], "column string, real_is_int boolean")
-    return stats.join(F.broadcast(nullable_real), "column")
+    margin = int(unique_threshold * 1.5) + 10
+    first = wide.agg(*[F.approx_count_distinct(c).alias(f"a__{c}") for c in cols],
+                     *[F.max(decimals_needed(F.col(c))).alias(f"d__{c}") for c in cols]).first()
+    small = [c for c in cols if first[f"a__{c}"] <= margin]
+    sets = wide.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in small]).first() if small else {}
+    rows = []
+    for c in cols:
+        vals = list(sets[c]) if c in small else None
+        n = len(vals) if vals is not None else unique_threshold + 1
+        rows.append((c, n, first[f"d__{c}"], vals if n <= unique_threshold else None,
+                     real.schema[c].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")))
+    return real.sparkSession.createDataFrame(
+        rows, "column string, real_nuniq bigint, decimals int, values array<double>, real_is_int boolean")
 
 
 def _snap(df: DataFrame, col: str, values: list[float]) -> DataFrame:
