@@ -21,16 +21,19 @@ from cohortflow.functions.windows import prefix_sum
 def dedupe(df: DataFrame, key: str, prefer: Column, order: Sequence[str]) -> DataFrame:
     """One row per ``key``: the first row where ``prefer`` holds, else the first row.
 
-    "First" is by ``order`` (Spark has no input order, so it must be explicit).
-    ``min_by`` over a struct is a combinable aggregate: each task keeps one
-    candidate per key before the shuffle, so a patient holding a third of all
-    rows costs one row per task, not a sort of all of them.
+    "First" is by ``order`` (Spark has no input order, so it must be explicit,
+    and should be unique within a key). The whole row is packed into a struct
+    led by (not prefer, order...) and ``min`` picks it: struct comparison is
+    field by field, so the leading fields decide. ``min`` is a combinable
+    aggregate -- each task keeps one candidate per key before the shuffle, so
+    a patient holding a third of all rows costs one row per task.
     """
-    rank = F.struct(F.when(prefer, F.lit(0)).otherwise(F.lit(1)).alias("_p"),
-                    *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    cols = [c for c in df.columns]
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), rank).alias("_row"))
-    return picked.select("_row.*")
+    order = list(order)
+    rest = [c for c in df.columns if c != key and c not in order]
+    packed = F.struct(F.when(prefer, F.lit(0)).otherwise(F.lit(1)).alias("_p"),
+                      *[F.col(c) for c in order], *[F.col(c) for c in rest])
+    picked = df.groupBy(key).agg(F.min(packed).alias("_row"))
+    return picked.select(*[(F.col(key) if c == key else F.col(f"_row.{c}")).alias(c) for c in df.columns])
 
 
 def split_key(id_col: str, seed: int) -> Column:
