@@ -161,6 +161,8 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     code_rows = [(c, v, i) for c in cats for i, v in enumerate(values[c])]
     res.params["codes"] = spark.createDataFrame(code_rows, "column string, value string, code int")
     df = clean.label_encode_literal(df, values)                              # B18
-    # the clean cohort feeds every later operator: write it once
-    res.stages["encoded"] = materialize(df)
+    # every fit is now a literal, so the clean cohort is projections over the
+    # written split cohort: later plans re-derive it column by column (pruned
+    # to what they use) instead of writing a second copy
+    res.stages["encoded"] = df
     return res
