@@ -7,7 +7,6 @@ distributed MLlib / Spark job; no row data passes through the driver.
 
 from __future__ import annotations
 
-import traceback
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.operators.clean import is_numeric, nan_to_null
-from cohortflow.schema import DEFAULT, SurvivalSchema
 
 MAX_DECIMALS = 18
 

@@ -8,7 +8,6 @@ never an un-partitioned window, so one huge group is spread over many tasks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window

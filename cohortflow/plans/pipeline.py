@@ -18,8 +18,6 @@ from cohortflow.functions.exprs import pct
 
 from cohortflow.operators import clean
 from cohortflow.plans import cohort
-from cohortflow.schema import DEFAULT
-from cohortflow.session import materialize
 
 # Column roles of the derived cohort (FIXTURES.md §2), in the
 # reference's order of concerns: ids dropped, top-15 bucket, semantic clip,

@@ -3,13 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.functions.exprs import round_floats, sql_r6
-from cohortflow.functions.hashing import hash32, keyed
-from cohortflow.operators import compare, fidelity, privacy, sample, survival
-from cohortflow.plans import cohort, pipeline
+from cohortflow.operators import compare, fidelity, privacy, survival
+from cohortflow.plans import pipeline
 from cohortflow.plans.oracle import gap_sql, km_sql, with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
 from cohortflow.plans.q_repair import FEATURES, NORM_SQL, clean_syn

@@ -3,13 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.functions import hashing
 from cohortflow.functions.exprs import round_floats, sql_r6
-from cohortflow.operators import clean, compare, evaluate, models, survival, synth
-from cohortflow.plans import pipeline
+from cohortflow.operators import compare, evaluate, models, survival, synth
 from cohortflow.plans.oracle import gap_sql, with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
 from cohortflow.plans.q_metrics import _tables

@@ -3,20 +3,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.functions import hashing
 from cohortflow.functions.exprs import round_floats, sql_r6
-from cohortflow.operators import clean, compare, encode, fidelity, sample, survival
+from cohortflow.operators import compare, encode, sample
 from cohortflow.plans import pipeline
 from cohortflow.plans.oracle import with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
 from cohortflow.plans.q_metrics import COLS, _tables, stack_sql
-from cohortflow.plans.q_repair import FEATURES, NORM_SQL
+from cohortflow.plans.q_repair import FEATURES
 from cohortflow.plans.registry import register
 from cohortflow.schema import DEFAULT
 from cohortflow.sources import io

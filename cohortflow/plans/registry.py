@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import r6, round_floats, sql_r6
-from cohortflow.operators import clean, compare, sample, survival
+from cohortflow.functions.exprs import round_floats, sql_r6
+from cohortflow.operators import compare
 from cohortflow.plans import cohort
-from cohortflow.plans.oracle import BASE, BASE_SYN, gap_sql, with_ctes
+from cohortflow.plans.oracle import BASE_SYN, gap_sql, with_ctes
 from cohortflow.schema import DEFAULT
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
