@@ -51,7 +51,14 @@ def window_prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
 
 def _slice_expr(df: DataFrame, key: Column, slices: int, n: int, seed: int = 17) -> Column:
-    """Slice id = number of sampled boundaries strictly below the row's key."""
+    """Slice id = number of sampled boundaries strictly below the row's key.
+
+    The boundaries are a sorted literal array of key structs; the count is a
+    binary search (``aggregate`` over log2(#boundaries) steps, JVM-side), so
+    a row costs O(log slices) comparisons however many slices the cluster uses.
+    """
+    import math
+
     frac = min(1.0, slices * 64.0 / max(n, 1))
     keyed = df.select(key.alias("_k"))
     ktype = keyed.schema["_k"].dataType
@@ -63,14 +70,21 @@ def _slice_expr(df: DataFrame, key: Column, slices: int, n: int, seed: int = 17)
         b = sample[min(len(sample) - 1, (len(sample) * i) // slices)]
         if not bounds or b != bounds[-1]:
             bounds.append(b)
-    terms = []
-    for b in bounds:
-        lit = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, ktype.fields)])
-        terms.append(F.when(key > lit, F.lit(1)).otherwise(F.lit(0)))
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    arr = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, ktype.fields)])
+                    for b in bounds])
+    nb = len(bounds)
+    steps = max(1, math.ceil(math.log2(nb + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(nb).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.element_at(arr, mid + 1) < key
+        nxt = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+               .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, nxt).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],

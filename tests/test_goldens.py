@@ -115,15 +115,16 @@ def test_snap_ties_to_smaller(spark):
     assert {r.v for r in out.collect()} == {7.0, None}
 
 
+@pytest.mark.parametrize("by", [["g"], []])
 @pytest.mark.parametrize("desc", [False, True])
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_prefix_sum_sliced_equals_window(spark, desc, inclusive):
+def test_prefix_sum_sliced_equals_window(spark, by, desc, inclusive):
     df = spark.range(0, 3000).select((F.col("id") % 4).cast("string").alias("g"),
                                      ((F.col("id") * 7) % 3000).cast("double").alias("t"),
                                      (F.col("id") % 5).alias("c"))
-    a = prefix_sum(df, ["g"], ["t"], ["c"], descending=desc, inclusive=inclusive, window_rows=10,
-                   next_col="nx")
-    b = window_prefix_sum(df, ["g"], ["t"], ["c"], descending=desc, inclusive=inclusive, next_col="nx2")
+    a = prefix_sum(df, by, ["t"], ["c"], descending=desc, inclusive=inclusive, window_rows=10,
+                   next_col="nx", slices=13)
+    b = window_prefix_sum(df, by, ["t"], ["c"], descending=desc, inclusive=inclusive, next_col="nx2")
     j = a.join(b.withColumnRenamed("cum_c", "w"), ["g", "t", "c"])
     assert j.count() == 3000
     assert j.where("cum_c != w").count() == 0
