@@ -361,3 +361,34 @@ def q_f20(spark, sf_dir):
     real, _, syn = _tables(spark, sf_dir)
     both = real.withColumn("method", F.lit("real")).unionByName(syn, allowMissingColumns=True)
     return round_floats(fidelity.spearman_panel(both, _SP_COLS, "patient_id", by=["method"]))
+
+
+def _mmd_rbf_sql(n_features=128, sigma=0.5, seed=0):
+    W, b = fidelity.rff_params(len(COLS), n_features, sigma, seed)
+    mm = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in COLS)
+
+    def x(c):
+        return f"((CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c}))"
+
+    def feat(k):
+        z = f"{W[k][0]!r} * {x(COLS[0])}"
+        for j in range(1, len(COLS)):
+            z = f"({z} + {W[k][j]!r} * {x(COLS[j])})"
+        return f"avg(cos({z} + {b[k]!r})) AS f{k}"
+
+    feats = ", ".join(feat(k) for k in range(n_features))
+    r_long = " UNION ALL ".join(f"SELECT {k} AS k, f{k} AS mr FROM rf" for k in range(n_features))
+    s_long = " UNION ALL ".join(f"SELECT method, {k} AS k, f{k} AS ms FROM sf" for k in range(n_features))
+    return with_ctes(*CLEAN_SYN, f"mm AS (SELECT {mm} FROM ctrain)",
+                     f"rf AS (SELECT {feats} FROM ctrain, mm)",
+                     f"sf AS (SELECT method, {feats} FROM csyn, mm GROUP BY method)",
+                     f"rl AS ({r_long})", f"sl AS ({s_long})", tail=f"""
+SELECT method, {sql_r6(f'sum((ms - mr) * (ms - mr)) * {2.0 / n_features!r}')} AS mmd_rbf
+FROM sl JOIN rl USING (k) GROUP BY method""")
+
+
+@register("F4_mmd_rbf", _mmd_rbf_sql())
+def q_f4_rbf(spark, sf_dir):
+    """RBF-kernel MMD by 128 random Fourier features (seeded), real train vs each method."""
+    real, _, syn = _tables(spark, sf_dir)
+    return round_floats(fidelity.mmd_rbf(real, syn, COLS, by=["method"]))
