@@ -59,35 +59,47 @@ def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch:
                tree_count: int = 300, brier: bool = False, id_col: str = "patient_id") -> DataFrame:
     """TRTR, TSTR, TSTS C-index of Cox (and boosted trees) per
     method; train tables capped at ``max_n`` rows by hash, the test table
-    not capped. Optional Brier score of a Weibull AFT fit at the median time."""
+    not capped. Optional Brier score of a Weibull AFT fit at the median time.
+
+    Models are fitted per method (each fit a distributed job); every scored
+    table is then stacked with (method, metric) keys and all C-indices come
+    from one grouped concordance plan.
+    """
     spark = real_train.sparkSession
-    rows = []
+    keep = [sch.time, sch.status]
+    scored: list[DataFrame] = []
+
+    def add(df: DataFrame, m: str, metric: str, score_col: str = "score"):
+        scored.append(df.select(F.lit(m).alias("method"), F.lit(metric).alias("metric"), *keep,
+                                F.col(score_col).cast("double").alias("score")))
+
     rt = sample.cap_rows(real_train, max_n, id_col, seed)
     cox_r = models.CoxPH(0.01).fit(rt, sch, cols)
-    c_trtr = survival.concordance(cox_r.score(real_test), sch, "score").first()["c_index"]
     gbt_r = models.fit_log_time(rt, sch, cols, trees=tree_count) if trees else None
-    g_trtr = (survival.concordance(models.predict_log_time(gbt_r, real_test, cols), sch, "score")
-              .first()["c_index"] if trees else None)
     t_med = real_test.agg(pct(sch.time, F.lit(0.5))).first()[0] if brier else None
+    extra = []
     for m in _methods(syn):
         s = sample.cap_rows(syn.where(F.col("method") == m), max_n, id_col, seed)
         cox_s = models.CoxPH(0.01).fit(s, sch, cols)
-        rows += [(m, "cox_trtr", c_trtr),
-                 (m, "cox_tstr", survival.concordance(cox_s.score(real_test), sch, "score").first()["c_index"]),
-                 (m, "cox_tsts", survival.concordance(cox_s.score(s), sch, "score").first()["c_index"])]
+        add(cox_r.score(real_test), m, "custom.cox_trtr")
+        add(cox_s.score(real_test), m, "custom.cox_tstr")
+        add(cox_s.score(s), m, "custom.cox_tsts")
         if trees:
             g = models.fit_log_time(s, sch, cols, trees=tree_count)
-            rows += [(m, "xgb_trtr", g_trtr),
-                     (m, "xgb_tstr", survival.concordance(models.predict_log_time(g, real_test, cols), sch,
-                                                          "score").first()["c_index"]),
-                     (m, "xgb_tsts", survival.concordance(models.predict_log_time(g, s, cols), sch,
-                                                          "score").first()["c_index"])]
+            add(models.predict_log_time(gbt_r, real_test, cols), m, "custom.xgb_trtr")
+            add(models.predict_log_time(g, real_test, cols), m, "custom.xgb_tstr")
+            add(models.predict_log_time(g, s, cols), m, "custom.xgb_tsts")
         if brier:
             aft = models.fit_aft(s, sch, cols)
             p = models.survival_curve(aft, real_test, cols, [t_med], "_sv").withColumn("_p", F.col("_sv")[0])
-            rows.append((m, "brier_tstr_aft", brier_at(p, sch, "_p", t_med)))
-    out = spark.createDataFrame([(m, f"custom.{k}", None if v is None else float(v)) for m, k, v in rows],
-                                "method string, metric string, value double")
+            extra.append((m, "custom.brier_tstr_aft", brier_at(p, sch, "_p", t_med)))
+    stacked = scored[0]
+    for d in scored[1:]:
+        stacked = stacked.unionByName(d)
+    c = survival.concordance(stacked, sch, "score", by=["method", "metric"])
+    out = c.select("method", "metric", F.col("c_index").alias("value"))
+    if extra:
+        out = out.unionByName(spark.createDataFrame(extra, "method string, metric string, value double"))
     return out
 
 
@@ -190,12 +202,42 @@ def cheap_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: Surviva
     return out
 
 
+def _boot_long(spark, rows: list[tuple], metric_prefix: str) -> DataFrame:
+    """(method, b, name, value) replicate rows -> C8 summary in the long form:
+    ``<prefix>.<name>.mean`` plus ``.boot_mean/.boot_std/.boot_ci_lo/.boot_ci_hi/.boot_n``."""
+    runs = spark.createDataFrame(rows, "method string, b int, metric string, value double")
+    summ = sample.bootstrap_summary(runs, by=["method"])
+    stats = {"mean": "boot_mean", "boot_mean": "boot_mean", "boot_std": "boot_std",
+             "boot_ci_lo": "boot_ci_lo", "boot_ci_hi": "boot_ci_hi", "boot_n": "boot_n"}
+    arr = F.array(*[F.struct(F.lit(k).alias("stat"), F.col(v).cast("double").alias("value")) for k, v in stats.items()])
+    long = summ.select("method", "metric", F.explode(arr).alias("x"))
+    return long.select("method", F.concat_ws(".", F.lit(metric_prefix), F.col("metric"), F.col("x.stat")).alias("metric"),
+                       F.col("x.value").alias("value"))
+
+
 def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalSchema, cols: Sequence[str],
-                cheap: bool = True, heavy: bool = True, priv: bool = True, downstream_cox: bool = False,
-                cheap_max_n: int = 50000, seed: int = 42, id_col: str = "patient_id") -> DataFrame:
-    """tiers of metrics; each metric runs on its own and a failure
-    becomes a row with ``error`` instead of stopping the others. Results are
-    per-method numbers, so each metric's small result is collected."""
+                cheap: bool = True, heavy: bool = True, priv: bool = False, downstream_cox: bool = False,
+                cheap_max_n: int = 50000, heavy_n_sub: int = 5000, heavy_n_bootstrap: int = 3,
+                seed: int = 42, id_col: str = "patient_id") -> DataFrame:
+    """the evaluation tiers, vs the real train and the real test split.
+
+    * always: optimism / KM divergence / short-sightedness, censoring-rate
+      gap, time W1 for events and censored rows (all rows);
+    * cheap: marginal JS distance (rows capped at ``cheap_max_n``) and, vs
+      test, boosted-tree detection AUC;
+    * heavy: linear and RBF MMD, per-column W1 and inverse KL on all rows
+      (all linear in rows here), and k-NN precision/recall/density/coverage
+      and alpha-precision on ``heavy_n_bootstrap`` hash subsamples of
+      ``heavy_n_sub`` rows, summarised by C8;
+    * privacy (opt-in, as in the reference): k-anonymity, l-diversity,
+      identifiability.
+
+    Each metric runs on its own; a failure becomes a row with ``error``
+    instead of stopping the others. Results are per-method numbers, so each
+    metric's small result is collected.
+    """
+    from cohortflow.operators import neighbours
+
     spark = real.sparkSession
     all_cols = list(cols) + [sch.time, sch.status]
     s_norm = clean.normalise_labels(syn, sch)
@@ -213,35 +255,57 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
     def mean_over_columns(df, col, metric):
         return df.groupBy("method").agg(F.avg(col).alias("value")).withColumn("metric", F.lit(metric))
 
+    def knn_boot(ref, kind):
+        reps = []
+        for b in range(heavy_n_bootstrap):
+            if kind == "prdc":
+                out = neighbours.knn_metrics(ref, s_norm, all_cols, cap=heavy_n_sub, k=5, seed=seed + b)
+                names = ["precision", "recall", "density", "coverage"]
+            else:
+                out = neighbours.alpha_precision(ref, s_norm, all_cols, cap=heavy_n_sub, seed=seed + b)
+                names = ["delta_precision_alpha_naive", "delta_coverage_beta_naive", "authenticity_naive"]
+                out = out.withColumnRenamed("delta_precision_alpha", names[0]) \
+                         .withColumnRenamed("delta_coverage_beta", names[1]).withColumnRenamed("authenticity", names[2])
+            for r in out.collect():
+                reps += [(r["method"], b, n, None if r[n] is None else float(r[n])) for n in names]
+        return _boot_long(spark, reps, f"stats.{kind}")
+
     for vs, ref in (("train", real), ("test", test)):
+        run("custom", vs, "custom.survival_gap", lambda: compare.metric_long(
+            survival.survival_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
+            {"custom.optimism": "optimism", "custom.km_divergence": "km_divergence",
+             "custom.short_sightedness": "short_sightedness"}))
+        run("custom", vs, "custom.censoring_rate_diff", lambda: compare.metric_long(
+            survival.event_rate_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
+            {"custom.censoring_rate_diff": "censoring_rate_diff"}))
+        run("custom", vs, "custom.time_wass", lambda: fidelity.wasserstein_time(ref, s_norm, sch, ["method"])
+            .select("method", F.concat(F.lit("custom.time_wass_"), F.col("subset")).alias("metric"),
+                    F.col("w1").alias("value")))
         r_cap = sample.cap_rows(ref, cheap_max_n, id_col, seed)
         if cheap:
             run("cheap", vs, "stats.jensenshannon_dist.marginal.mean",
                 lambda: mean_over_columns(fidelity.jensen_shannon(r_cap, s_norm, all_cols, ["method"]),
                                           "js_distance", "stats.jensenshannon_dist.marginal.mean"))
-            run("cheap", vs, "stats.inv_kl_divergence.marginal.mean",
-                lambda: mean_over_columns(fidelity.inverse_kl(r_cap, s_norm, all_cols, ["method"]),
-                                          "inv_kl", "stats.inv_kl_divergence.marginal.mean"))
-            run("cheap", vs, "stats.wasserstein_dist.columns.mean",
-                lambda: mean_over_columns(fidelity.wasserstein_columns(r_cap, s_norm, all_cols, ["method"]),
-                                          "w1", "stats.wasserstein_dist.columns.mean"))
-            run("cheap", vs, "stats.max_mean_discrepancy.linear",
-                lambda: fidelity.mmd_linear(r_cap, s_norm, all_cols, ["method"])
+            if vs == "test":
+                run("cheap", vs, "detection.detection_xgb.mean",
+                    lambda: detection_auc(r_cap, s_norm, list(cols) + [sch.time], folds=3).drop("verdict"))
+        if heavy:
+            run("heavy", vs, "stats.max_mean_discrepancy.linear",
+                lambda: fidelity.mmd_linear(ref, s_norm, all_cols, ["method"])
                 .select("method", F.lit("stats.max_mean_discrepancy.linear").alias("metric"),
                         F.col("mmd_linear").alias("value")))
-            run("cheap", vs, "custom.survival_gap", lambda: compare.metric_long(
-                survival.survival_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
-                {"custom.optimism": "optimism", "custom.km_divergence": "km_divergence",
-                 "custom.short_sightedness": "short_sightedness"}))
-            run("cheap", vs, "custom.censoring_rate_diff", lambda: compare.metric_long(
-                survival.event_rate_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
-                {"custom.censoring_rate_diff": "censoring_rate_diff"}))
-            run("cheap", vs, "custom.time_wass", lambda: fidelity.wasserstein_time(ref, s_norm, sch, ["method"])
-                .select("method", F.concat(F.lit("custom.time_wass_"), F.col("subset")).alias("metric"),
-                        F.col("w1").alias("value")))
-        if heavy and vs == "test":
-            run("heavy", vs, "detection.detection_xgb.mean",
-                lambda: detection_auc(r_cap, s_norm, list(cols) + [sch.time], folds=3).drop("verdict"))
+            run("heavy", vs, "stats.max_mean_discrepancy.rbf",
+                lambda: fidelity.mmd_rbf(ref, s_norm, all_cols, ["method"])
+                .select("method", F.lit("stats.max_mean_discrepancy.rbf").alias("metric"),
+                        F.col("mmd_rbf").alias("value")))
+            run("heavy", vs, "stats.wasserstein_dist.columns.mean",
+                lambda: mean_over_columns(fidelity.wasserstein_columns(ref, s_norm, all_cols, ["method"]),
+                                          "w1", "stats.wasserstein_dist.columns.mean"))
+            run("heavy", vs, "stats.inv_kl_divergence.marginal.mean",
+                lambda: mean_over_columns(fidelity.inverse_kl(ref, s_norm, all_cols, ["method"]),
+                                          "inv_kl", "stats.inv_kl_divergence.marginal.mean"))
+            run("heavy", vs, "stats.prdc", lambda: knn_boot(ref, "prdc"))
+            run("heavy", vs, "stats.alpha_precision", lambda: knn_boot(ref, "alpha_precision"))
         if priv and vs == "train":
             both = ref.withColumn("method", F.lit("real")).unionByName(s_norm, allowMissingColumns=True)
             run("privacy", vs, "privacy.k-anonymization",
@@ -252,6 +316,10 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
                 lambda: privacy.l_diversity(both, ["age", "sex", "ancestry"], "cancer_type", ["method"])
                 .select("method", F.lit("privacy.l-diversity").alias("metric"),
                         F.col("l_diversity").cast("double").alias("value")))
+            run("privacy", vs, "privacy.identifiability_score",
+                lambda: neighbours.knn_metrics(ref, s_norm, all_cols, cap=heavy_n_sub, seed=seed)
+                .select("method", F.lit("privacy.identifiability_score").alias("metric"),
+                        F.col("identifiability").alias("value")))
     if downstream_cox:
         run("downstream", "test", "custom.cox", lambda: downstream(real, test, s_norm, sch, cols, trees=False))
     return spark.createDataFrame(rows, METRIC_SCHEMA)

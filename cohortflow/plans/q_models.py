@@ -216,16 +216,16 @@ def q_f23(spark, sf_dir):
 
 @register("F14_metric_tiers")
 def q_f14(spark, sf_dir):
-    """All metric tiers, failures isolated per metric (one row with the error)."""
+    """All metric tiers incl. the opt-in privacy tier, failures isolated per metric (a row with the error)."""
     real, test, syn = _tables(spark, sf_dir)
-    return round_floats(evaluate.run_metrics(real, test, syn, DEFAULT, FEATURES))
+    return round_floats(evaluate.run_metrics(real, test, syn, DEFAULT, FEATURES, priv=True, heavy_n_sub=2000))
 
 
 @register("F26_evaluate_methods")
 def q_f26(spark, sf_dir):
     """Whole evaluation, vs train and vs test, pivoted to one row per method."""
     real, test, syn = _tables(spark, sf_dir)
-    long = evaluate.run_metrics(real, test, syn, DEFAULT, FEATURES, downstream_cox=True)
+    long = evaluate.run_metrics(real, test, syn, DEFAULT, FEATURES, downstream_cox=True, heavy_n_sub=2000)
     return round_floats(compare.method_comparison(long.where(F.col("error").isNull()),
                                                   ["custom.optimism", "custom.km_divergence",
                                                    "custom.short_sightedness", "custom.cox_tstr"]))
