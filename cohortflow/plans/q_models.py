@@ -205,7 +205,19 @@ def q_f24(spark, sf_dir):
         m, ["custom.optimism", "custom.km_divergence", "custom.short_sightedness"]))
 
 
-@register("F23_subgroup_pivot")
+def _f23_sql():
+    from cohortflow.plans.registry import ORACLES as _OR
+
+    rep = _OR["F22_subgroup_report"]
+    return f"""
+WITH rep AS (SELECT * FROM ({rep}) x),
+cell AS (SELECT method, cancer_type, {sql_r6('avg(km_divergence)')} AS mean_value FROM rep GROUP BY method, cancer_type),
+gm AS (SELECT cancer_type, avg(km_divergence) AS g FROM rep GROUP BY cancer_type),
+rk AS (SELECT cancer_type, CAST(row_number() OVER (ORDER BY g ASC NULLS LAST, cancer_type) AS INTEGER) AS column_rank FROM gm)
+SELECT cell.method, cell.cancer_type, cell.mean_value, rk.column_rank FROM cell JOIN rk USING (cancer_type)"""
+
+
+@register("F23_subgroup_pivot", _f23_sql())
 def q_f23(spark, sf_dir):
     """Method x cancer type mean KM divergence, columns by ascending mean (long form with the column rank)."""
     from cohortflow.plans.registry import subgroup_report_query
