@@ -46,13 +46,17 @@ def fit_bins(real: DataFrame, cols: Sequence[str], max_discrete: int = 20, n_bin
     distinct real values is binned by value, else into ``n_bins`` equal-width
     bins over the real [min, max]. Distinct counts come from sketches first
     (``small_distinct_counts``); min/max from one aggregation."""
-    from cohortflow.functions.exprs import small_distinct_counts
-
     cols = list(cols)
     vals = [nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]
     wide = real.select(*vals)
-    nd = small_distinct_counts(wide, cols, max_discrete)
-    mm = wide.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols]).first()
+    # pass 1: sketches and ranges together; pass 2: exact counts near the limit only
+    mm = wide.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"),
+                             F.approx_count_distinct(c).alias("a")).alias(c) for c in cols]).first()
+    small = [c for c in cols if mm[c]["a"] <= int(max_discrete * 1.5) + 10]
+    nd = {c: None for c in cols}
+    if small:
+        ex = wide.agg(*[F.count_distinct(c).alias(c) for c in small]).first()
+        nd.update({c: int(ex[c]) for c in small})
     rows = [(c, nd[c] is not None and nd[c] <= max_discrete, mm[c]["lo"], mm[c]["hi"]) for c in cols]
     return real.sparkSession.createDataFrame(rows, "column string, discrete boolean, lo double, hi double")
 
