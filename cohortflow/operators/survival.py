@@ -17,6 +17,12 @@ from cohortflow.functions.windows import prefix_sum
 from cohortflow.schema import DEFAULT, SurvivalSchema
 
 
+def whole_table_key(col: str) -> Column:
+    """A constant group key ("") for the whole table that the optimizer cannot
+    fold: a literal key would turn joins on it into nested-loop joins."""
+    return F.coalesce(F.substring(F.col(col).cast("string"), 1, 0), F.lit(""))
+
+
 def event_table(df: DataFrame, sch: SurvivalSchema = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
     """(by..., time, d = events, c = subjects) per distinct time."""
     return df.groupBy(*by, sch.time).agg(
@@ -127,7 +133,8 @@ def survival_gap(real: DataFrame, syn: DataFrame, sch: SurvivalSchema = DEFAULT,
     Groups where a side is empty, or T <= 0, get nulls.
     """
     if not by:
-        real, syn = real.withColumn("_all", F.lit(0)), syn.withColumn("_all", F.lit(0))
+        real = real.withColumn("_all", whole_table_key(sch.time))
+        syn = syn.withColumn("_all", whole_table_key(sch.time))
         return survival_gap(real, syn, sch, ["_all"], syn_keys, n_grid).drop("_all")
     by, syn_keys = list(by), list(syn_keys)
     keys = syn_keys + by
@@ -176,7 +183,8 @@ def event_rate_gap(real: DataFrame, syn: DataFrame, sch: SurvivalSchema = DEFAUL
                    by: Sequence[str] = (), syn_keys: Sequence[str] = ()) -> DataFrame:
     """E5: |event rate real - event rate synthetic| per (syn key, group)."""
     if not by:
-        real, syn = real.withColumn("_all", F.lit(0)), syn.withColumn("_all", F.lit(0))
+        real = real.withColumn("_all", whole_table_key(sch.time))
+        syn = syn.withColumn("_all", whole_table_key(sch.time))
         return event_rate_gap(real, syn, sch, ["_all"], syn_keys).drop("_all")
     by, syn_keys = list(by), list(syn_keys)
     r = event_rates(real, sch, by).select(*by, F.col("event_rate").alias("real_event_rate"))
@@ -207,7 +215,7 @@ def concordance(df: DataFrame, sch: SurvivalSchema = DEFAULT, score: str = "scor
     range-partitioned ``prefix_sum``, so no group or time lands in one task.
     """
     if not by:
-        out = concordance(df.withColumn("_all", F.lit(0)), sch, score, ["_all"])
+        out = concordance(df.withColumn("_all", whole_table_key(sch.time)), sch, score, ["_all"])
         return out.drop("_all")
     by = list(by)
     t, s = F.col(sch.time), F.col(score)

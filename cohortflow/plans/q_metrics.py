@@ -60,7 +60,7 @@ SELECT i, {sql_r6('x')} AS g, {sql_r6('coalesce(k.s, 1.0::DOUBLE)')} AS s
 FROM grid ASOF LEFT JOIN km k ON grid.x >= k.time"""))
 def q_e3(spark, sf_dir):
     _, test, _ = _tables(spark, sf_dir)
-    t = test.withColumn("_all", F.lit(0))
+    t = test.withColumn("_all", survival.whole_table_key("time"))
     km = survival.kaplan_meier(t, DEFAULT, ["_all"])
     grid = t.groupBy("_all").agg(F.max("time").alias("T"))
     out = survival.step_at(km, grid, ["_all"], "time", 500)
