@@ -109,6 +109,13 @@ def q_f8(spark, sf_dir):
     return round_floats(evaluate.detection_auc(real, syn, FEATURES + ["time", "status"], folds=3))
 
 
+@register("F8_detection_auc_mlp")
+def q_f8_mlp(spark, sf_dir):
+    """k-fold AUC of a perceptron (one hidden layer of 16) telling real train rows from each method."""
+    real, _, syn = _tables(spark, sf_dir)
+    return round_floats(evaluate.detection_auc(real, syn, FEATURES + ["time", "status"], folds=3, model="mlp"))
+
+
 @register("F9_feature_rank_distance")
 def q_f9(spark, sf_dir):
     """Spearman correlation of tree feature importances, real fit vs each method's fit."""
