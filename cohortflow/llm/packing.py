@@ -19,6 +19,7 @@ the tokenizer, so ids equal those of the whole text.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -34,7 +35,15 @@ CAPACITY = 2048
 #: Rounds of multiplicative weights.
 ROUNDS = 400
 #: Words whose ids a task keeps; a cache only, what is not in it is encoded again.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
+#: Texts that are looked up together.
+TEXTS = 1024
+#: Marks that the pattern parts from the letters before them (no apostrophe: contractions are words of their own).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte alphabet of the model: printable Latin-1 characters stand for themselves,
+#: the other bytes for the characters from U+0100 on, in order. Blanks part runs here.
+_PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_ALPHABET = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)} | {0x20: 0x20}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,33 +53,86 @@ class WordIds:
 
     The tokenizer's pattern never joins across white space and its normaliser
     (NFC, lower case) works within words, so the ids of a text are those of its
-    words in turn; words repeat, so their ids are kept.
+    words in turn; words repeat, so their ids are kept. The pattern also parts a
+    run of letters from the marks behind it, so a word of Latin letters and marks
+    is the ids of its lower-cased letters and those of its marks. New runs of
+    letters are encoded together, as one text of words; a run's last id is one
+    that ends a word.
     """
 
     def __init__(self, path: str | None = None) -> None:
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # The same model over runs of letters that are already in its byte alphabet.
+        self.bare = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words, self.letters = _Kept(), _Kept()
+
+    def _single(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _runs(self, runs: list[str]) -> None:
+        """Keeps the ids of lower-case runs of letters."""
+        for at in range(0, len(runs), 4000):
+            part = runs[at : at + 4000]
+            text = " ".join(part)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(_ALPHABET)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a run of letters has several words")
+            packed = ids.tobytes()
+            self.letters.new.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends], ends))))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        known, runs = self.words.turn(), self.letters.turn()
+        whole, cores, marks = [], [], []
+        for w in self.words.missing(set().union(*words)):
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (w.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                whole.append(w)
+                cores.append(core.lower())
+                marks.append(w[len(core):])
+            else:
+                known[w] = self._single(w)
+        self._runs(list(self.letters.missing(set(cores))))
+        behind = {m: self._single(m) if m else b"" for m in set(marks)}
+        known.update(zip(whole, map(bytes.__add__, map(runs.__getitem__, cores), map(behind.__getitem__, marks))))
         get = known.__getitem__
         for ws in words:
             yield b"".join(map(get, ws))
 
 
+class _Kept:
+    """A bounded memory of ids by text: the last CACHE_WORDS new entries, and those used since."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> dict[str, bytes]:
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        return self.new
+
+    def missing(self, texts: set[str]) -> set[str]:
+        texts = texts.difference(self.new)
+        out = texts.difference(self.old)
+        for t in texts.difference(out):
+            self.new[t] = self.old[t]
+        return out
+
+
 _WORD_IDS: dict[str | None, WordIds] = {}
 
 
@@ -86,7 +148,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     def run(batches):
         coder = word_ids(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, TEXTS):
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), coder.encode(texts)):
@@ -138,13 +200,13 @@ def solve(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS,
     lengths = np.array(sorted(hist))
     need = np.array([hist[int(x)] for x in lengths], float)
     covered, x, bound = np.zeros(len(lengths)), defaultdict(float), 0.0
-    for _ in range(rounds):
+    for step_ in range(rounds):
         open_ = covered < need - 1e-9
         if not open_.any():
             break
         y = lengths * np.exp(-eta * covered / need)
-        best, last = knapsack(lengths, y, capacity)
-        bound = max(bound, float((y * need).sum() / best[capacity]))
+        if step_ % 20 == 0:  # any weights give a bound: y over the best configuration's value is dual feasible
+            bound = max(bound, float((y * need).sum() / knapsack(lengths, y, capacity)[0][capacity]))
         # Pricing over what is still open, so that no length is covered twice.
         idx = np.flatnonzero(open_)
         best, last = knapsack(lengths[idx], y[idx], capacity)
