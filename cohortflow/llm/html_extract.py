@@ -257,8 +257,9 @@ def training_pages(sample: list[str], seed: int = 0) -> list[tuple[np.ndarray, n
 
 
 def train(pages: DataFrame, seed: int = 0) -> dict[str, np.ndarray]:
-    sample = (pages.where(F.col("html").isNotNull()).select(F.xxhash64("html").alias("h"), F.col("html").cast("string").alias("html"))
-              .orderBy("h", "html").limit(FIT_PAGES).collect())
+    rows = pages.where(F.col("html").isNotNull()).select(F.xxhash64("html").alias("h"), F.col("html").cast("string").alias("html"))
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(FIT_PAGES).collect()]
+    sample = rows.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").collect()  # a page for each hash
     made = training_pages([r.html for r in sample], seed)
     return fit(made, STEPS, seed) if made else start(seed)
 

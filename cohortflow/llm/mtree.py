@@ -167,7 +167,9 @@ class Tree:
 
 def _directory(rows: DataFrame, cells: int, dims: int) -> np.ndarray:
     """Routing objects: the ``cells`` vectors of least hash."""
-    got = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(cells).collect()
+    hashed = rows.select("v", F.xxhash64("v").alias("h"))
+    least = [r.h for r in hashed.select("h").orderBy("h").limit(cells).collect()]  # of distinct vectors
+    got = hashed.where(F.col("h").isin(least)).orderBy("h", "v").limit(cells).collect()
     return matrix([bytes(r.v) for r in got], dims)
 
 
