@@ -242,16 +242,16 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """Each row's doc_id, text_hash, fp (signed), fingerprint (16 hex digits) and
-    component_id, the smallest doc_id that links reach."""
+    """Each row's doc_id, text_hash, fingerprint (16 hex digits), root (a fingerprint that
+    names its group) and component_id, the smallest doc_id that links reach."""
     rows = checkpoint(fingerprints(docs, words))
     ids = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = checkpoint(connected_components(links(ids.select("fp"), bits)))
     merged = ids.join(roots.toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = merged.join(least, "root").select("fp", "component_id")
+    named = merged.join(least, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp").select(
-        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -259,8 +259,7 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     (null ids last), of equal ids that of the smallest text hash; all columns stay."""
     rows = checkpoint(near_duplicates(docs, words, bits))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    # Rows of null component (no id at all) are told apart by their root's texts: group by fp then.
-    kept = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(key).alias("k"))
+    kept = rows.groupBy("root").agg(F.min(key).alias("k"))
     ids = kept.select(F.col("k.doc_id").alias("id_"), F.col("k.text_hash").alias("hash_"))
     d = docs.withColumn("text_hash__", F.xxhash64("text"))
     one = d.join(ids, d["doc_id"].eqNullSafe(ids["id_"]) & (d["text_hash__"] == ids["hash_"]), "left_semi")
