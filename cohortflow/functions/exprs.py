@@ -71,3 +71,19 @@ def small_distinct_counts(df: DataFrame, cols: list[str], limit: int) -> dict[st
         exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in small]).first()
         out.update({c: int(exact[c]) for c in small})
     return out
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys meet; columns: keys, rest of left, rest of right."""
+    keys = list(keys)
+    rest = [c for c in right.columns if c not in keys]
+    # Own names on the right, so that every column is told by its name.
+    r = right.select(*[F.col(k).alias(f"_key_r{i}") for i, k in enumerate(keys)],
+                     *[F.col(c).alias(f"_val_r{i}") for i, c in enumerate(rest)])
+    on = F.col(keys[0]).eqNullSafe(F.col("_key_r0"))
+    for i, k in enumerate(keys[1:], 1):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_r{i}"))
+    named = [F.coalesce(F.col(k), F.col(f"_key_r{i}")).alias(k) if how in ("outer", "right") else F.col(k)
+             for i, k in enumerate(keys)]
+    return left.join(r, on, how).select(*named, *[F.col(c) for c in left.columns if c not in keys],
+                                        *[F.col(f"_val_r{i}").alias(c) for i, c in enumerate(rest)])

@@ -47,22 +47,3 @@ def normal(key: Column | str, stream: str, seed: int) -> Column:
     u1 = uniform(key, stream + ":a", seed)
     u2 = uniform(key, stream + ":b", seed)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
-def poisson_small(key: Column | str, stream: str, seed: int, lam: Column) -> Column:
-    """Poisson(lam) draw by inversion, JVM-side (``aggregate`` over 1..63).
-
-    Used for the resampling copies of C6, where lam is O(1); the tail beyond
-    63 has probability below 1e-40 there.
-    """
-    u = uniform(key, stream, seed)
-    p0 = F.exp(-lam)
-    start = F.struct(p0.alias("p"), p0.alias("cdf"), F.lit(0).alias("k"))
-
-    def step(acc, k):
-        p = acc["p"] * lam / k
-        return F.when(acc["cdf"] < u,
-                      F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), k.alias("k"))
-                      ).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step)["k"].cast("int")

@@ -2,20 +2,18 @@
 
 ``Window.orderBy(...)`` with no partition key moves every row into one task,
 and ``Window.partitionBy(group)`` puts a group holding a third of all rows
-into one task. ``prefix_sum`` bounds the rows per task either way:
-
-* up to ``cohortflow.prefixSum.windowRows`` input rows (default 2M) it is a
-  plain window -- no task can hold more than that;
-* beyond, rows get a *slice* from the sort key compared with boundaries drawn
-  from a sample (a parameter of at most ``slices`` keys brought to the
-  driver). Each (slice, group) gets its local running sum in a window; the
-  per-(slice, group) totals -- at most #groups + slices rows -- get an
-  exclusive running sum over slices, joined back as an offset.
-
-The slice is a pure function of the row's key (literal boundaries), so the
-two branches of the plan, and any recomputation after a lost executor, agree
-on it. Order keys must be numeric (descending = negated); rows with equal
-(group, order) keys must have been aggregated first, as every caller does.
+into one task. ``prefix_sum`` has one plan at every size: rows get a *slice*
+from the sort key compared with boundaries drawn from a bounded sample. Each
+(slice, group) gets its local running sum in a window; the per-(slice, group)
+totals -- at most #groups + slices rows -- get an exclusive running sum over
+slices, joined back (null-safe) as an offset.
+
+The input is checkpointed once, so the sample, the local sums and the totals
+read the same written rows, and the slice is a pure function of the row's key
+(literal boundaries): any recomputation after a lost executor agrees. Order
+keys must be numeric (descending = negated; nulls come first either way); rows
+with equal (group, order) keys must have been aggregated first, as every caller
+does.
 """
 
 from __future__ import annotations
@@ -25,13 +23,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_ROWS_CONF = "cohortflow.prefixSum.windowRows"
-DEFAULT_WINDOW_ROWS = 2_000_000
+from cohortflow.session import cut_lineage
+
+#: Keys sampled for each slice boundary.
+SAMPLED = 32
 
 
 def _sort_exprs(order: Sequence[str], descending: bool) -> list[Column]:
     if descending:
-        return [F.col(c).desc_nulls_last() for c in order]
+        return [F.col(c).desc_nulls_first() for c in order]
     return [F.col(c).asc_nulls_first() for c in order]
 
 
@@ -39,7 +39,7 @@ def window_prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                       cols: Sequence[str], descending: bool = False,
                       inclusive: bool = True, out_prefix: str = "cum_",
                       next_col: str | None = None) -> DataFrame:
-    """Plain-window running sum (callers bound the row count)."""
+    """Plain-window running sum: the reference that tests compare ``prefix_sum`` with."""
     frame_end = Window.currentRow if inclusive else -1
     w0 = Window.orderBy(*_sort_exprs(order, descending))
     if by:
@@ -50,19 +50,20 @@ def window_prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                             for c in cols], *extra)
 
 
-def _slice_expr(df: DataFrame, key: Column, slices: int, n: int, seed: int = 17) -> Column:
+def _slice_expr(df: DataFrame, key: Column, slices: int) -> Column:
     """Slice id = number of sampled boundaries strictly below the row's key.
 
-    The boundaries are a sorted literal array of key structs; the count is a
-    binary search (``aggregate`` over log2(#boundaries) steps, JVM-side), so
+    The sample is the SAMPLED x slices keys of least hash, so it needs no row
+    count and is the same whenever it is drawn again. The boundaries are a
+    sorted literal array of key structs; the count is a binary search (``aggregate`` over log2(#boundaries) steps, JVM-side), so
     a row costs O(log slices) comparisons however many slices the cluster uses.
     """
     import math
 
-    frac = min(1.0, slices * 64.0 / max(n, 1))
     keyed = df.select(key.alias("_k"))
     ktype = keyed.schema["_k"].dataType
-    sample = [r["_k"] for r in keyed.sample(False, frac, seed).orderBy("_k").collect()]
+    least = keyed.withColumn("_h", F.xxhash64("_k")).orderBy("_h").limit(SAMPLED * slices)
+    sample = [r["_k"] for r in least.select("_k").orderBy("_k").collect()]
     if not sample:
         return F.lit(0)
     bounds = []
@@ -90,29 +91,23 @@ def _slice_expr(df: DataFrame, key: Column, slices: int, n: int, seed: int = 17)
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                cols: Sequence[str], descending: bool = False,
                inclusive: bool = True, out_prefix: str = "cum_",
-               slices: int | None = None, window_rows: int | None = None,
-               n: int | None = None, next_col: str | None = None) -> DataFrame:
+               slices: int | None = None, next_col: str | None = None) -> DataFrame:
     """Add ``<out_prefix><c>`` = running sum of ``c`` within ``by`` ordered by ``order``.
 
-    ``inclusive=False`` gives the sum over strictly earlier rows. ``n`` is
-    the row count of ``df`` when the caller already knows it. ``next_col``
+    ``inclusive=False`` gives the sum over strictly earlier rows. ``next_col``
     also adds the next row's first order key (a lead that crosses slices).
+    Null group values form groups of their own.
     """
     by, order, cols = list(by), list(order), list(cols)
     spark = df.sparkSession
-    if window_rows is None:
-        window_rows = int(spark.conf.get(WINDOW_ROWS_CONF, str(DEFAULT_WINDOW_ROWS)))
-    if n is None:
-        n = df.count()
-    if n <= window_rows:
-        return window_prefix_sum(df, by, order, cols, descending, inclusive, out_prefix, next_col)
     if slices is None:
         slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    df = cut_lineage(df)
 
     ord_keys = [(-F.col(c) if descending else F.col(c)) for c in order]
     key = F.struct(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)],
                    *[k.alias(f"_o{i}") for i, k in enumerate(ord_keys)])
-    sliced = df.withColumn("_slice", _slice_expr(df, key, slices, n))
+    sliced = df.withColumn("_slice", _slice_expr(df, key, slices))
 
     frame_end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy("_slice", *by).orderBy(*_sort_exprs(order, descending))
@@ -124,19 +119,18 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
     first = (F.max if descending else F.min)(order[0]).alias("_first")
     totals = sliced.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols], first)
-    if by:
-        w_off = Window.partitionBy(*by).orderBy("_slice")
-    else:
-        # one row per slice: this window holds at most `slices` rows
-        w_off = Window.orderBy("_slice")
-    w_off = w_off.rowsBetween(Window.unboundedPreceding, -1)
-    w_next = (Window.partitionBy(*by) if by else Window).orderBy("_slice")
+    # One row per (slice, group): without groups, `slices` rows at most.
+    w_next = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_slice")
+    w_off = w_next.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_slice", *by,
+        F.col("_slice").alias("_slice_r"), *[F.col(b).alias(f"_by_r{i}") for i, b in enumerate(by)],
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in cols],
         F.lead("_first").over(w_next).alias("_next_first"))
 
-    joined = local.join(offsets, on=["_slice", *by], how="inner")
+    on = F.col("_slice") == F.col("_slice_r")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_r{i}"))
+    joined = local.join(offsets, on, "inner")
     extra_out = [F.coalesce(F.col("_lead"), F.col("_next_first")).alias(next_col)] if next_col else []
     return joined.select(
         *[F.col(c) for c in df.columns],

@@ -26,14 +26,19 @@ WEIGHT_FLOOR = 1e-3
 
 def discrete_columns(df: DataFrame, cols: Sequence[str], limit: int = 10) -> DataFrame:
     """(column, n_distinct, is_discrete); ``n_distinct`` is exact for the
-    discrete columns and null for columns ruled out by their sketch."""
+    discrete numeric columns and null for columns ruled out by their sketch.
+    Text and boolean columns are always discrete; their ``n_distinct`` is
+    given up to ``limit`` and null beyond it."""
     from cohortflow.functions.exprs import small_distinct_counts
+    from cohortflow.operators.clean import is_numeric
 
     cols = list(cols)
-    nd = small_distinct_counts(df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]),
+    numeric = {c for c in cols if is_numeric(df, c)}
+    nd = small_distinct_counts(df.select(*[(nan_to_null(F.col(c).cast("double")) if c in numeric
+                                            else F.col(c).cast("string")).alias(c) for c in cols]),
                                cols, limit)
-    rows = [(c, nd[c] if nd[c] is not None and nd[c] <= limit else None,
-             nd[c] is not None and nd[c] <= limit) for c in cols]
+    few = {c: nd[c] is not None and nd[c] <= limit for c in cols}
+    rows = [(c, nd[c] if few[c] else None, few[c] or c not in numeric) for c in cols]
     return df.sparkSession.createDataFrame(rows, "column string, n_distinct bigint, is_discrete boolean")
 
 

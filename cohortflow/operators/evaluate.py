@@ -176,21 +176,13 @@ def feature_rank_distance(real: DataFrame, syn: DataFrame, sch: SurvivalSchema,
     return spark.createDataFrame(rows, "method string, metric string, value double")
 
 
-def projection_2d(real: DataFrame, syn: DataFrame, cols: Sequence[str], n_per_side: int = 2500,
-                  seed: int = 42, id_col: str = "patient_id") -> DataFrame:
+def projection_2d(real: DataFrame, syn: DataFrame, cols: Sequence[str], id_col: str = "patient_id") -> DataFrame:
     """F21 (re-aimed from t-SNE): standardise, then PCA to 2 components over
-    at most ``n_per_side`` rows of real and of each method (hash cap)."""
+    all rows of real and of every method."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    r = sample.cap_rows(real, n_per_side, id_col, seed).select(F.lit("real").alias("method"), id_col, *cols)
-    parts = [r]
-    for m in _methods(syn):
-        parts.append(sample.cap_rows(syn.where(F.col("method") == m), n_per_side, id_col, seed)
-                     .select("method", id_col, *cols))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    both = real.select(F.lit("real").alias("method"), id_col, *cols).unionByName(syn.select("method", id_col, *cols))
     v = VectorAssembler(inputCols=list(cols), outputCol="x", handleInvalid="keep").transform(both)
     sc = StandardScaler(inputCol="x", outputCol="xs", withMean=True, withStd=True).fit(v).transform(v)
     pc = PCA(k=2, inputCol="xs", outputCol="pc").fit(sc).transform(sc)
@@ -229,13 +221,13 @@ def _boot_long(spark, rows: list[tuple], metric_prefix: str) -> DataFrame:
 
 def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalSchema, cols: Sequence[str],
                 cheap: bool = True, heavy: bool = True, priv: bool = False, downstream_cox: bool = False,
-                cheap_max_n: int = 50000, heavy_n_sub: int = 5000, heavy_n_bootstrap: int = 3,
+                heavy_n_sub: int = 5000, heavy_n_bootstrap: int = 3,
                 seed: int = 42, id_col: str = "patient_id") -> DataFrame:
     """the evaluation tiers, vs the real train and the real test split.
 
     * always: optimism / KM divergence / short-sightedness, censoring-rate
       gap, time W1 for events and censored rows (all rows);
-    * cheap: marginal JS distance (rows capped at ``cheap_max_n``) and, vs
+    * cheap: marginal JS distance and, vs
       test, boosted-tree detection AUC;
     * heavy: linear and RBF MMD, per-column W1 and inverse KL on all rows
       (all linear in rows here), and k-NN precision/recall/density/coverage
@@ -293,14 +285,13 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
         run("custom", vs, "custom.time_wass", lambda: fidelity.wasserstein_time(ref, s_norm, sch, ["method"])
             .select("method", F.concat(F.lit("custom.time_wass_"), F.col("subset")).alias("metric"),
                     F.col("w1").alias("value")))
-        r_cap = sample.cap_rows(ref, cheap_max_n, id_col, seed)
         if cheap:
             run("cheap", vs, "stats.jensenshannon_dist.marginal.mean",
-                lambda: mean_over_columns(fidelity.jensen_shannon(r_cap, s_norm, all_cols, ["method"]),
+                lambda: mean_over_columns(fidelity.jensen_shannon(ref, s_norm, all_cols, ["method"]),
                                           "js_distance", "stats.jensenshannon_dist.marginal.mean"))
             if vs == "test":
                 run("cheap", vs, "detection.detection_xgb.mean",
-                    lambda: detection_auc(r_cap, s_norm, list(cols) + [sch.time], folds=3).drop("verdict"))
+                    lambda: detection_auc(ref, s_norm, list(cols) + [sch.time], folds=3).drop("verdict"))
         if heavy:
             run("heavy", vs, "stats.max_mean_discrepancy.linear",
                 lambda: fidelity.mmd_linear(ref, s_norm, all_cols, ["method"])

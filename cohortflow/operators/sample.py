@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
-
-from cohortflow.functions.hashing import TWO_32, hash32, keyed, poisson_small, uniform
+from cohortflow.functions.exprs import join_null_safe, pct
+from cohortflow.functions.hashing import TWO_32, hash32, keyed, uniform
 from cohortflow.functions.windows import prefix_sum
+from cohortflow.session import cut_lineage
 
 
 def dedupe(df: DataFrame, key: str, prefer: Column, order: Sequence[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def stratified_split(df: DataFrame, by: Sequence[str], id_col: str, frac: float
     keyed_df = df.withColumn("_u", split_key(id_col, seed)).withColumn("_one", F.lit(1))
     ranked = prefix_sum(keyed_df, by, ["_u", id_col], ["_one"], out_prefix="_rank")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(sizes, by)
+    j = join_null_safe(ranked, sizes, by)
     return (j.withColumn(out, F.col("_rank_one") <= F.floor(F.col("_n") * float(frac)))
             .drop("_u", "_one", "_rank_one", "_n"))
 
@@ -110,20 +110,31 @@ def balanced_weights(df: DataFrame, label_cols: Sequence[str]) -> DataFrame:
 
 def balanced_resample(df: DataFrame, label_cols: Sequence[str], n: int, id_col: str,
                       seed: int = 42) -> DataFrame:
-    """About ``n`` rows with replacement, each class drawn equally often.
-
-    Row r of class c (size n_c, K classes) is copied Poisson(n / (K n_c))
-    times -- the expected total is n and classes are balanced. The copies
-    come from ``explode(sequence)``; each copy carries a ``copy`` index.
+    """Exactly ``n`` rows with replacement, each class drawn equally often.
+
+    Slot j in 0..n-1 draws a class (of the K classes in label order) and a row
+    of it by two hashed uniforms; the rows of a class are numbered by
+    (hash, id) with a distributed running count. Both joins are equi-joins on
+    (class, row number), whose repeated keys are all on the slots' side, where
+    adaptive execution can split them. Each row carries its ``slot``. Null
+    labels are a class; an empty table gives no rows.
     """
-    w = balanced_weights(df, label_cols)
-    k = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    w = w.withColumn("_lam", F.lit(float(n)) / (k * F.col("n")))
-    j = df.join(F.broadcast(w.select(*label_cols, "_lam")), list(label_cols))
-    copies = poisson_small(F.col(id_col), "balanced", seed, F.col("_lam"))
-    j = j.withColumn("_k", copies).where(F.col("_k") > 0)
-    return (j.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-            .drop("_lam", "_k"))
+    labels = list(label_cols)
+    classes = balanced_weights(df, labels)
+    order = Window.partitionBy(F.lit(0)).orderBy(*labels)  # one row per class
+    classes = cut_lineage(classes.withColumn("_class", F.row_number().over(order) - 1))
+    k = classes.count()
+    slots = df.sparkSession.range(n).select(
+        F.col("id").alias("slot"),
+        F.floor(uniform(F.col("id"), "balanced:class", seed) * k).cast("int").alias("_class"),
+        uniform(F.col("id"), "balanced:row", seed).alias("_at"))
+    slots = slots.join(classes.select("_class", "n"), "_class").select(
+        "slot", "_class", F.floor(F.col("_at") * F.col("n")).cast("long").alias("_row"))
+    rows = join_null_safe(df, classes.select(*labels, "_class"), labels)
+    rows = prefix_sum(rows.withColumn("_u", split_key(id_col, seed)).withColumn("_one", F.lit(1)),
+                      ["_class"], ["_u", id_col], ["_one"], out_prefix="_row")
+    rows = rows.withColumn("_row", F.col("_row_one") - 1).drop("_u", "_one", "_row_one")
+    return slots.join(rows, ["_class", "_row"]).drop("_class", "_row")
 
 
 def cycle(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

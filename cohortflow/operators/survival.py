@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import join_null_safe
 from cohortflow.functions.windows import prefix_sum
 from cohortflow.schema import DEFAULT, SurvivalSchema
 
@@ -39,14 +40,13 @@ def kaplan_meier(df: DataFrame, sch: SurvivalSchema = DEFAULT, by: Sequence[str]
     """
     by = list(by)
     ev = event_table(df, sch, by)
-    n_ev = ev.count()  # one count decides the running-sum strategy for both passes
-    ev = prefix_sum(ev, by, [sch.time], ["c"], descending=True, out_prefix="_risk_", n=n_ev)
+    ev = prefix_sum(ev, by, [sch.time], ["c"], descending=True, out_prefix="_risk_")
     ev = ev.withColumnRenamed("_risk_c", "n_at_risk")
     n = F.col("n_at_risk").cast("double")
     d = F.col("d").cast("double")
     ev = ev.withColumn("_lf", F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0))) \
            .withColumn("_z", F.when((d >= n) & (d > 0), F.lit(1)).otherwise(F.lit(0)))
-    ev = prefix_sum(ev, by, [sch.time], ["_lf", "_z"], out_prefix="_cum", n=n_ev)
+    ev = prefix_sum(ev, by, [sch.time], ["_lf", "_z"], out_prefix="_cum")
     s = F.when(F.col("_cum_z") > 0, F.lit(0.0)).otherwise(F.exp(F.col("_cum_lf")))
     return ev.select(*by, sch.time, F.col("n_at_risk").cast("bigint").alias("n_at_risk"),
                      F.col("d").cast("bigint").alias("d"), F.col("c").cast("bigint").alias("c"),
@@ -109,13 +109,13 @@ def step_at(km: DataFrame, grid: DataFrame, by: Sequence[str], time: str = "time
     curve), and a forward fill over the n_grid rows of a group carries it on.
     """
     by = list(by)
-    steps = km.join(grid.select(*by, "T"), by)
+    steps = join_null_safe(km, grid.select(*by, "T"), by)
     steps = steps.where(F.col(time) <= F.col("T")) \
         .withColumn("i", grid_cell(F.col(time), F.col("T"), n_grid))
     cells = steps.groupBy(*by, "i").agg(F.max_by(F.col(value), F.col(time)).alias("_v"))
     pts = grid.select(*by, "T", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"))
     pts = pts.withColumn("g", grid_point(F.col("i"), F.col("T"), n_grid))
-    j = pts.join(cells, [*by, "i"], "left")
+    j = join_null_safe(pts, cells, [*by, "i"], "left")
     w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last("_v", ignorenulls=True).over(w), F.lit(float(default)))
     return j.select(*by, "i", "g", "T", filled.alias(value))
@@ -141,18 +141,18 @@ def survival_gap(real: DataFrame, syn: DataFrame, sch: SurvivalSchema = DEFAULT,
     t = F.col(sch.time)
     r_max = real.groupBy(*by).agg(F.max(t).alias("T_real"))
     s_max = syn.groupBy(*keys).agg(F.max(t).alias("T_syn"))
-    pairs = s_max.join(r_max, by, "inner")
+    pairs = join_null_safe(s_max, r_max, by, "left")
     pairs = pairs.withColumn("T", F.greatest("T_real", "T_syn"))
-    grid = pairs.where(F.col("T") > 0).select(*keys, "T")
+    grid = pairs.where((F.col("T") > 0) & F.col("T_real").isNotNull() & F.col("T_syn").isNotNull()).select(*keys, "T")
 
     km_r = kaplan_meier(real, sch, by)
     km_s = kaplan_meier(syn, sch, keys)
     # real curve per (syn key, group): join on the group only; the real KM is
     # small (distinct times per group) and the grid side holds one row per key
-    km_r_k = km_r.join(grid.select(*keys), by, "inner")
+    km_r_k = join_null_safe(grid.select(*keys), km_r, by, "inner")
     sr = step_at(km_r_k, grid, keys, sch.time, n_grid).withColumnRenamed("s", "s_real")
     ss = step_at(km_s, grid, keys, sch.time, n_grid).select(*keys, "i", F.col("s").alias("s_syn"))
-    curve = sr.join(ss, [*keys, "i"])
+    curve = join_null_safe(sr, ss, [*keys, "i"])
     w = Window.partitionBy(*keys).orderBy("i")
     diff = F.col("s_syn") - F.col("s_real")
     nxt_g = F.lead("g").over(w)
@@ -163,11 +163,11 @@ def survival_gap(real: DataFrame, syn: DataFrame, sch: SurvivalSchema = DEFAULT,
                        ((nxt_g - F.col("g")) * (F.abs(diff) + nxt_a) / 2.0).alias("_k"))
     integ = seg.groupBy(*keys).agg((F.sum("_o") / F.first("T")).alias("optimism"),
                                    (F.sum("_k") / F.first("T")).alias("km_divergence"))
-    short = F.when(F.col("T_real") > 0,
+    short = F.when(F.col("T_real").isNull() | F.col("T_syn").isNull(), F.lit(None)).when(F.col("T_real") > 0,
                    F.greatest(F.lit(0.0), (F.col("T_real") - F.col("T_syn")) / F.col("T_real"))
                    ).otherwise(F.lit(0.0))
     return (pairs.select(*keys, "T_real", "T_syn", short.alias("short_sightedness"))
-            .join(integ, keys, "left")
+            .transform(lambda x: join_null_safe(x, integ, keys, "left"))
             .select(*keys, "optimism", "km_divergence", "short_sightedness"))
 
 
@@ -189,7 +189,7 @@ def event_rate_gap(real: DataFrame, syn: DataFrame, sch: SurvivalSchema = DEFAUL
     by, syn_keys = list(by), list(syn_keys)
     r = event_rates(real, sch, by).select(*by, F.col("event_rate").alias("real_event_rate"))
     s = event_rates(syn, sch, syn_keys + by).select(*syn_keys, *by, F.col("event_rate").alias("syn_event_rate"))
-    j = s.join(r, by)
+    j = join_null_safe(s, r, by)
     return j.withColumn("censoring_rate_diff", F.abs(F.col("real_event_rate") - F.col("syn_event_rate")))
 
 
@@ -230,12 +230,12 @@ def concordance(df: DataFrame, sch: SurvivalSchema = DEFAULT, score: str = "scor
     times = times.withColumn("_one", F.lit(1))
     times = prefix_sum(times, by, [sch.time], ["_one", "_nt"], out_prefix="_cum")
     tot = cells.groupBy(*by).agg(F.sum(F.col("ne") + F.col("nc")).alias("_N"))
-    times = times.join(tot, by)
+    times = join_null_safe(times, tot, by)
     times = times.select(*by, sch.time, (F.col("_cum_one") - 1).cast("long").alias("_k"),
                          (F.col("_N") - F.col("_cum_nt")).alias("_later"),
                          (F.col("_et") * F.col("_ct")).alias("_same"))
     comp = times.groupBy(*by).agg(F.sum(F.col("_same")).alias("_c_same"))
-    cells = cells.join(times.select(*by, sch.time, "_k", "_later"), [*by, sch.time])
+    cells = join_null_safe(cells, times.select(*by, sch.time, "_k", "_later"), [*by, sch.time])
     comp_later = cells.groupBy(*by).agg(F.sum(F.col("ne") * F.col("_later")).alias("_c_later"))
     levels = cells.agg(F.max("_k").alias("m")).first()["m"]
     n_levels = max(1, int(levels or 0).bit_length())
@@ -262,7 +262,7 @@ def concordance(df: DataFrame, sch: SurvivalSchema = DEFAULT, score: str = "scor
                                F.sum(F.col("ne") * F.col("nc")).alias("tie"))
 
     num = cross.unionByName(same).groupBy(*by).agg(F.sum("conc").alias("conc"), F.sum("tie").alias("tie"))
-    j = comp_later.join(comp, by, "outer").join(num, by, "left")
+    j = join_null_safe(join_null_safe(comp_later, comp, by, "outer"), num, by, "left")
     n_comp = F.coalesce(F.col("_c_later"), F.lit(0)) + F.coalesce(F.col("_c_same"), F.lit(0))
     c_index = (F.coalesce(F.col("conc"), F.lit(0)) + 0.5 * F.coalesce(F.col("tie"), F.lit(0))) / n_comp
     return j.select(*by, n_comp.cast("bigint").alias("n_comparable"),

@@ -127,7 +127,7 @@ def q_f9(spark, sf_dir):
 def q_f21(spark, sf_dir):
     """Standardise + PCA(2) of up to 2 500 rows a side (real and each method)."""
     real, _, syn = _tables(spark, sf_dir)
-    return round_floats(evaluate.projection_2d(real, syn, FEATURES, n_per_side=2500))
+    return round_floats(evaluate.projection_2d(real, syn, FEATURES))
 
 
 @register("G1_synthesizer")

@@ -59,15 +59,24 @@ def q_c6(spark, sf_dir):
     return round_floats(sample.balanced_weights(lab, ["status", "time_bin"]))
 
 
+@register("C6_balanced_resample", with_ctes(*CLEAN_SYN, f"""
+lab AS (SELECT patient_id, status, CAST(least(floor(time / 12.0), 9) AS INTEGER) AS time_bin FROM ctrain),
+cls AS (SELECT status, time_bin, n, row_number() OVER (ORDER BY status, time_bin) - 1 AS c, count(*) OVER () AS k
+        FROM (SELECT status, time_bin, count(*) AS n FROM lab GROUP BY ALL)),
+ranked AS (SELECT patient_id, status, time_bin,
+                  row_number() OVER (PARTITION BY status, time_bin ORDER BY {u_sql("patient_id", 42)}, patient_id) - 1 AS r FROM lab),
+slots AS (SELECT j AS slot, CAST(floor({u_sql("j", "balanced:class|42")} * (SELECT max(k) FROM cls)) AS BIGINT) AS c,
+                 {u_sql("j", "balanced:row|42")} AS u FROM range(0, 20000) g(j))""", tail="""
+SELECT slot, patient_id, ranked.status, ranked.time_bin
+FROM slots JOIN cls USING (c)
+JOIN ranked ON ranked.status = cls.status AND ranked.time_bin = cls.time_bin AND ranked.r = CAST(floor(u * n) AS BIGINT)"""))
 def q_c6_resample(spark, sf_dir):
     real, _, _ = _tables(spark, sf_dir)
     lab = real.withColumn("time_bin", F.least(F.floor(F.col("time") / 12.0), F.lit(9)).cast("int"))
     return sample.balanced_resample(lab, ["status", "time_bin"], 20000, "patient_id", 42).select(
-        "patient_id", "copy", "status", "time_bin")
+        "slot", "patient_id", "status", "time_bin")
 
 
-register("C6_balanced_resample")(q_c6_resample)
-
 
 @register("C7_cycle_conditional", with_ctes(*CLEAN_SYN, """
 idx AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) - 1 AS src FROM ctest)""",

@@ -122,8 +122,7 @@ def test_prefix_sum_sliced_equals_window(spark, by, desc, inclusive):
     df = spark.range(0, 3000).select((F.col("id") % 4).cast("string").alias("g"),
                                      ((F.col("id") * 7) % 3000).cast("double").alias("t"),
                                      (F.col("id") % 5).alias("c"))
-    a = prefix_sum(df, by, ["t"], ["c"], descending=desc, inclusive=inclusive, window_rows=10,
-                   next_col="nx", slices=13)
+    a = prefix_sum(df, by, ["t"], ["c"], descending=desc, inclusive=inclusive, next_col="nx", slices=13)
     b = window_prefix_sum(df, by, ["t"], ["c"], descending=desc, inclusive=inclusive, next_col="nx2")
     j = a.join(b.withColumnRenamed("cum_c", "w"), ["g", "t", "c"])
     assert j.count() == 3000
@@ -143,3 +142,35 @@ def test_survival_gap_identical_is_zero(spark):
     assert g.short_sightedness == pytest.approx(0.5)
     assert g.optimism < 0
     assert not math.isnan(g.km_divergence)
+
+
+@pytest.mark.parametrize("slices", [2, 4, 64])
+def test_prefix_sum_keeps_null_groups(spark, slices):
+    df = spark.createDataFrame([(g, float(t), 1) for g in (None, "a") for t in range(20)], "g string, t double, c int")
+    got = prefix_sum(df, ["g"], ["t"], ["c"], slices=slices).collect()
+    assert sorted((r.g or "", r.t, r.cum_c) for r in got) == sorted((g, float(t), t + 1) for g in ("", "a") for t in range(20))
+
+
+def test_survival_gap_keeps_groups_without_a_real_side(spark):
+    real = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 0), (None, 3.0, 1)], "grp string, time double, status int")
+    syn = spark.createDataFrame([("m", "a", 1.5, 1), ("m", "b", 2.0, 1), ("m", None, 3.0, 1)], "method string, grp string, time double, status int")
+    got = {r.grp: r for r in survival.survival_gap(real, syn, DEFAULT, by=["grp"], syn_keys=["method"]).collect()}
+    assert set(got) == {"a", "b", None}
+    assert got["b"].optimism is None and got["b"].short_sightedness is None
+    assert got[None].optimism == pytest.approx(0.0) and got["a"].short_sightedness == pytest.approx(0.25)
+
+
+def test_balanced_resample_gives_a_rare_class_its_share(spark):
+    from cohortflow.operators import sample
+
+    df = spark.createDataFrame([(k, None if k < 10 else k % 2) for k in range(2000)], "patient_id long, lab int")
+    got = sample.balanced_resample(df, ["lab"], 3000, "patient_id").groupBy("lab").count().collect()
+    assert sum(r["count"] for r in got) == 3000 and all(850 < r["count"] < 1150 for r in got) and len(got) == 3
+
+
+def test_discrete_columns_take_text(spark):
+    from cohortflow.operators import encode
+
+    df = spark.createDataFrame([(f"t{k}", k % 2 == 0, float(k)) for k in range(50)], "a string, b boolean, x double")
+    got = {r.column: (r.n_distinct, r.is_discrete) for r in encode.discrete_columns(df, ["a", "b", "x"]).collect()}
+    assert got == {"a": (None, True), "b": (2, True), "x": (None, False)}
