@@ -18,6 +18,7 @@ from cohortflow.functions.hashing import hash32, keyed
 from cohortflow.functions.windows import prefix_sum
 from cohortflow.operators import clean, compare, fidelity, models, privacy, sample, survival
 from cohortflow.schema import DEFAULT, SurvivalSchema
+from cohortflow.session import cut_lineage
 
 METRIC_SCHEMA = "method string, vs string, metric string, value double, tier string, error string"
 
@@ -54,6 +55,25 @@ def brier_at(df: DataFrame, sch: SurvivalSchema, pred: str, t_star: float) -> fl
     return total / n if n else float("nan")
 
 
+def together(tasks: list, threads: int = 6) -> list:
+    """Results of the functions ``tasks``, run as concurrent Spark jobs from driver
+    threads: model fits are chains of short jobs that leave most cores idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda f: inheritable_thread_target(spark)(f)(), tasks))
+
+
+def fit_sample(df: DataFrame, max_n: int, id_col: str, seed: int) -> DataFrame:
+    """At most ``max_n`` rows to fit on (``sample.cap_rows``), written once and spread over partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut_lineage(sample.cap_rows(df, max_n, id_col, seed).repartition(min(parts, 8), F.col(id_col)))
+
+
 def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch: SurvivalSchema,
                cols: Sequence[str], max_n: int = 20000, seed: int = 42, trees: bool = True,
                tree_count: int = 300, brier: bool = False, id_col: str = "patient_id") -> DataFrame:
@@ -66,33 +86,42 @@ def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch:
     from one grouped concordance plan.
     """
     spark = real_train.sparkSession
+    cols = list(cols)
     keep = [sch.time, sch.status]
+    need = [id_col, *keep, *[c for c in cols if c not in keep]]
+    real_test = cut_lineage(real_test.select(*need))
+    syn = cut_lineage(syn.select("method", *need))
+    rt = fit_sample(real_train.select(*need), max_n, id_col, seed)
+    t_med = real_test.agg(pct(sch.time, F.lit(0.5))).first()[0] if brier else None
+    methods = _methods(syn)
+    tables = [rt, *together([lambda m=m: fit_sample(syn.where(F.col("method") == m), max_n, id_col, seed) for m in methods])]
+    cox = [lambda t=t: models.CoxPH(0.01).fit(t, sch, cols) for t in tables]
+    gbt = [lambda t=t: models.fit_log_time(t, sch, cols, trees=tree_count) for t in tables] if trees else []
+    aft = [lambda t=t: models.fit_aft(t, sch, cols) for t in tables[1:]] if brier else []
+    fitted = together(gbt + cox + aft)
+    gbt, cox, aft = fitted[: len(gbt)], fitted[len(gbt) : len(gbt) + len(cox)], fitted[len(gbt) + len(cox) :]
+
     scored: list[DataFrame] = []
 
     def add(df: DataFrame, m: str, metric: str, score_col: str = "score"):
         scored.append(df.select(F.lit(m).alias("method"), F.lit(metric).alias("metric"), *keep,
                                 F.col(score_col).cast("double").alias("score")))
 
-    rt = sample.cap_rows(real_train, max_n, id_col, seed)
-    cox_r = models.CoxPH(0.01).fit(rt, sch, cols)
-    gbt_r = models.fit_log_time(rt, sch, cols, trees=tree_count) if trees else None
-    t_med = real_test.agg(pct(sch.time, F.lit(0.5))).first()[0] if brier else None
-    extra = []
-    for m in _methods(syn):
-        s = sample.cap_rows(syn.where(F.col("method") == m), max_n, id_col, seed)
-        cox_s = models.CoxPH(0.01).fit(s, sch, cols)
-        add(cox_r.score(real_test), m, "custom.cox_trtr")
-        add(cox_s.score(real_test), m, "custom.cox_tstr")
-        add(cox_s.score(s), m, "custom.cox_tsts")
+    for k, m in enumerate(methods, 1):
+        s = syn.where(F.col("method") == m)  # fitted on a capped sample, scored on all rows
+        add(cox[0].score(real_test), m, "custom.cox_trtr")
+        add(cox[k].score(real_test), m, "custom.cox_tstr")
+        add(cox[k].score(s), m, "custom.cox_tsts")
         if trees:
-            g = models.fit_log_time(s, sch, cols, trees=tree_count)
-            add(models.predict_log_time(gbt_r, real_test, cols), m, "custom.xgb_trtr")
-            add(models.predict_log_time(g, real_test, cols), m, "custom.xgb_tstr")
-            add(models.predict_log_time(g, s, cols), m, "custom.xgb_tsts")
-        if brier:
-            aft = models.fit_aft(s, sch, cols)
-            p = models.survival_curve(aft, real_test, cols, [t_med], "_sv").withColumn("_p", F.col("_sv")[0])
-            extra.append((m, "custom.brier_tstr_aft", brier_at(p, sch, "_p", t_med)))
+            add(models.predict_log_time(gbt[0], real_test, cols), m, "custom.xgb_trtr")
+            add(models.predict_log_time(gbt[k], real_test, cols), m, "custom.xgb_tstr")
+            add(models.predict_log_time(gbt[k], s, cols), m, "custom.xgb_tsts")
+
+    def brier_of(k: int) -> tuple:
+        p = models.survival_curve(aft[k], real_test, cols, [t_med], "_sv").withColumn("_p", F.col("_sv")[0])
+        return methods[k], "custom.brier_tstr_aft", brier_at(p, sch, "_p", t_med)
+
+    extra = together([lambda k=k: brier_of(k) for k in range(len(aft))])
     stacked = scored[0]
     for d in scored[1:]:
         stacked = stacked.unionByName(d)
@@ -114,33 +143,34 @@ def detection_auc(real: DataFrame, syn: DataFrame, cols: Sequence[str], folds: i
     from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
+    from pyspark.ml.functions import vector_to_array
+
     spark = real.sparkSession
-    rows = []
-    for m in _methods(syn):
-        s = syn.where(F.col("method") == m).select(id_col, *cols).withColumn("label", F.lit(1.0))
-        r = real.select(id_col, *cols).withColumn("label", F.lit(0.0))
-        both = r.unionByName(s).withColumn(
-            "fold", (hash32(keyed(F.concat(F.col(id_col).cast("string"), F.col("label").cast("string")), seed))
-                     % folds).cast("int"))
+    real = cut_lineage(real.select(id_col, *cols))
+    syn = cut_lineage(syn.select("method", id_col, *cols))
+    methods = _methods(syn)
+    fold = (hash32(keyed(F.concat(F.col(id_col).cast("string"), F.col("label").cast("string")), seed)) % folds).cast("int")
+
+    def held_out_auc(m: str, f: int):
+        both = real.withColumn("label", F.lit(0.0)).unionByName(
+            syn.where(F.col("method") == m).drop("method").withColumn("label", F.lit(1.0))).withColumn("fold", fold)
         both = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep").transform(both)
-        aucs = []
-        for f in range(folds):
-            if model == "mlp":
-                est = Pipeline(stages=[
-                    StandardScaler(inputCol="features", outputCol="_zf", withMean=True, withStd=True),
-                    MultilayerPerceptronClassifier(featuresCol="_zf", layers=[len(cols), hidden, 2],
-                                                   maxIter=max_iter, seed=seed)])
-            else:
-                est = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
-            fitted = est.fit(both.where(F.col("fold") != f))
-            from pyspark.ml.functions import vector_to_array
-
-            pred = fitted.transform(both.where(F.col("fold") == f))
-            pred = pred.select("label", vector_to_array("probability")[1].alias("score"))
-            a = compare.auc_rank(pred, "label", "score").first()["auc"]
-            aucs.append(a)
-        good = [a for a in aucs if a is not None]
-        name = "detection.detection_mlp.mean" if model == "mlp" else "detection.detection_xgb.mean"
+        if model == "mlp":
+            est = Pipeline(stages=[
+                StandardScaler(inputCol="features", outputCol="_zf", withMean=True, withStd=True),
+                MultilayerPerceptronClassifier(featuresCol="_zf", layers=[len(cols), hidden, 2],
+                                               maxIter=max_iter, seed=seed)])
+        else:
+            est = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+        pred = est.fit(both.where(F.col("fold") != f)).transform(both.where(F.col("fold") == f))
+        pred = pred.select("label", vector_to_array("probability")[1].alias("score"))
+        return compare.auc_rank(pred, "label", "score").first()["auc"]
+
+    aucs = together([lambda m=m, f=f: held_out_auc(m, f) for m in methods for f in range(folds)])
+    name = "detection.detection_mlp.mean" if model == "mlp" else "detection.detection_xgb.mean"
+    rows = []
+    for k, m in enumerate(methods):
+        good = [a for a in aucs[k * folds : (k + 1) * folds] if a is not None]
         rows.append((m, name, sum(good) / len(good) if good else None))
     auc = spark.createDataFrame(rows, "method string, metric string, value double")
     return compare.detection_verdict(auc, "value")
@@ -166,10 +196,15 @@ def feature_rank_distance(real: DataFrame, syn: DataFrame, sch: SurvivalSchema,
                 r[idx] = np.mean(r[idx])
         return r
 
-    imp_r = models.fit_log_time(real, sch, cols, trees=trees).featureImportances.toArray()
+    need = list(dict.fromkeys([*cols, sch.time, sch.status]))
+    real = cut_lineage(real.select(*need))
+    syn = cut_lineage(syn.select("method", *need))
+    methods = _methods(syn)
+    importances = together([lambda t=t: models.fit_log_time(t, sch, cols, trees=trees).featureImportances.toArray()
+                            for t in [real, *[syn.where(F.col("method") == m) for m in methods]]])
+    imp_r = importances[0]
     rows = []
-    for m in _methods(syn):
-        imp_s = models.fit_log_time(syn.where(F.col("method") == m), sch, cols, trees=trees).featureImportances.toArray()
+    for m, imp_s in zip(methods, importances[1:]):
         a, b = ranks(list(imp_r)), ranks(list(imp_s))
         rho = float(np.corrcoef(a, b)[0, 1]) if np.std(a) > 0 and np.std(b) > 0 else None
         rows.append((m, "performance.feat_rank_distance.corr", rho))
@@ -244,17 +279,18 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
 
     spark = real.sparkSession
     all_cols = list(cols) + [sch.time, sch.status]
-    s_norm = clean.normalise_labels(syn, sch)
-    rows: list[tuple] = []
+    real, test = cut_lineage(real), cut_lineage(test)  # every metric reads them
+    s_norm = cut_lineage(clean.normalise_labels(syn, sch))
+    tasks: list = []
 
     def run(tier, vs, name, fn):
-        try:
-            for r in fn().collect():
-                v = r["value"]
-                rows.append((r["method"], vs, r["metric"] if "metric" in r.asDict() else name,
-                             None if v is None else float(v), tier, None))
-        except Exception as exc:  # noqa: BLE001  (isolation is the point)
-            rows.append((None, vs, name, None, tier, f"{type(exc).__name__}: {str(exc)[:300]}"))
+        def rows_of() -> list[tuple]:
+            try:
+                return [(r["method"], vs, r["metric"] if "metric" in r.asDict() else name,
+                         None if r["value"] is None else float(r["value"]), tier, None) for r in fn().collect()]
+            except Exception as exc:  # noqa: BLE001  (isolation is the point)
+                return [(None, vs, name, None, tier, f"{type(exc).__name__}: {str(exc)[:300]}")]
+        tasks.append(rows_of)
 
     def mean_over_columns(df, col, metric):
         return df.groupBy("method").agg(F.avg(col).alias("value")).withColumn("metric", F.lit(metric))
@@ -274,7 +310,7 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
                 reps += [(r["method"], b, n, None if r[n] is None else float(r[n])) for n in names]
         return _boot_long(spark, reps, f"stats.{kind}")
 
-    for vs, ref in (("train", real), ("test", test)):
+    def tiers(vs: str, ref: DataFrame) -> None:
         run("custom", vs, "custom.survival_gap", lambda: compare.metric_long(
             survival.survival_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
             {"custom.optimism": "optimism", "custom.km_divergence": "km_divergence",
@@ -323,6 +359,8 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
                 lambda: neighbours.knn_metrics(ref, s_norm, all_cols, cap=heavy_n_sub, seed=seed)
                 .select("method", F.lit("privacy.identifiability_score").alias("metric"),
                         F.col("identifiability").alias("value")))
+    tiers("train", real)
+    tiers("test", test)
     if downstream_cox:
         run("downstream", "test", "custom.cox", lambda: downstream(real, test, s_norm, sch, cols, trees=False))
-    return spark.createDataFrame(rows, METRIC_SCHEMA)
+    return spark.createDataFrame([r for rows in together(tasks) for r in rows], METRIC_SCHEMA)
