@@ -30,27 +30,6 @@ def sql_r6(expr: str, digits: int = 6) -> str:
     return f"(CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END)"
 
 
-APPROX_CONF = "cohortflow.approxQuantiles"
-
-
-def pct(x: Column | str, q: Column, accuracy: int = 100000) -> Column:
-    """Quantile(s) of ``x``: exact ``percentile`` (pandas' linear rule) by default.
-
-    Exact percentiles keep a value -> count map per group, which grows with the
-    number of distinct values; at cluster scale set the session conf
-    ``cohortflow.approxQuantiles=true`` to use the mergeable
-    ``percentile_approx`` sketch (rank error about 1/accuracy) instead.
-    """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    approx = spark is not None and spark.conf.get(APPROX_CONF, "false").lower() == "true"
-    col = F.col(x) if isinstance(x, str) else x
-    if approx:
-        return F.percentile_approx(col, q, F.lit(accuracy))
-    return F.percentile(col, q)
-
-
 def small_distinct_counts(df: DataFrame, cols: list[str], limit: int) -> dict[str, int | None]:
     """Exact distinct counts for the columns that can be at most ``limit``; None
     for the others.

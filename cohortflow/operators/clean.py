@@ -14,7 +14,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
+from cohortflow.functions.exprs import join_null_safe
+from cohortflow.functions.quantiles import column_quantiles, grouped_quantiles
 from pyspark.sql import types as T
 
 from cohortflow.schema import DEFAULT, SurvivalSchema
@@ -145,24 +146,19 @@ def count_out_of_range(df: DataFrame, col: str, lo: float, hi: float) -> DataFra
 
 
 def fit_quantile_bounds(train: DataFrame, cols: Sequence[str], q: float = 0.99,
-                        lo: float = 0.0, exact: bool = True) -> DataFrame:
-    """B10 fit: one aggregation for all columns -> (column, lo, hi).
-
-    ``percentile`` is exact with linear interpolation (pandas' default). It
-    keeps a value -> count map per column, so above a size limit pass
-    ``exact=False`` for ``percentile_approx`` (a mergeable sketch).
-    """
+                        lo: float = 0.0) -> DataFrame:
+    """B10 fit: exact quantiles of all columns in one plan -> (column, lo, hi);
+    a column without values has a null hi."""
     cols = [c for c in cols if c in train.columns]
     if not cols:
         return train.sparkSession.createDataFrame([], "column string, lo double, hi double")
-    aggs = []
-    for c in cols:
-        x = nan_to_null(F.col(c).cast("double"))
-        p = pct(x, F.lit(q)) if exact else F.percentile_approx(x, F.lit(q), F.lit(100000))
-        aggs.append(p.alias(c))
-    wide = train.agg(*aggs)
-    long = wide.unpivot([], cols, "column", "hi")
-    return long.select("column", F.lit(float(lo)).alias("lo"), F.col("hi").cast("double"))
+    found = column_quantiles(train, cols, [q])
+    return (_one_row_each(train, cols).join(found, "column", "left")
+            .select("column", F.lit(float(lo)).alias("lo"), F.col("q")[0].alias("hi")))
+
+
+def _one_row_each(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
 
 
 def apply_bounds(df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -246,16 +242,13 @@ def integer_columns(train: DataFrame, candidates: Iterable[str]) -> list[str]:
     return [c for c in cands if c in ok]
 
 
-def fit_medians(train: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """B14 fit: (column, median) in one aggregation. Exact = pandas' median."""
+def fit_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """B14 fit: (column, median), exact; null for a column without values."""
     cols = [c for c in cols if c in train.columns]
     if not cols:
         return train.sparkSession.createDataFrame([], "column string, median double")
-    aggs = []
-    for c in cols:
-        x = nan_to_null(F.col(c).cast("double"))
-        aggs.append((F.median(x) if exact else F.percentile_approx(x, F.lit(0.5), F.lit(100000))).alias(c))
-    return train.agg(*aggs).unpivot([], cols, "column", "median")
+    found = column_quantiles(train, cols, [0.5])
+    return _one_row_each(train, cols).join(found, "column", "left").select("column", F.col("q")[0].alias("median"))
 
 
 def medians_map(params: DataFrame) -> dict[str, float]:
@@ -467,8 +460,11 @@ def clip_time_to_real(syn: DataFrame, real: DataFrame, sch: SurvivalSchema = DEF
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count_if(t < tmin).cast("bigint").alias("n_below"),
         F.count_if(t > tmax).cast("bigint").alias("n_above"),
-        pct(t, F.lit(0.01)).alias("q01"),
-        pct(t, F.lit(0.5)).alias("q50"),
-        pct(t, F.lit(0.99)).alias("q99"),
     )
-    return clipped, report
+    q = grouped_quantiles(syn, by, [0.01, 0.5, 0.99], value=sch.time)
+    if by:
+        report, found = join_null_safe(report, q, by, "left"), F.col("q")
+    else:  # one row
+        found = F.lit((q.first() or [[None] * 3])[0])
+    names = [found[i].alias(n) for i, n in enumerate(("q01", "q50", "q99"))]
+    return clipped, report.select(*[c for c in report.columns if c != "q"], *names)

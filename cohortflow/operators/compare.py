@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
+from cohortflow.functions.exprs import join_null_safe
+from cohortflow.functions.quantiles import grouped_quantiles
 
 from cohortflow.operators import clean, survival
 from cohortflow.schema import DEFAULT, SurvivalSchema
@@ -126,9 +127,10 @@ def preflight(syn_all: DataFrame, real: DataFrame, sch: SurvivalSchema = DEFAULT
         F.count(F.lit(1)).alias("n"), F.count_if(t.isNull()).alias("na_t"), F.count_if(s.isNull()).alias("na_s"),
         F.count(t).alias("n_t"),
         F.count_if(t < r_lo * 0.5).alias("n_below"), F.count_if(t > r_hi * 2.0).alias("n_above"),
-        pct(t, F.lit(0.05)).alias("q05"), pct(t, F.lit(0.95)).alias("q95"),
         F.count_if(s.isNotNull() & ~s_round.isin(0.0, 1.0)).alias("n_nonbinary"),
         F.avg(s_clip).alias("s_ev"))
+    q = grouped_quantiles(syn_all, [method], [0.05, 0.95], value=sch.time)
+    st = join_null_safe(st, q, [method], "left").select("*", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q95"))
     oob = F.col("n_below") + F.col("n_above")
     checks = F.array(
         F.struct(F.lit("null_time").alias("check"),

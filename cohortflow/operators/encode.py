@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
+from cohortflow.functions.quantiles import column_quantiles
 
 from cohortflow.operators.clean import nan_to_null
 from cohortflow.operators.fidelity import stack
@@ -58,7 +58,7 @@ def init_modes(train: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     sigma = (q90 - q10) / (2k) (floored), equal weights. Used as the EM start
     and as a fixed parameter table where an exact oracle is needed."""
     qs = [(j + 0.5) / k for j in range(k)] + [0.1, 0.9]
-    st = stack(train, cols).groupBy("column").agg(pct("value", F.array(*[F.lit(q) for q in qs])).alias("q"))
+    st = column_quantiles(train, cols, qs)
     comps = F.array(*[F.struct(F.lit(j).alias("comp"), F.col("q")[j].alias("mu")) for j in range(k)])
     sig = F.greatest((F.col("q")[k + 1] - F.col("q")[k]) / (2.0 * k), F.lit(SIGMA_FLOOR))
     return st.select("column", F.explode(comps).alias("c"), sig.alias("sigma")).select(

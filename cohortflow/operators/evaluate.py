@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
+from cohortflow.functions.quantiles import median_map
 
 from cohortflow.functions.hashing import hash32, keyed
 from cohortflow.functions.windows import prefix_sum
@@ -92,7 +92,7 @@ def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch:
     real_test = cut_lineage(real_test.select(*need))
     syn = cut_lineage(syn.select("method", *need))
     rt = fit_sample(real_train.select(*need), max_n, id_col, seed)
-    t_med = real_test.agg(pct(sch.time, F.lit(0.5))).first()[0] if brier else None
+    t_med = median_map(real_test, [sch.time])[sch.time] if brier else None
     methods = _methods(syn)
     tables = [rt, *together([lambda m=m: fit_sample(syn.where(F.col("method") == m), max_n, id_col, seed) for m in methods])]
     cox = [lambda t=t: models.CoxPH(0.01).fit(t, sch, cols) for t in tables]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
+from cohortflow.functions.quantiles import grouped_quantiles
 
 from cohortflow.functions.windows import prefix_sum
 from cohortflow.operators.clean import nan_to_null
@@ -194,8 +194,8 @@ def marginal_table(real: DataFrame, syn: DataFrame, cols: Sequence[str], by: Seq
     pairs = ss.select(*by, "column").distinct()
     pooled = rs.join(pairs, "column").select(*by, "column", "value", "discrete").unionByName(
         ss.select(*by, "column", "value", "discrete"))
-    rng = pooled.where(~F.col("discrete")).groupBy(*by, "column").agg(
-        pct("value", F.lit(0.01)).alias("lo"), pct("value", F.lit(0.99)).alias("hi"))
+    rng = grouped_quantiles(pooled.where(~F.col("discrete")), [*by, "column"], [0.01, 0.99]).select(
+        *by, "column", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     nb = n_edges - 1
 
     def side(df, keys, name):

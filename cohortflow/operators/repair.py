@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortflow.functions.quantiles import median_map
 from cohortflow.operators.clean import is_numeric, nan_to_null
 
 MAX_DECIMALS = 18
@@ -285,7 +286,6 @@ def median_then_zero_fill(df: DataFrame, codes: DataFrame | None, cols: Sequence
     out = out.select(*[nan_to_null(F.col(c).cast("double")).alias(c) if c in num else F.col(c)
                        for c in out.columns])
     if medians is None:
-        row = out.agg(*[F.median(c).alias(c) for c in num]).first()
-        medians = {c: row[c] for c in num}
+        medians = median_map(out, num)
     return out.select(*[F.coalesce(F.col(c), F.lit(medians.get(c)).cast("double"), F.lit(0.0)).alias(c)
                         if c in num else F.col(c) for c in out.columns])

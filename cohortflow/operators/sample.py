@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import join_null_safe, pct
+from cohortflow.functions.exprs import join_null_safe
 from cohortflow.functions.hashing import TWO_32, hash32, keyed, uniform
+from cohortflow.functions.quantiles import grouped_quantiles
 from cohortflow.functions.windows import prefix_sum
 from cohortflow.session import cut_lineage
 
@@ -159,13 +160,14 @@ def bootstrap_summary(runs: DataFrame, metric: str = "metric", value: str = "val
     """
     v = F.col(value)
     finite = runs.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return finite.groupBy(*by, metric).agg(
+    stats = finite.groupBy(*by, metric).agg(
         F.avg(v).alias("boot_mean"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("boot_std"),
-        pct(v, F.lit(0.025)).alias("boot_ci_lo"),
-        pct(v, F.lit(0.975)).alias("boot_ci_hi"),
         F.count(v).cast("bigint").alias("boot_n"),
     )
+    q = grouped_quantiles(finite, [*by, metric], [0.025, 0.975], value=value)
+    return join_null_safe(stats, q, [*by, metric]).select(
+        *by, metric, "boot_mean", "boot_std", F.col("q")[0].alias("boot_ci_lo"), F.col("q")[1].alias("boot_ci_hi"), "boot_n")
 
 
 def cap_rows_by(df: DataFrame, n: int, id_col: str, by: str, seed: int = 42) -> DataFrame:

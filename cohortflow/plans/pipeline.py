@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import pct
+from cohortflow.functions.quantiles import median_map, quantile_map
 
 from cohortflow.operators import clean
 from cohortflow.plans import cohort
@@ -71,9 +71,9 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
 
     The fits are merged into as few passes over the training rows as their
     dependencies allow: (1) the top-15 list; (2) one aggregation for the
-    missing profile before and after the text coercions, the integer check
-    and every median; (3) one aggregation for the p99 bounds and the sorted
-    categories of every text column. Each pass returns one small row.
+    missing profile before and after the text coercions and the integer check,
+    then one quantile job for the medians; (3) one aggregation for the sorted
+    categories of every text column, one quantile job for the p99 bounds.
     """
     res = CleanResult()
     df = cohort.split_cohort(spark, sf_dir)
@@ -107,7 +107,6 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
         aggs.append(_null_share(coerced_expr[c], flt).alias(f"p2__{c}"))
     for c in numeric_after:
         x = clean.nan_to_null(coerced_expr[c].cast("double"))
-        aggs.append(F.median(x).alias(f"med__{c}"))
         if c in INT_CANDIDATES:
             aggs.append(F.count(x).alias(f"n__{c}"))
             aggs.append(F.coalesce(F.bool_and(x == F.bround(x, 0)), F.lit(True)).alias(f"int__{c}"))
@@ -128,7 +127,7 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     miss = [c for c in kept if r[f"p2__{c}"] > 0]
     num_missing = [c for c in miss if clean.is_numeric(df, c)]
     str_missing = [c for c in miss if clean.is_string(df, c)]
-    med = {c: r[f"med__{c}"] for c in num_missing}                          # B14
+    med = median_map(train(df), num_missing)                                 # B14
     res.params["medians"] = med
     df = clean.impute_median(df, med)
     df = clean.impute_constant(df, str_missing, "Unknown")                   # B15
@@ -137,11 +136,10 @@ def build_clean_cohort(spark: SparkSession, sf_dir: str) -> CleanResult:
     # ---- pass 3: p99 bounds (B10) and sorted categories of text columns
     cats = [c for c in kept if clean.is_string(df, c) and c not in LABELS]
     p99_cols = [c for c in P99_COLUMNS if c in df.columns]
-    aggs = [pct(clean.nan_to_null(F.col(c).cast("double")), F.lit(0.99)).alias(f"q__{c}") for c in p99_cols]
-    aggs += [F.array_sort(F.collect_set(F.col(c))).alias(f"v__{c}") for c in cats]
+    aggs = [F.array_sort(F.collect_set(F.col(c))).alias(f"v__{c}") for c in cats]
     aggs += [F.max(F.col(c).isNull().cast("int")).alias(f"nn__{c}") for c in cats]
     r3 = train(df).agg(*aggs).first()
-    p99 = {c: (0.0, float(r3[f"q__{c}"])) for c in p99_cols}
+    p99 = {c: (0.0, q[0]) for c, q in quantile_map(train(df), p99_cols, [0.99]).items()}
     res.params["p99"] = p99
     df = clean.apply_bounds(df, p99)
     res.stages["quantile_clipped"] = df
