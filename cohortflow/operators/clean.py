@@ -443,6 +443,17 @@ def real_time_range(real: DataFrame, sch: SurvivalSchema = DEFAULT) -> DataFrame
     return b.select(tmin.alias("tmin"), F.greatest(F.col("tmax"), tmin * 1.01).alias("tmax"))
 
 
+def _clip_time(syn: DataFrame, tmin: float, tmax: float, sch: SurvivalSchema) -> DataFrame:
+    t = F.col(sch.time)
+    return syn.withColumn(sch.time, F.when(t < tmin, F.lit(tmin)).when(t > tmax, F.lit(tmax)).otherwise(t))
+
+
+def clip_time(syn: DataFrame, real: DataFrame, sch: SurvivalSchema = DEFAULT) -> DataFrame:
+    """B22 without its report: only the real range is read."""
+    r = real_time_range(real, sch).first()
+    return _clip_time(syn, float(r["tmin"]), float(r["tmax"]), sch)
+
+
 def clip_time_to_real(syn: DataFrame, real: DataFrame, sch: SurvivalSchema = DEFAULT,
                       by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Clip synthetic time into the real [min, max]; report below/above/quantiles.
@@ -454,8 +465,7 @@ def clip_time_to_real(syn: DataFrame, real: DataFrame, sch: SurvivalSchema = DEF
     r = real_time_range(real, sch).first()
     tmin, tmax = float(r["tmin"]), float(r["tmax"])
     t = F.col(sch.time)
-    clipped = syn.withColumn(sch.time, F.when(t < tmin, F.lit(tmin))
-                             .when(t > tmax, F.lit(tmax)).otherwise(t))
+    clipped = _clip_time(syn, tmin, tmax, sch)
     report = syn.groupBy(*by).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count_if(t < tmin).cast("bigint").alias("n_below"),

@@ -262,17 +262,18 @@ def average_ranks(df: DataFrame, cols: Sequence[str], row_id: str, by: Sequence[
 def spearman_panel(df: DataFrame, cols: Sequence[str], row_id: str, by: Sequence[str] = ()) -> DataFrame:
     """Spearman rho for every column pair (Pearson on average ranks).
 
-    Ranks are pivoted back to one row per record, then every row emits its
-    C(C-1)/2 column pairs (C <= 25 columns, a fixed fan-out per row) and one
-    grouped ``corr`` aggregates them.
+    Ranks are pivoted back to one row per record; one aggregation holds the
+    means, squares and products of all pairs (C <= 25 columns), and only its
+    one row per group is unfolded into pairs.
     """
     cols = list(cols)
     r = average_ranks(df, cols, row_id, by)
     wide = r.groupBy(*by, row_id).pivot("column", cols).agg(F.first("rank"))
-    pairs = [F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.col(a).alias("x"), F.col(b).alias("y"))
-             for i, a in enumerate(cols) for b in cols[i + 1:]]
-    long = wide.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*")
-    return long.groupBy(*by, "c1", "c2").agg(pearson("x", "y").alias("rho"))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    sums = wide.groupBy(*by).agg(*[pearson(a, b).alias(f"_p{k}") for k, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.col(f"_p{k}").alias("rho"))
+                      for k, (a, b) in enumerate(pairs)])
+    return sums.select(*by, F.inline(cells))
 
 
 def pearson(x: str, y: str) -> Column:

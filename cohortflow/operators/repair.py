@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import join_null_safe
 from cohortflow.functions.quantiles import median_map
 from cohortflow.operators.clean import is_numeric, nan_to_null
 
@@ -51,69 +52,96 @@ def fit_precision(real: DataFrame, cols: Sequence[str], unique_threshold: int =
         rows, "column string, real_nuniq bigint, decimals int, values array<double>, real_is_int boolean")
 
 
-def _snap(df: DataFrame, col: str, values: list[float]) -> DataFrame:
-    """Nearest real value, ties to the smaller one; null stays null.
+def _number_array(values: Sequence[float]) -> Column:
+    """One array literal (folded from text; ``repr`` keeps every bit)."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
-    ``Bucketizer`` (a JVM binary search) with the real values as splits gives
-    b = #{values <= x}; the candidates are values[b-1] and values[b].
-    """
-    vals = sorted(set(values))
-    out = f"_bk_{col}"
-    x = F.col(col).cast("double")
-    if len(vals) == 1:
-        return df.withColumn(col, F.when(x.isNotNull(), F.lit(vals[0])))
-    splits = [float("-inf")] + vals + [float("inf")]
-    tmp = df.withColumn("_x_" + col, nan_to_null(x))
-    tmp = Bucketizer(splits=splits, inputCol="_x_" + col, outputCol=out, handleInvalid="keep").transform(tmp)
-    arr = F.array(*[F.lit(v) for v in vals])
-    b = F.col(out).cast("int")
-    left = F.when(b > 0, F.element_at(arr, F.greatest(b, F.lit(1))))
-    right = F.when(b < len(vals), F.element_at(arr, F.least(b + 1, F.lit(len(vals)))))
-    xx = F.col("_x_" + col)
-    pick = (F.when(left.isNull(), right).when(right.isNull(), left)
-            .when(F.abs(xx - left) <= F.abs(xx - right), left).otherwise(right))
-    return tmp.withColumn(col, F.when(xx.isNull(), F.lit(None)).otherwise(pick)).drop(out, "_x_" + col)
+
+def _snapped(x: Column, bucket: Column, values: list[float]) -> Column:
+    """Nearest real value, ties to the smaller one; null stays null. ``bucket``
+    is the number of real values up to ``x``, so its neighbours are the candidates."""
+    n, arr, b = len(values), _number_array(values), bucket.cast("int")
+    left = F.when(b > 0, F.get(arr, b - 1))
+    right = F.when(b < n, F.get(arr, b))
+    return (F.when(x.isNull(), F.lit(None).cast("double")).when(left.isNull(), right).when(right.isNull(), left)
+            .when(F.abs(x - left) <= F.abs(x - right), left).otherwise(right))
+
+
+def _null_groups(syn: DataFrame, cols: Sequence[str], by: Sequence[str]) -> dict[str, Column | None]:
+    """Per column: whether a row's group has nulls there (None: no group has).
+    Groups are synthetic tables, a handful of names."""
+    if not cols:
+        return {}
+    sums = [F.count_if(nan_to_null(F.col(c).cast("double")).isNull()).alias(c) for c in cols]
+    rows = syn.groupBy(*by).agg(*sums).collect()
+    holes: dict[str, Column | None] = {}
+    for c in cols:
+        test = None
+        for r in (r for r in rows if r[c]):
+            same = F.lit(True)
+            for k in by:
+                same = same & F.col(k).eqNullSafe(F.lit(r[k]))
+            test = same if test is None else test | same
+        holes[c] = test
+    return holes
 
 
 def match_precision(syn: DataFrame, params: DataFrame, unique_threshold: int = 1000,
                     skip: Sequence[str] = ("time", "status"), by: Sequence[str] = ()
                     ) -> tuple[DataFrame, DataFrame]:
     """B24/B25 apply: snap low-cardinality columns to real values, round the
-    others to the real decimals; cast to long when the real column is integer
-    and the synthetic one has no nulls. Report distinct counts before/after.
+    others to the real decimals. Where the real column is integer, each group
+    of ``by`` (a synthetic table) without nulls there is rounded to integers;
+    the column is long if no group has nulls, else double with whole values in
+    those groups. Report: distinct counts before/after and the rule per group
+    (",int": cast this group's column to long on export).
     """
     rows = {r["column"]: r for r in params.collect()}
-    out = syn
-    methods = {}
     cols = [c for c in syn.columns if c in rows and c not in skip and is_numeric(syn, c)]
-    null_free = {}
-    if cols:
-        nn = syn.agg(*[F.count_if(nan_to_null(F.col(c).cast("double")).isNull()).alias(c) for c in cols]).first()
-        null_free = {c: nn[c] == 0 for c in cols}
-    for c in cols:
-        r = rows[c]
-        if r["real_nuniq"] <= unique_threshold and r["values"]:
-            out = _snap(out, c, list(r["values"]))
-            methods[c] = f"snap:{r['real_nuniq']}"
-        else:
-            d = int(r["decimals"] or 0)
-            if d > 0:
-                out = out.withColumn(c, F.bround(nan_to_null(F.col(c).cast("double")), d))
-            methods[c] = f"round:{d}"
-        if r["real_is_int"] and null_free.get(c):
-            out = out.withColumn(c, F.bround(F.col(c), 0).cast("long"))
-            methods[c] += ",int"
-    before = syn.groupBy(*by).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]) if cols else None
-    after = out.groupBy(*by).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]) if cols else None
-    spark = syn.sparkSession
-    mt = spark.createDataFrame([(c, m, int(rows[c]["real_nuniq"])) for c, m in methods.items()],
-                               "column string, rule string, real_nuniq bigint")
     if not cols:
-        return out, mt
+        return syn, syn.sparkSession.createDataFrame([], "column string, rule string, real_nuniq bigint")
+    holes = _null_groups(syn, [c for c in cols if rows[c]["real_is_int"]], by)
+    values = {c: sorted(set(rows[c]["values"])) for c in cols
+              if rows[c]["real_nuniq"] <= unique_threshold and rows[c]["values"]}
+    number = {c: f"_x{i}" for i, c in enumerate(values)}
+    bucket = {c: f"_b{i}" for i, c in enumerate(values)}
+    out = syn.select("*", *[nan_to_null(F.col(c).cast("double")).alias(number[c]) for c in values])
+    many = [c for c in values if len(values[c]) > 1]
+    if many:  # one JVM binary search per value
+        out = Bucketizer(splitsArray=[[float("-inf"), *values[c], float("inf")] for c in many],
+                         inputCols=[number[c] for c in many], outputCols=[bucket[c] for c in many],
+                         handleInvalid="keep").transform(out)
+    exprs, rule = [], {}
+    for c in syn.columns:
+        if c not in cols:
+            exprs.append(F.col(c))
+            continue
+        if c in values:
+            x = F.col(number[c])
+            e = _snapped(x, F.col(bucket[c]), values[c]) if c in many else F.when(x.isNotNull(), F.lit(values[c][0]))
+            rule[c] = f"snap:{rows[c]['real_nuniq']}"
+        else:
+            d = int(rows[c]["decimals"] or 0)
+            e = F.bround(nan_to_null(F.col(c).cast("double")), d) if d > 0 else F.col(c)
+            rule[c] = f"round:{d}"
+        if rows[c]["real_is_int"]:
+            whole = F.bround(e, 0)
+            e = whole.cast("long") if holes[c] is None else F.when(holes[c], e.cast("double")).otherwise(whole.cast("double"))
+        exprs.append(e.alias(c))
+    out = out.select(*exprs)
+    before = syn.groupBy(*by).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
+    after = out.groupBy(*by).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
     b = before.unpivot(list(by), cols, "column", "syn_nuniq_before")
     a = after.unpivot(list(by), cols, "column", "syn_nuniq_after")
-    report = b.join(a, [*by, "column"]).join(F.broadcast(mt), "column")
-    return out, report
+    report = join_null_safe(b, a, [*by, "column"])
+    table = syn.sparkSession.createDataFrame([(c, rule[c], int(rows[c]["real_nuniq"])) for c in cols],
+                                             "column string, rule string, real_nuniq bigint")
+    report = report.join(F.broadcast(table), "column")  # a row per column
+    integer = F.lit(False)
+    for c in cols:
+        if rows[c]["real_is_int"]:
+            integer = integer | ((F.col("column") == c) & (F.lit(True) if holes[c] is None else ~holes[c]))
+    return out, report.withColumn("rule", F.when(integer, F.concat("rule", F.lit(",int"))).otherwise(F.col("rule")))
 
 
 # Default constraints under the derived cohort's column names

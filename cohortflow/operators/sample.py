@@ -73,34 +73,69 @@ def cap_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
             .orderBy("_u", id_col).limit(n).drop("_u"))
 
 
+def hash_ranked(df: DataFrame, id_col: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """``_rank`` from 1 by (hash(id, seed), id) within ``by``: a sliced running
+    count, so the n first rows stay spread over the cluster."""
+    keyed_df = df.withColumn("_u", split_key(id_col, seed)).withColumn("_one", F.lit(1))
+    ranked = prefix_sum(keyed_df, by, ["_u", id_col], ["_one"], out_prefix="_cum")
+    return ranked.withColumnRenamed("_cum_one", "_rank").drop("_u", "_one")
+
+
+def match_sizes(real: DataFrame, syn: DataFrame, id_real: str, id_syn: str, seed: int = 42,
+                method: str = "method") -> tuple[DataFrame, DataFrame]:
+    """C3 for a set of synthetic tables: each is compared with ``real`` at
+    min(|real|, |table|) rows, the larger side down-sampled without replacement.
+    Both results carry ``method``: the real rows of a method are those whose
+    rank fits its size. Sizes (a row per method) become a literal list."""
+    n_real = real.count()
+    sizes = [(r[method], min(n_real, r["count"])) for r in syn.groupBy(method).count().collect()]
+    if not sizes:
+        return real.limit(0).select(F.lit(None).cast("string").alias(method), "*"), syn
+    limit = F.array(*[F.struct(F.lit(m).cast("string").alias(method), F.lit(n).alias("_n")) for m, n in sizes])
+    a = hash_ranked(real, id_real, seed).select("*", F.inline(limit)).where("_rank <= _n")
+    s = hash_ranked(syn, id_syn, seed, [method])
+    most = F.lit(0)
+    for m, n in sizes:
+        most = F.when(F.col(method).eqNullSafe(F.lit(m)), F.lit(n)).otherwise(most)
+    return a.select(method, *real.columns), s.where(F.col("_rank") <= most).select(*syn.columns)
+
+
 def match_size(a: DataFrame, b: DataFrame, id_a: str, id_b: str, seed: int = 42
                ) -> tuple[DataFrame, DataFrame]:
     """Down-sample the larger table to min(|a|, |b|) rows without replacement."""
     na, nb = a.count(), b.count()
     n = min(na, nb)
-    a2 = cap_rows(a, n, id_a, seed) if na > n else a
-    b2 = cap_rows(b, n, id_b, seed) if nb > n else b
-    return a2, b2
+    cut = lambda d, i: hash_ranked(d, i, seed).where(F.col("_rank") <= n).drop("_rank")
+    return (cut(a, id_a) if na > n else a), (cut(b, id_b) if nb > n else b)
 
 
-def subsample(df: DataFrame, n: int, id_col: str, seed: int = 42, side: str = "x") -> DataFrame:
-    """C4: ``n`` rows; without replacement when there are enough rows, else with.
+def subsample(df: DataFrame, n: int, id_col: str, seed: int = 42, side: str = "x", by: str | None = None) -> DataFrame:
+    """C4: ``n`` rows (of each ``by`` value); without replacement where there are
+    enough rows, else with.
 
-    With replacement: draw slot j in 0..n-1 -> row index floor(u_j * N); the
-    N rows get a dense index from a distributed prefix count and the draws
-    join on it (an equi-join, no collect).
+    Rows have a dense rank by hash from a sliced running count. With replacement,
+    slot j in 0..n-1 takes rank floor(u_j * N); the draws join on (group, rank),
+    an equi-join without a collect. Group sizes (a row per group) become a
+    literal list.
     """
-    total = df.count()
-    if total >= n:
-        return cap_rows(df, n, id_col, seed)
-    spark = df.sparkSession
-    idx = prefix_sum(df.withColumn("_u", split_key(id_col, seed)).withColumn("_one", F.lit(1)),
-                     [], ["_u", id_col], ["_one"], out_prefix="_idx")
-    idx = idx.withColumn("_row", F.col("_idx_one") - 1).drop("_u", "_one", "_idx_one")
-    draws = spark.range(n).select(
-        F.col("id").alias("_slot"),
-        F.floor(uniform(F.col("id"), f"subsample:{side}", seed) * total).cast("long").alias("_row"))
-    return draws.join(idx, "_row").drop("_row")
+    group = F.col(by) if by else F.lit(0)
+    d = df.withColumn("_g", group.cast("string"))
+    sizes = [(r["_g"], r["count"]) for r in d.groupBy("_g").count().collect()]
+    ranked = hash_ranked(d, id_col, seed, ["_g"] if by else [])
+    enough = [g for g, t in sizes if t >= n]
+    few = [(g, t) for g, t in sizes if t < n]
+    among = F.lit(False)
+    for g in enough:
+        among = among | F.col("_g").eqNullSafe(F.lit(g).cast("string"))
+    out = ranked.where(among & (F.col("_rank") <= n)).select(*df.columns)
+    if few:
+        groups = F.array(*[F.struct(F.lit(g).cast("string").alias("_g"), F.lit(t).alias("_t")) for g, t in few])
+        draws = df.sparkSession.range(n).select("id", F.inline(groups)).select(
+            "_g", (F.floor(uniform(F.col("id"), f"subsample:{side}", seed) * F.col("_t")) + 1).cast("long").alias("_rank"))
+        out = out.unionByName(join_null_safe(draws, ranked, ["_g", "_rank"]).select(*df.columns))
+    return out
+
+
 
 
 def balanced_weights(df: DataFrame, label_cols: Sequence[str]) -> DataFrame:

@@ -91,7 +91,7 @@ def q_e5(spark, sf_dir):
     return round_floats(survival.event_rate_gap(test, syn, DEFAULT, by=[], syn_keys=["method"]))
 
 
-_SCORES = ["tmb", "mutation_count", "age", "ploidy"]
+_SCORES = FEATURES
 
 
 def _conc_sql(src):
@@ -110,7 +110,7 @@ FROM {src} a JOIN {src} b
 SELECT score_name, CAST(comp AS BIGINT) AS n_comparable, {sql_r6('num / comp')} AS c_index
 FROM ({_conc_sql('ctest')})"""))
 def q_e6(spark, sf_dir):
-    """Harrell's C of four covariates on the real test split (brute-force pairs in the oracle)."""
+    """Harrell's C of every covariate on the real test split (brute-force pairs in the oracle)."""
     _, test, _ = _tables(spark, sf_dir)
     arr = F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).cast("double").alias("score")) for s in _SCORES])
     long = test.select("time", "status", F.explode(arr).alias("x")).select("time", "status", "x.*")
@@ -338,22 +338,19 @@ def q_f19(spark, sf_dir):
     return round_floats(h.withColumn("bin", F.col("bin").cast("int")))
 
 
-_SP_COLS = ["age", "mutation_count", "tmb", "fga", "ploidy", "time"]
+_SP_COLS = COLS
 
 
 def _spearman_sql():
-    ranks = " UNION ALL ".join(
-        f"""SELECT method, patient_id, '{c}' AS "column",
-              (rank() OVER (PARTITION BY method ORDER BY {c}) - 1)
-              + (count(*) OVER (PARTITION BY method, {c}) + 1) / 2.0 AS r FROM allt""" for c in _SP_COLS)
-    pairs = " UNION ALL ".join(
-        f"""SELECT a.method, '{a}' AS c1, '{b}' AS c2,
-              {sql_r6('CASE WHEN var_pop(a.r) > 0 AND var_pop(b.r) > 0 THEN corr(a.r, b.r) END')} AS rho
-            FROM rk a JOIN rk b ON a.method = b.method AND a.patient_id = b.patient_id
-            WHERE a."column" = '{a}' AND b."column" = '{b}' GROUP BY a.method"""
-        for i, a in enumerate(_SP_COLS) for b in _SP_COLS[i + 1:])
-    return with_ctes(*CLEAN_SYN, f"""allt AS (SELECT 'real' AS method, * FROM ctrain UNION ALL BY NAME SELECT * FROM csyn)""",
-                     f"rk AS ({ranks})", tail=pairs)
+    ranks = ", ".join(f"""(rank() OVER (PARTITION BY method ORDER BY {c}) - 1)
+              + (count(*) OVER (PARTITION BY method, {c}) + 1) / 2.0 AS {c}""" for c in _SP_COLS)
+    pairs = [(a, b) for i, a in enumerate(_SP_COLS) for b in _SP_COLS[i + 1:]]
+    cells = ", ".join(f"CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN corr({a}, {b}) END AS p{k}"
+                      for k, (a, b) in enumerate(pairs))
+    return with_ctes(*CLEAN_SYN, """allt AS (SELECT 'real' AS method, * FROM ctrain UNION ALL BY NAME SELECT * FROM csyn)""",
+                     f"rk AS (SELECT method, {ranks} FROM allt)", f"co AS (SELECT method, {cells} FROM rk GROUP BY method)",
+                     tail=" UNION ALL ".join(f"SELECT method, '{a}' AS c1, '{b}' AS c2, {sql_r6(f'p{k}')} AS rho FROM co"
+                                             for k, (a, b) in enumerate(pairs)))
 
 
 @register("F20_spearman_panel", _spearman_sql())

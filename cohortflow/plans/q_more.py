@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortflow.functions import hashing
 from cohortflow.functions.exprs import round_floats, sql_r6
 from cohortflow.operators import compare, encode, sample
+from cohortflow.operators.fidelity import stack
 from cohortflow.plans import pipeline
 from cohortflow.plans.oracle import with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
@@ -27,16 +28,19 @@ def u_sql(k, s):
 # ------------------------------------------------------------------ C --------
 
 @register("C3_match_size", with_ctes(*CLEAN_SYN, """
-n AS (SELECT least((SELECT count(*) FROM ctest), (SELECT count(*) FROM csyn WHERE method = 'short')) AS n)""",
+n AS (SELECT method, least((SELECT count(*) FROM ctest), count(*)) AS n FROM csyn GROUP BY method)""",
     tail=f"""
-SELECT 'real' AS side, patient_id FROM (SELECT patient_id, row_number() OVER (ORDER BY {u_sql('patient_id', 42)}, patient_id) AS rn FROM ctest) WHERE rn <= (SELECT n FROM n)
+SELECT 'real' AS side, method, patient_id
+FROM (SELECT patient_id, row_number() OVER (ORDER BY {u_sql('patient_id', 42)}, patient_id) AS rn FROM ctest), n WHERE rn <= n
 UNION ALL
-SELECT 'syn', patient_id FROM (SELECT patient_id, row_number() OVER (ORDER BY {u_sql('patient_id', 42)}, patient_id) AS rn FROM csyn WHERE method = 'short') WHERE rn <= (SELECT n FROM n)"""))
+SELECT 'syn', method, patient_id
+FROM (SELECT method, patient_id, row_number() OVER (PARTITION BY method ORDER BY {u_sql('patient_id', 42)}, patient_id) AS rn FROM csyn)
+JOIN n USING (method) WHERE rn <= n"""))
 def q_c3(spark, sf_dir):
     _, test, syn = _tables(spark, sf_dir)
-    a, b = sample.match_size(test, syn.where("method = 'short'"), "patient_id", "patient_id", 42)
-    return a.select(F.lit("real").alias("side"), "patient_id").unionByName(
-        b.select(F.lit("syn").alias("side"), "patient_id"))
+    a, b = sample.match_sizes(test, syn, "patient_id", "patient_id", 42)
+    return a.select(F.lit("real").alias("side"), "method", "patient_id").unionByName(
+        b.select(F.lit("syn").alias("side"), "method", "patient_id"))
 
 
 @register("C5_cap_rows", with_ctes(*CLEAN_SYN, tail=f"""
@@ -149,24 +153,24 @@ def q_d4(spark, sf_dir):
 
 # ------------------------------------------------------------------ F --------
 
-@register("F17_detection_verdict", with_ctes(*CLEAN_SYN, """
-lab AS (SELECT method, 0 AS label, tmb AS score FROM ctrain, (SELECT DISTINCT method FROM csyn)
-        UNION ALL SELECT method, 1, tmb FROM csyn)""", """
-rk AS (SELECT method, label, (rank() OVER (PARTITION BY method ORDER BY score) - 1)
-              + (count(*) OVER (PARTITION BY method, score) + 1) / 2.0 AS r FROM lab)""", """
-au AS (SELECT method, (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
-                      / (count_if(label = 1) * count_if(label = 0)) AS auc FROM rk GROUP BY method)""", tail=f"""
-SELECT method, {sql_r6('auc')} AS auc,
+@register("F17_detection_verdict", with_ctes(*CLEAN_SYN, f"""
+lab AS (SELECT method, "column", 0 AS label, value AS score FROM ({stack_sql('ctrain', COLS)}), (SELECT DISTINCT method FROM csyn)
+        UNION ALL SELECT method, "column", 1, value FROM ({stack_sql('csyn', COLS, 'method')}))""", """
+rk AS (SELECT method, "column", label, (rank() OVER (PARTITION BY method, "column" ORDER BY score) - 1)
+              + (count(*) OVER (PARTITION BY method, "column", score) + 1) / 2.0 AS r FROM lab)""", """
+au AS (SELECT method, "column", (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0)
+                      / (count_if(label = 1) * count_if(label = 0)) AS auc FROM rk GROUP BY method, "column")""", tail=f"""
+SELECT method, "column", {sql_r6('auc')} AS auc,
        CASE WHEN auc < 0.6 THEN 'good' WHEN auc < 0.75 THEN 'borderline' ELSE 'concerning' END AS verdict FROM au"""))
 def q_f17(spark, sf_dir):
-    """Single-feature detection AUC (real = 0, synthetic = 1, score = tmb) and its verdict."""
+    """Single-feature detection AUC of every column (real = 0, synthetic = 1) and its verdict."""
     real, _, syn = _tables(spark, sf_dir)
-    lab = syn.select("method", F.lit(1).alias("label"), F.col("tmb").alias("score"))
+    lab = stack(syn, COLS, ["method"]).select("method", "column", F.lit(1).alias("label"), F.col("value").alias("score"))
     # the method names are a handful of table names: a parameter list
     m = [row["method"] for row in syn.select("method").distinct().collect()]
-    real_lab = real.select(F.explode(F.array(*[F.lit(x) for x in m])).alias("method"),
-                           F.lit(0).alias("label"), F.col("tmb").alias("score"))
-    auc = compare.auc_rank(real_lab.unionByName(lab), "label", "score", by=["method"])
+    real_lab = stack(real, COLS).select(F.explode(F.array(*[F.lit(x) for x in m])).alias("method"), "column",
+                                        F.lit(0).alias("label"), F.col("value").alias("score"))
+    auc = compare.auc_rank(real_lab.unionByName(lab), "label", "score", by=["method", "column"])
     return round_floats(compare.detection_verdict(auc, "auc"))
 
 
@@ -174,7 +178,8 @@ def q_f17(spark, sf_dir):
 
 _K = 3
 _QS = [(j + 0.5) / _K for j in range(_K)] + [0.1, 0.9]
-_ENC = ["tmb", "ploidy"]
+_CONT = ["age", "mutation_count", "tmb", "fga", "purity", "ploidy", "time"]
+_ENC = _CONT
 
 
 def _init_sql(cols, k=_K):
@@ -225,32 +230,34 @@ def q_d3(spark, sf_dir):
     return round_floats(d.select("patient_id", F.explode(arr).alias("x")).select("patient_id", "x.*"))
 
 
-_BIN = ["time", "tmb", "ploidy"]
+_BIN = _CONT
+_CODES = [c for c in FEATURES if c not in _CONT] + ["status"]
+
+
+_WIDE = ", ".join(f"""max(CASE WHEN "column" = '{c}' THEN comp END) AS {c}""" for c in _BIN)
 
 
 @register("D6_bin_encode", with_ctes(*CLEAN_SYN, _init_sql(_BIN, 2).strip(), _enc_sql("ctest", _BIN).strip(), tail="""
-SELECT patient_id, max(CASE WHEN "column" = 'time' THEN comp END) AS time,
-       max(CASE WHEN "column" = 'tmb' THEN comp END) AS tmb, max(CASE WHEN "column" = 'ploidy' THEN comp END) AS ploidy,
-       any_value(t.status) AS status, any_value(t.subgroup) AS subgroup
-FROM enc JOIN (SELECT patient_id, status, subgroup FROM ctest) t USING (patient_id) GROUP BY patient_id"""))
+SELECT patient_id, """ + _WIDE + ", " + ", ".join(f"any_value(t.{c}) AS {c}" for c in _CODES) + """
+FROM enc JOIN (SELECT patient_id, """ + ", ".join(_CODES) + """ FROM ctest) t USING (patient_id) GROUP BY patient_id"""))
 def q_d6(spark, sf_dir):
     real, test, _ = _tables(spark, sf_dir)
     params = encode.init_modes(real, _BIN, 2)
-    return encode.bin_encode(test.select("patient_id", *_BIN, "status", "subgroup"), params, _BIN)
+    return encode.bin_encode(test.select("patient_id", *_BIN, *_CODES), params, _BIN)
+
+
+_COND = ["time", "status"] + FEATURES
 
 
-@register("D7_survival_condition", with_ctes(*CLEAN_SYN, _init_sql(["time", "tmb"], 2).strip(),
-                                             _enc_sql("ctest", ["time", "tmb"]).strip(), """
-b AS (SELECT patient_id, max(CASE WHEN "column" = 'time' THEN comp END) AS time,
-             max(CASE WHEN "column" = 'tmb' THEN comp END) AS tmb FROM enc GROUP BY patient_id)""", """
-w AS (SELECT b.patient_id, b.time, t.status, b.tmb, t.subgroup FROM b JOIN ctest t USING (patient_id))""", tail="""
-SELECT patient_id, concat_ws('|', time, status, tmb, subgroup) AS cell, f.feature, f.level FROM w,
-  LATERAL (SELECT 'time' AS feature, CAST(w.time AS BIGINT) AS level UNION ALL SELECT 'status', CAST(w.status AS BIGINT)
-           UNION ALL SELECT 'tmb', CAST(w.tmb AS BIGINT) UNION ALL SELECT 'subgroup', CAST(w.subgroup AS BIGINT)) f"""))
+@register("D7_survival_condition", with_ctes(*CLEAN_SYN, _init_sql(_BIN, 2).strip(), _enc_sql("ctest", _BIN).strip(), f"""
+b AS (SELECT patient_id, {_WIDE} FROM enc GROUP BY patient_id)""", f"""
+w AS (SELECT b.*, {", ".join(f"t.{c}" for c in _CODES)} FROM b JOIN ctest t USING (patient_id))""", tail=f"""
+SELECT patient_id, concat_ws('|', {", ".join(_COND)}) AS cell, f.feature, f.level FROM w,
+  LATERAL ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(w.{c} AS BIGINT) AS level" for c in _COND)}) f"""))
 def q_d7(spark, sf_dir):
     real, test, _ = _tables(spark, sf_dir)
-    params = encode.init_modes(real, ["time", "tmb"], 2)
-    return encode.survival_condition(test, params, ["time", "tmb"], ["time", "status", "tmb", "subgroup"], "patient_id")
+    params = encode.init_modes(real, _BIN, 2)
+    return encode.survival_condition(test, params, _BIN, _COND, "patient_id")
 
 
 def q_d2_fit(spark, sf_dir):
@@ -346,7 +353,7 @@ def q_a5(spark, sf_dir):
 
 @register("A6_save_load_fitted")
 def q_a6(spark, sf_dir):
-    """Precision and constraint parameters saved, reloaded, and applied to a
+    """Precision and constraint parameters saved, reloaded, and applied to every
     synthetic method without refitting."""
     from cohortflow.operators import repair
     from cohortflow.plans.q_repair import FEATURES as _F
@@ -357,21 +364,32 @@ def q_a6(spark, sf_dir):
     path = io.scratch_dir(spark, "fitted")
     io.save_fitted(tables, path)
     back = io.load_fitted(spark, path, ["precision", "constraints"])
-    s = syn.where("method = 'noisy'").select("patient_id", *_F, "status", "time")
-    s, _ = repair.match_precision(s, back["precision"], 1000)
+    s = syn.select("method", "patient_id", *_F, "status", "time")
+    s, _ = repair.match_precision(s, back["precision"], 1000, by=["method"])
     s, _ = repair.enforce_constraints(s, back["constraints"])
     return round_floats(s)
 
 
-@register("C4_subsample_pair")
+@register("C4_subsample_pair", with_ctes(*CLEAN_SYN, f"""
+t AS (SELECT count(*) AS m FROM ctest)""", f"""
+ranked AS (SELECT method, patient_id, row_number() OVER (PARTITION BY method ORDER BY {u_sql('patient_id', 42)}, patient_id) AS rn,
+                  count(*) OVER (PARTITION BY method) AS n FROM csyn)""", f"""
+slots AS (SELECT {u_sql('j', 'subsample:syn|42')} AS u FROM range(0, (SELECT 3 * m FROM t)) g(j))""", tail="""
+SELECT 'real' AS side, 'real' AS method, patient_id FROM ctest
+UNION ALL
+SELECT 'syn', method, patient_id FROM ranked, t WHERE n >= 3 * m AND rn <= 3 * m
+UNION ALL
+SELECT 'syn', r.method, r.patient_id FROM slots, (SELECT DISTINCT method, n FROM ranked, t WHERE n < 3 * m) s
+JOIN ranked r ON r.method = s.method AND r.rn = CAST(floor(u * s.n) AS BIGINT) + 1"""))
 def q_c4(spark, sf_dir):
-    """n rows from each side: without replacement where there are enough rows
-    (real test), with replacement where not (the 'copy' method at n = 3 x test)."""
+    """n rows of the real test split and 3 n of every method: without replacement
+    where there are enough rows, with replacement where not."""
     _, test, syn = _tables(spark, sf_dir)
-    n = 3 * test.count()
-    a = sample.subsample(test, n // 3, "patient_id", 42, side="real").select(F.lit("real").alias("side"), "patient_id")
-    b = sample.subsample(syn.where("method = 'copy'"), n, "patient_id", 42, side="syn").select(
-        F.lit("syn").alias("side"), "patient_id")
+    n = test.count()
+    a = sample.subsample(test, n, "patient_id", 42, side="real").select(
+        F.lit("real").alias("side"), F.lit("real").alias("method"), "patient_id")
+    b = sample.subsample(syn, 3 * n, "patient_id", 42, side="syn", by="method").select(
+        F.lit("syn").alias("side"), "method", "patient_id")
     return a.unionByName(b)
 
 

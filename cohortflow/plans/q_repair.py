@@ -246,9 +246,10 @@ def q_g2(spark, sf_dir):
 
 def postprocess(syn: DataFrame, real: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """B22 clip time -> B24/B25 precision -> B27 constraints, in that order."""
-    syn, _ = clean.clip_time_to_real(syn, real, DEFAULT)
+    syn = clean.clip_time(syn, real, DEFAULT)
     params = repair.fit_precision(real, [c for c in real.columns if c not in ("time", "status")], 1000)
-    syn, _ = repair.match_precision(syn, params, 1000)
+    by = [c for c in ("method",) if c in syn.columns]
+    syn, _ = repair.match_precision(syn, params, 1000, by=by)
     cons = repair.resolve_constraints(real, metadata)
     syn, _ = repair.enforce_constraints(syn, cons)
     return syn

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.functions.windows import prefix_sum, window_prefix_sum
-from cohortflow.operators import fidelity, repair, survival
+from cohortflow.operators import fidelity, repair, sample, survival
 from cohortflow.schema import DEFAULT
 
 
@@ -174,3 +174,26 @@ def test_discrete_columns_take_text(spark):
     df = spark.createDataFrame([(f"t{k}", k % 2 == 0, float(k)) for k in range(50)], "a string, b boolean, x double")
     got = {r.column: (r.n_distinct, r.is_discrete) for r in encode.discrete_columns(df, ["a", "b", "x"]).collect()}
     assert got == {"a": (None, True), "b": (2, True), "x": (None, False)}
+
+
+def test_integer_rule_per_method(spark):
+    """A null in one synthetic table leaves the others whole numbers."""
+    real = spark.createDataFrame([(i,) for i in range(5)], "v long")
+    syn = spark.createDataFrame([("a", 1.4), ("a", 2.6), ("b", 3.3), ("b", None)], "method string, v double")
+    out, report = repair.match_precision(syn, repair.fit_precision(real, ["v"], 2), 2, skip=(), by=["method"])
+    assert sorted(r.v for r in out.where("method = 'a'").collect()) == [1.0, 3.0]
+    assert {r.v for r in out.where("method = 'b'").collect()} == {3.3, None}
+    assert {r.method: r.rule for r in report.collect()} == {"a": "round:0,int", "b": "round:0"}
+    alone, _ = repair.match_precision(syn.where("method = 'a'"), repair.fit_precision(real, ["v"], 2), 2, skip=(), by=["method"])
+    assert alone.schema["v"].dataType.simpleString() == "bigint"
+
+
+def test_match_sizes_and_subsample_by_method(spark):
+    real = spark.range(30).withColumnRenamed("id", "patient_id")
+    syn = spark.createDataFrame([("big", i) for i in range(50)] + [("small", i) for i in range(10)], "method string, patient_id long")
+    a, b = sample.match_sizes(real, syn, "patient_id", "patient_id")
+    size = lambda d: {r.method: r["count"] for r in d.groupBy("method").count().collect()}
+    assert size(a) == size(b) == {"big": 30, "small": 10}
+    got = sample.subsample(syn, 20, "patient_id", by="method")
+    assert size(got) == {"big": 20, "small": 20}
+    assert got.where("method = 'big'").distinct().count() == 20

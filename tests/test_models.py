@@ -57,3 +57,15 @@ def test_cox_matches_numpy(spark):
     assert np.allclose(cox.beta, want, atol=1e-6)
     c = survival.concordance(cox.score(df), DEFAULT, "score").first().c_index
     assert c > 0.6
+
+
+def test_cox_ties_over_several_blocks(spark, monkeypatch):
+    """Blocks of tied positions give the coefficients of one block."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=400)
+    t = np.ceil(rng.exponential(np.exp(-0.5 * x)) * 3)
+    rows = [(float(a), int(b), float(c)) for a, b, c in zip(t, rng.random(400) < 0.8, x)]
+    df = spark.createDataFrame(rows, "time double, status int, x double").cache()
+    whole = models.CoxPH(penalizer=0.01).fit(df, DEFAULT, ["x"]).beta
+    monkeypatch.setattr(models, "TIE_BLOCK", 7)
+    assert models.CoxPH(penalizer=0.01).fit(df, DEFAULT, ["x"]).beta == pytest.approx(whole, abs=1e-9)
