@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.functions.exprs import join_null_safe
 from cohortflow.functions.quantiles import grouped_quantiles
 
 from cohortflow.functions.windows import prefix_sum
@@ -237,8 +238,11 @@ def time_histogram(df: DataFrame, sch: SurvivalSchema = DEFAULT, by: Sequence[st
     """equal-width counts over each table's own [min, max]."""
     t = F.col(sch.time).cast("double")
     rng = df.groupBy(*by).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    j = df.select(*by, t.alias("_t")).join(rng, list(by)) if by else \
-        df.select(F.lit(0).alias("_g"), t.alias("_t")).join(rng.withColumn("_g", F.lit(0)), "_g")
+    if by:
+        j = join_null_safe(df.select(*by, t.alias("_t")), rng, by)
+    else:  # one row of bounds: literals, no join
+        r = rng.first()
+        j = df.select(t.alias("_t"), F.lit(r["lo"]).cast("double").alias("lo"), F.lit(r["hi"]).cast("double").alias("hi"))
     j = j.withColumn("bin", histogram_bin(F.col("_t"), F.col("lo"), F.col("hi"), bins))
     out = j.groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                     F.first("lo").alias("lo"), F.first("hi").alias("hi"))
