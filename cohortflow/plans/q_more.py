@@ -393,7 +393,7 @@ def q_c4(spark, sf_dir):
     return a.unionByName(b)
 
 
-# ------------------------------------------------------------------ k-NN (capped) ----
+# ------------------------------------------------------------------ k-NN ----
 
 _KNN_COLS = FEATURES + ["time", "status"]
 _CAP = 2000
@@ -450,27 +450,28 @@ GROUP BY p.method"""
 
 @register("F5_F13_prdc_identifiability", with_ctes(*CLEAN_SYN, *_knn_sql(), tail=_KNN_TAIL))
 def q_f5(spark, sf_dir):
-    """k-NN precision / recall / density / coverage (k = 5) and identifiability,
-    2 000 hash-capped rows a side, min-max scaled by the real range."""
+    """k-NN precision / recall / density / coverage (k = 5) and identifiability of
+    all rows, min-max scaled by the real range. The oracle is cut to 2 000 rows a
+    side, so it holds only for tables that are not larger."""
     from cohortflow.operators import neighbours
 
     real, _, syn = _tables(spark, sf_dir)
-    return round_floats(neighbours.knn_metrics(real, syn, _KNN_COLS, cap=_CAP, k=5))
+    return round_floats(neighbours.knn_metrics(real, syn, _KNN_COLS, k=5))
 
 
 @register("F6_alpha_precision")
 def q_f6(spark, sf_dir):
-    """Naive alpha-precision / beta-coverage deltas and authenticity on capped rows."""
+    """Naive alpha-precision / beta-coverage deltas and authenticity of all rows."""
     from cohortflow.operators import neighbours
 
     real, _, syn = _tables(spark, sf_dir)
-    return round_floats(neighbours.alpha_precision(real, syn, _KNN_COLS, cap=_CAP))
+    return round_floats(neighbours.alpha_precision(real, syn, _KNN_COLS))
 
 
 @register("F13_identifiability", with_ctes(*CLEAN_SYN, *_knn_sql(), tail=f"""
 SELECT method, identifiability FROM ({_KNN_TAIL})"""))
 def q_f13(spark, sf_dir):
-    """Share of (capped) real rows whose nearest synthetic row is nearer than their nearest other real row."""
+    """Share of real rows whose nearest synthetic row is nearer than their nearest other real row."""
     return q_f5(spark, sf_dir).select("method", "identifiability")
 
 
