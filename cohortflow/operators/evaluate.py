@@ -63,7 +63,8 @@ def together(tasks: list, threads: int = 6) -> list:
     from pyspark import inheritable_thread_target
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    # A driver thread started by another call has no active session of its own.
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     with ThreadPoolExecutor(threads) as pool:
         return list(pool.map(lambda f: inheritable_thread_target(spark)(f)(), tasks))
 
@@ -76,10 +77,12 @@ def fit_sample(df: DataFrame, max_n: int, id_col: str, seed: int) -> DataFrame:
 
 def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch: SurvivalSchema,
                cols: Sequence[str], max_n: int = 20000, seed: int = 42, trees: bool = True,
-               tree_count: int = 300, brier: bool = False, id_col: str = "patient_id") -> DataFrame:
+               tree_count: int = 300, brier: bool = False, id_col: str = "patient_id", on_train: bool = False) -> DataFrame:
     """TRTR, TSTR, TSTS C-index of Cox (and boosted trees) per
     method; train tables capped at ``max_n`` rows by hash, the test table
     not capped. Optional Brier score of a Weibull AFT fit at the median time.
+    ``on_train`` scores the same fits on the whole real train table as well
+    (metrics ending in ``_id``).
 
     Models are fitted per method (each fit a distributed job); every scored
     table is then stacked with (method, metric) keys and all C-indices come
@@ -90,9 +93,10 @@ def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch:
     keep = [sch.time, sch.status]
     need = [id_col, *keep, *[c for c in cols if c not in keep]]
     real_test = cut_lineage(real_test.select(*need))
+    refs = {"": real_test, **({"_id": cut_lineage(real_train.select(*need))} if on_train else {})}
     syn = cut_lineage(syn.select("method", *need))
     rt = fit_sample(real_train.select(*need), max_n, id_col, seed)
-    t_med = median_map(real_test, [sch.time])[sch.time] if brier else None
+    t_med = {x: median_map(ref, [sch.time])[sch.time] for x, ref in refs.items()} if brier else None
     methods = _methods(syn)
     tables = [rt, *together([lambda m=m: fit_sample(syn.where(F.col("method") == m), max_n, id_col, seed) for m in methods])]
     cox = [lambda t=t: models.CoxPH(0.01).fit(t, sch, cols) for t in tables]
@@ -109,19 +113,21 @@ def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch:
 
     for k, m in enumerate(methods, 1):
         s = syn.where(F.col("method") == m)  # fitted on a capped sample, scored on all rows
-        add(cox[0].score(real_test), m, "custom.cox_trtr")
-        add(cox[k].score(real_test), m, "custom.cox_tstr")
+        for x, ref in refs.items():
+            add(cox[0].score(ref), m, f"custom.cox_trtr{x}")
+            add(cox[k].score(ref), m, f"custom.cox_tstr{x}")
+            if trees:
+                add(models.predict_log_time(gbt[0], ref, cols), m, f"custom.xgb_trtr{x}")
+                add(models.predict_log_time(gbt[k], ref, cols), m, f"custom.xgb_tstr{x}")
         add(cox[k].score(s), m, "custom.cox_tsts")
         if trees:
-            add(models.predict_log_time(gbt[0], real_test, cols), m, "custom.xgb_trtr")
-            add(models.predict_log_time(gbt[k], real_test, cols), m, "custom.xgb_tstr")
             add(models.predict_log_time(gbt[k], s, cols), m, "custom.xgb_tsts")
 
-    def brier_of(k: int) -> tuple:
-        p = models.survival_curve(aft[k], real_test, cols, [t_med], "_sv").withColumn("_p", F.col("_sv")[0])
-        return methods[k], "custom.brier_tstr_aft", brier_at(p, sch, "_p", t_med)
+    def brier_of(k: int, x: str) -> tuple:
+        p = models.survival_curve(aft[k], refs[x], cols, [t_med[x]], "_sv").withColumn("_p", F.col("_sv")[0])
+        return methods[k], f"custom.brier_tstr_aft{x}", brier_at(p, sch, "_p", t_med[x])
 
-    extra = together([lambda k=k: brier_of(k) for k in range(len(aft))])
+    extra = together([lambda k=k, x=x: brier_of(k, x) for k in range(len(aft)) for x in refs])
     stacked = scored[0]
     for d in scored[1:]:
         stacked = stacked.unionByName(d)
@@ -262,8 +268,9 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
 
     * always: optimism / KM divergence / short-sightedness, censoring-rate
       gap, time W1 for events and censored rows (all rows);
-    * cheap: marginal JS distance and, vs
-      test, boosted-tree detection AUC;
+    * cheap: marginal JS distance, boosted-tree and perceptron detection AUC,
+      Cox and tree performance with the AFT Brier score (fitted once, scored on
+      both references), feature-rank distance;
     * heavy: linear and RBF MMD, per-column W1 and inverse KL on all rows
       (all linear in rows here), and k-NN precision/recall/density/coverage
       and alpha-precision on ``heavy_n_bootstrap`` hash subsamples of
@@ -286,7 +293,7 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
     def run(tier, vs, name, fn):
         def rows_of() -> list[tuple]:
             try:
-                return [(r["method"], vs, r["metric"] if "metric" in r.asDict() else name,
+                return [(r["method"], r["vs"] if "vs" in r.asDict() else vs, r["metric"] if "metric" in r.asDict() else name,
                          None if r["value"] is None else float(r["value"]), tier, None) for r in fn().collect()]
             except Exception as exc:  # noqa: BLE001  (isolation is the point)
                 return [(None, vs, name, None, tier, f"{type(exc).__name__}: {str(exc)[:300]}")]
@@ -325,9 +332,9 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
             run("cheap", vs, "stats.jensenshannon_dist.marginal.mean",
                 lambda: mean_over_columns(fidelity.jensen_shannon(ref, s_norm, all_cols, ["method"]),
                                           "js_distance", "stats.jensenshannon_dist.marginal.mean"))
-            if vs == "test":
-                run("cheap", vs, "detection.detection_xgb.mean",
-                    lambda: detection_auc(ref, s_norm, list(cols) + [sch.time], folds=3).drop("verdict"))
+            for model, name in (("gbt", "detection.detection_xgb.mean"), ("mlp", "detection.detection_mlp.mean")):
+                run("cheap", vs, name, lambda model=model: detection_auc(ref, s_norm, list(cols) + [sch.time], folds=3, model=model).drop("verdict"))
+            run("cheap", vs, "performance.feat_rank_distance.corr", lambda: feature_rank_distance(ref, s_norm, sch, cols))
         if heavy:
             run("heavy", vs, "stats.max_mean_discrepancy.linear",
                 lambda: fidelity.mmd_linear(ref, s_norm, all_cols, ["method"])
@@ -359,8 +366,20 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
                 lambda: neighbours.knn_metrics(ref, s_norm, all_cols, cap=heavy_n_sub, seed=seed)
                 .select("method", F.lit("privacy.identifiability_score").alias("metric"),
                         F.col("identifiability").alias("value")))
+    def performance() -> DataFrame:
+        """Scores on the train table are vs train; ``custom`` names as well for ``downstream_cox``."""
+        d = downstream(real, test, s_norm, sch, cols, trees=True, brier=True, on_train=True)
+        d = d.withColumn("vs", F.when(F.col("metric").endswith("_id"), "train").otherwise("test"))
+        bare = F.regexp_replace("metric", "_id$", "")
+        out = d.select("method", "vs", "value", F.regexp_replace(F.regexp_replace(
+            bare, r"^custom\.(cox|brier)", "performance.linear_model.$1"), r"^custom\.xgb", "performance.xgb.xgb").alias("metric"))
+        own = d.where("vs = 'test'").select("method", "vs", "value", "metric")
+        return out.unionByName(own) if downstream_cox else out
+
     tiers("train", real)
     tiers("test", test)
-    if downstream_cox:
-        run("downstream", "test", "custom.cox", lambda: downstream(real, test, s_norm, sch, cols, trees=False))
+    if cheap:
+        run("cheap", "test", "performance", performance)
+    elif downstream_cox:
+        run("downstream", "test", "custom.cox", lambda: downstream(real, test, s_norm, sch, cols, trees=True, brier=True))
     return spark.createDataFrame([r for rows in together(tasks) for r in rows], METRIC_SCHEMA)
