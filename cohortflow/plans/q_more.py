@@ -263,7 +263,7 @@ def q_d7(spark, sf_dir):
 def q_d2_fit(spark, sf_dir):
     """EM mixture per continuous column (MLlib); rows-only (iterative fit)."""
     real, _, _ = _tables(spark, sf_dir)
-    return round_floats(encode.fit_modes(real, ["tmb", "ploidy", "time"], k=10, max_iter=50))
+    return round_floats(encode.fit_modes(real, _CONT, k=10))
 
 
 def q_d5(spark, sf_dir):
