@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the SQL of those that SQL can express.
+"""The registered queries of the operators and the SQL of those that SQL can express.
 
 Each query is a thin layer that reads the whole table, calls the operator with
 its production parameters and derives the digest columns of the result. Rows of
@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import decontaminate, html_extract, language, licenses, mtree, packing, quality, sharding, simhash, token_counts
+from cohortflow.llm import (collocations, decontaminate, html_extract, language, licenses, mtree, packing, prefix_trie, quality, quality_rules,
+                            sharding, simhash, token_counts)
 from cohortflow.llm.common import remainder, table
 
 
@@ -80,9 +81,26 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations."""
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language, phrases of two to four words seen 30 times or more."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document, whether they fail, and the verdict of its group's robust estimate."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_quality, op3_language, op4_packing, op5_sharding, op6_decontamination,
-                            op7_licenses, op8_html, op9_token_counts, op10_topk)}
+                            op7_licenses, op8_html, op9_token_counts, op10_topk, op11_prefix_trie,
+                            op12_collocations, op13_quality_rules)}
 
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -116,4 +134,63 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM pair
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                   sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS b
+            FROM conversations WHERE conv_id IS NOT NULL),
+        conv AS (
+            SELECT c, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+                lambda acc, byte: list_reduce(list_concat([xor(acc, byte)], [CAST(0 AS BIGINT) FOR i IN range(8)]),
+                    lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+            FROM (SELECT DISTINCT c FROM turns)),
+        head AS (SELECT c, c - c % 5 AS base, xor(crc, 4294967295) % 9 AS h FROM conv),
+        rebuilt AS (
+            SELECT h.c, t.pos AS d, t.t, t.b FROM head h JOIN turns t ON t.c = h.base AND t.pos <= h.h
+            UNION ALL
+            SELECT h.c, least(h.h, coalesce(n.n, 0)) + t.pos - h.h, t.t, t.b
+            FROM head h JOIN turns t ON t.c = h.c AND t.pos > h.h LEFT JOIN (SELECT c, max(pos) AS n FROM turns GROUP BY c) n ON n.c = h.base),
+        path AS (
+            SELECT c, d, b, sha256(string_agg(t, ',') OVER w) AS node
+            FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT c, 0, 0, '' FROM head),
+        step AS (SELECT c, d, b, node, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS ended FROM path),
+        node AS (
+            SELECT node, any_value(parent) AS parent, any_value(d) AS d, any_value(b) AS b, min(c) AS c, count(*) AS n,
+                   sha256(coalesce(string_agg(CASE WHEN ended THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+            FROM step GROUP BY node),
+        child AS (SELECT parent AS node, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+        below AS (
+            SELECT s.node, sum((u.n - 1) * u.b) AS saved, count(*) FILTER (WHERE k.n_children IS NULL) AS leaves
+            FROM node u LEFT JOIN child k USING (node) JOIN step s ON s.c = u.c AND s.d <= u.d GROUP BY s.node)
+        SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, p.c AS parent_conv_id, v.n AS n_convs, coalesce(k.n_children, 0) AS n_children,
+               below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM node v LEFT JOIN node p ON p.node = v.parent LEFT JOIN child k ON k.node = v.node JOIN below ON below.node = v.node""",
+    "op12_collocations": r"""
+        WITH doc AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents),
+        piece AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+                  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM doc)),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+        gram AS (
+            SELECT lang, m, array_to_string(w[k : k + m - 1], ' ') AS phrase
+            FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM piece, (SELECT unnest([1, 2, 3, 4]) AS m))),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 30),
+        words AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+        part AS (
+            SELECT lang, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : m], ' ') AS rp
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM words)),
+        cut AS (
+            SELECT part.*, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score
+            FROM part JOIN f l ON l.lang = part.lang AND l.phrase = lp JOIN f r ON r.lang = part.lang AND r.phrase = rp
+            QUALIFY row_number() OVER (PARTITION BY part.lang, part.phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, array_to_string(w[k : k + size - 1], ' ') AS phrase, max(f) AS longer
+            FROM (SELECT lang, w, f, size, unnest(range(1, m - size + 2)) AS k FROM words JOIN (SELECT unnest([2, 3]) AS size) ON size < m)
+            GROUP BY ALL)
+        SELECT cut.lang, row_number() OVER (PARTITION BY cut.lang ORDER BY score DESC, a DESC, cut.phrase) AS rank, cut.phrase, a, l, r, n, score
+        FROM cut JOIN total ON total.lang = cut.lang LEFT JOIN inside i ON i.lang = cut.lang AND i.phrase = cut.phrase
+        WHERE longer IS NULL OR 100 * longer < 80 * a
+        QUALIFY row_number() OVER (PARTITION BY cut.lang ORDER BY score DESC, a DESC, cut.phrase) <= 2000""",
 }
