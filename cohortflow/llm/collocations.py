@@ -7,11 +7,12 @@ shorter phrase (a phrase of k words is a prefix of exactly the windows that
 start at its occurrences) and, without words, to the language's total.
 
 Before that, windows are cut where no phrase of ``least`` occurrences can go on:
-words and word pairs are counted in 2^CELL_BITS cells of a hash, and a word or
-pair whose cell stays below ``least`` ends the window there. A cell counts at
-least what falls into it, so no phrase that could count is lost; cells shared
-by chance only leave windows longer. The cells' bitmap has a fixed size (2 MB)
-at every input size; when the text outgrows the cells, windows stay whole.
+words and word pairs are counted over all texts by 64-bit hashes, and a word or
+pair whose hash stays below ``least`` ends the window there. A hash counts at
+least what falls into it, so no phrase that could count is lost; hashes shared
+by chance only leave windows longer. Tasks get the frequent hashes as a bitmap
+of 16 cells a hash, of 2^MOST_BITS cells (8 MB) at most; were there more
+frequent pairs than cells, windows would stay longer, the counts the same.
 
 Defined cases: null text is empty, null lang is ``und`` (with the lang of that
 name); words keep any character but those that split; a language without words,
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import checkpoint
 
-#: Cells of the pruning hash and of a row that carries a part of them.
-CELL_BITS, CHUNK_BITS = 24, 16
+#: Cells of the bitmap at most, and those that one row carries.
+MOST_BITS, CHUNK_BITS = 26, 16
 #: Text bytes that a task holds as word numbers at a time.
 BLOCK_BYTES = 16 << 20
 WORDS = ["w1", "w2", "w3", "w4"]
@@ -79,57 +80,59 @@ def _blocks(batches: Iterator, most: int) -> Iterator[tuple[str, list[bytes], ob
     yield from flush(held)
 
 
-def _cells(lang: str, vocabulary: list[bytes], words, cell_bits: int) -> tuple:
-    """The cell of each vocabulary word and of each pair of neighbouring positions."""
+def _hashes(lang: str, vocabulary: list[bytes], words) -> tuple:
+    """The hash of each vocabulary word and of each pair of neighbouring positions."""
     import numpy as np
     import xxhash
 
     seed = zlib.crc32(lang.encode())
     h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
-    shift = np.uint64(64 - cell_bits)
     first, second = (h * np.uint64(m) for m in MULTIPLIERS)
-    return (h >> shift).astype(np.int64), ((first[words[:-1]] + second[words[1:]]) >> shift).astype(np.int64)
+    return h, first[words[:-1]] + second[words[1:]]
 
 
-def _frequent_cells(docs: DataFrame, least: int) -> bytes:
-    """One bit a cell: whether words or pairs of ``least`` occurrences fell into it."""
+def _frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
+    """(key): the hashes that words or pairs of ``least`` occurrences fall into."""
     import pyarrow as pa
 
-    cell_bits, block = CELL_BITS, BLOCK_BYTES
-    chunk, chunks, most = 1 << CHUNK_BITS, 1 << (cell_bits - CHUNK_BITS), min(least, 255)
+    block = BLOCK_BYTES
 
     def count(batches):
         import numpy as np
 
-        cells = np.zeros(1 << cell_bits, np.uint8)  # counts up to ``most``
+        for lang, vocabulary, words in _blocks(batches, block):
+            single, pair = _hashes(lang, vocabulary, words)
+            both = (words[:-1] > 0) & (words[1:] > 0)
+            keys, n = np.unique(np.concatenate([single[words[words > 0]], pair[both]]), return_counts=True)
+            for at in range(0, len(keys), 65536):
+                yield pa.record_batch([pa.array(keys[at : at + 65536].view(np.int64)), pa.array(n[at : at + 65536])], ["key", "n"])
 
-        def add(found):
-            at, n = np.unique(found, return_counts=True)
-            cells[at] = np.minimum(cells[at] + n, most)
+    counts = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return checkpoint(counts.where(F.col("n") >= least).select("key"))
 
-        for lang, vocabulary, words in _blocks(batches, block):
-            single, pair = _cells(lang, vocabulary, words, cell_bits)
-            add(single[words[words > 0]])
-            add(pair[(words[:-1] > 0) & (words[1:] > 0)])
-        for k in range(chunks):
-            part = cells[k * chunk : (k + 1) * chunk]
-            if part.any():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "cells"])
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """One bit a cell, a power of two of cells: whether the upper bits of a key name it."""
+    import pyarrow as pa
+
+    bits = min(MOST_BITS, max(CHUNK_BITS, (16 * keys.count()).bit_length()))
+    chunk = 1 << CHUNK_BITS
 
     def merge(batches):
         import numpy as np
 
-        sums: dict[int, object] = {}
+        found: dict[int, object] = {}
         for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(part.as_py()), np.uint8).astype(np.int64)
-                sums[k] = np.minimum(sums.get(k, 0) + part, most)
-        for k, total in sums.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.packbits(total >= most).tobytes()], pa.binary())], ["chunk", "bits"])
-
-    parts = docs.mapInArrow(count, "chunk int, cells binary").repartition("chunk").mapInArrow(merge, "chunk int, bits binary")
+            cells = batch.column(0).to_numpy()
+            for k in np.unique(cells // chunk).tolist():
+                found.setdefault(k, np.zeros(chunk, bool))[cells[cells // chunk == k] % chunk] = True
+        for k, part in found.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["chunk", "bits"])
+
+    cells = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("cell"))
+    parts = cells.repartition(F.floor(F.col("cell") / chunk)).mapInArrow(merge, "chunk int, bits binary")
     found = {r["chunk"]: r["bits"] for r in parts.collect()}  # a bit a cell
-    return b"".join(found.get(k, bytes(chunk // 8)) for k in range(chunks))
+    return b"".join(found.get(k, bytes(chunk // 8)) for k in range(1 << (bits - CHUNK_BITS)))
 
 
 def _windows(docs: DataFrame, frequent: bytes) -> DataFrame:
@@ -137,19 +140,19 @@ def _windows(docs: DataFrame, frequent: bytes) -> DataFrame:
     counts the positions whose word is too rare to start a phrase."""
     import pyarrow as pa
 
-    cell_bits, block = CELL_BITS, BLOCK_BYTES
+    block, cell_bits = BLOCK_BYTES, (8 * len(frequent)).bit_length() - 1
     schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in WORDS], ("n", pa.int64())])
 
     def count(batches):
         import numpy as np
 
-        bits = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
+        bits, shift = np.unpackbits(np.frombuffer(frequent, np.uint8)).view(bool), np.uint64(64 - cell_bits)
         for lang, vocabulary, words in _blocks(batches, block):
-            single, pair = _cells(lang, vocabulary, words, cell_bits)
-            can = bits[single]
+            single, pair = _hashes(lang, vocabulary, words)
+            can = bits[single >> shift]
             can[0] = False
             starts = can[words]
-            on = np.append(starts[:-1] & starts[1:] & bits[pair], False)  # the pair from here on may be frequent
+            on = np.append(starts[:-1] & starts[1:] & bits[pair >> shift], False)  # the pair from here on may be frequent
             ahead = np.concatenate([words, np.zeros(3, np.int64)])
             on1 = np.concatenate([on, np.zeros(3, bool)])
             lead = [np.where(starts, words, 0)]
@@ -182,7 +185,7 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     """(lang, words, f) of all phrases of one to four words with f >= ``least``, and
     for each language a row without words with all its word occurrences."""
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    top = _windows(source, _frequent_cells(source, least)).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    top = _windows(source, _bitmap(_frequent_hashes(source, least))).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     rolled = top.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("out"))
     last = F.col("w1")  # of the words that a level keeps, the last is no padding
     for w in WORDS[1:]:

@@ -137,9 +137,9 @@ def phrases(seed, n=120):
     return rows + [("en", None), ("en", ""), ("fr", " \t\n"), ("de", "rare words only here")]
 
 
-@pytest.mark.parametrize("bits, block", [(24, 16 << 20), (16, 500)])
+@pytest.mark.parametrize("bits, block", [(26, 16 << 20), (16, 500)])
 def test_collocations_equal_brute_force(spark, monkeypatch, bits, block):
-    monkeypatch.setattr(collocations, "CELL_BITS", bits)
+    monkeypatch.setattr(collocations, "MOST_BITS", bits)
     monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
     rows = phrases(bits)
     docs = spark.createDataFrame(rows, "lang string, text string").withColumn("phrase", F.lit(1)).withColumn("w1", F.lit("x")).repartition(4)
@@ -147,10 +147,10 @@ def test_collocations_equal_brute_force(spark, monkeypatch, bits, block):
         assert sorted(map(tuple, collocations.collocations(docs, least, top).collect())) == brute_collocations(rows, least, top)
 
 
-def test_full_cells_change_nothing(spark, monkeypatch):
+def test_a_full_bitmap_of_pairs_change_nothing(spark, monkeypatch):
     rows = phrases(3, 40)
     docs = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(collocations, "_frequent_cells", lambda source, least: b"\xff" * (1 << collocations.CELL_BITS - 3))
+    monkeypatch.setattr(collocations, "_bitmap", lambda keys: b"\xff" * 8192)
     assert sorted(map(tuple, collocations.collocations(docs, 4, 9).collect())) == brute_collocations(rows, 4, 9)
 
 
