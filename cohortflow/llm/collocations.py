@@ -35,7 +35,7 @@ from cohortflow.llm.common import checkpoint
 #: Cells of the bitmap at most, and those that one row carries.
 MOST_BITS, CHUNK_BITS = 26, 16
 #: Text bytes that a task holds as word numbers at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 WORDS = ["w1", "w2", "w3", "w4"]
 #: Odd multipliers of the pair hash.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -72,7 +72,7 @@ def _blocks(batches: Iterator, most: int) -> Iterator[tuple[str, list[bytes], ob
                 held[lang] = (vocabulary, [])
             vocabulary, parts = held[lang]
             words = words_of(text)
-            parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+            parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
             size += len(text or "")
             if size >= most:
                 yield from flush(held)
@@ -153,7 +153,7 @@ def _windows(docs: DataFrame, frequent: bytes) -> DataFrame:
             can[0] = False
             starts = can[words]
             on = np.append(starts[:-1] & starts[1:] & bits[pair >> shift], False)  # the pair from here on may be frequent
-            ahead = np.concatenate([words, np.zeros(3, np.int64)])
+            ahead = np.concatenate([words, np.zeros(3, np.int32)])
             on1 = np.concatenate([on, np.zeros(3, bool)])
             lead = [np.where(starts, words, 0)]
             alive = starts
@@ -163,7 +163,7 @@ def _windows(docs: DataFrame, frequent: bytes) -> DataFrame:
             longer = lead[1] > 0
             alone = np.bincount(lead[0][~longer], minlength=len(vocabulary))
             alone[0] -= np.count_nonzero(words == 0)
-            columns = [c[longer] for c in lead]
+            columns = [c[longer].astype(np.int64) for c in lead]
             size = len(vocabulary)
             front, front_at = np.unique(columns[0] * size + columns[1], return_inverse=True)
             back, back_at = np.unique(columns[2] * size + columns[3], return_inverse=True)
