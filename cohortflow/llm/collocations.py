@@ -7,12 +7,13 @@ shorter phrase (a phrase of k words is a prefix of exactly the windows that
 start at its occurrences) and, without words, to the language's total.
 
 Before that, windows are cut where no phrase of ``least`` occurrences can go on:
-words and word pairs are counted over all texts by 64-bit hashes, and a word or
-pair whose hash stays below ``least`` ends the window there. A hash counts at
-least what falls into it, so no phrase that could count is lost; hashes shared
-by chance only leave windows longer. Tasks get the frequent hashes as a bitmap
-of 16 cells a hash, of 2^MOST_BITS cells (8 MB) at most; were there more
-frequent pairs than cells, windows would stay longer, the counts the same.
+words and pairs, then the triples of such pairs, are counted over all texts by
+64-bit hashes, and what stays below ``least`` ends the window there. A hash
+counts at least what falls into it, so no phrase that could count is lost;
+hashes shared by chance only leave windows longer. Tasks get the frequent
+hashes as a bitmap of 16 cells a hash, of 2^MOST_BITS cells (8 MB) at most;
+were there more frequent pairs than cells, windows would stay longer, the
+counts the same.
 
 Defined cases: null text is empty, null lang is ``und`` (with the lang of that
 name); words keep any character but those that split; a language without words,
@@ -37,8 +38,8 @@ MOST_BITS, CHUNK_BITS = 26, 16
 #: Text bytes that a task holds as word numbers at a time.
 BLOCK_BYTES = 6 << 20
 WORDS = ["w1", "w2", "w3", "w4"]
-#: Odd multipliers of the pair hash.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multipliers of the hash of neighbouring words.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 #: A piece ends at these marks; a tab divides words like a space.
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -80,19 +81,36 @@ def _blocks(batches: Iterator, most: int) -> Iterator[tuple[str, list[bytes], ob
     yield from flush(held)
 
 
-def _hashes(lang: str, vocabulary: list[bytes], words) -> tuple:
-    """The hash of each vocabulary word and of each pair of neighbouring positions."""
+def _runs(lang: str, vocabulary: list[bytes], words, bitmaps: list[bytes]) -> list[tuple]:
+    """For runs of one, two and three words: the hash of the run at each position and whether
+    it may be frequent, all that ``bitmaps`` (of words and pairs, of triples) can tell."""
     import numpy as np
     import xxhash
 
+    def known(hashes, bitmap):
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
+        return bits[hashes >> np.uint64(65 - len(bits).bit_length())]
+
     seed = zlib.crc32(lang.encode())
     h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
-    first, second = (h * np.uint64(m) for m in MULTIPLIERS)
-    return h, first[words[:-1]] + second[words[1:]]
-
-
-def _frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
-    """(key): the hashes that words or pairs of ``least`` occurrences fall into."""
+    found, n = [], len(words)
+    for size in (1, 2, 3):
+        name = sum((h * np.uint64(m))[words[k : n - size + 1 + k]] for k, m in enumerate(MULTIPLIERS[:size])) if size > 1 else h[words]
+        name = np.append(name, np.zeros(size - 1, np.uint64))
+        if size == 1:
+            may = words > 0
+        else:
+            before = found[-1][1]
+            may = before & np.append(before[1:], False)
+        at = 0 if size < 3 else 1
+        if len(bitmaps) > at:
+            may &= known(name, bitmaps[at])
+        found.append((name, may))
+    return found
+
+
+def _frequent_hashes(docs: DataFrame, least: int, bitmaps: list[bytes]) -> DataFrame:
+    """(key): the hashes that words or pairs (with a bitmap of these: triples) of ``least`` occurrences fall into."""
     import pyarrow as pa
 
     block = BLOCK_BYTES
@@ -101,9 +119,9 @@ def _frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
         import numpy as np
 
         for lang, vocabulary, words in _blocks(batches, block):
-            single, pair = _hashes(lang, vocabulary, words)
-            both = (words[:-1] > 0) & (words[1:] > 0)
-            keys, n = np.unique(np.concatenate([single[words[words > 0]], pair[both]]), return_counts=True)
+            runs = _runs(lang, vocabulary, words, bitmaps)
+            runs = runs[2:] if bitmaps else runs[:2]
+            keys, n = np.unique(np.concatenate([name[may] for name, may in runs]), return_counts=True)
             for at in range(0, len(keys), 65536):
                 yield pa.record_batch([pa.array(keys[at : at + 65536].view(np.int64)), pa.array(n[at : at + 65536])], ["key", "n"])
 
@@ -135,35 +153,26 @@ def _bitmap(keys: DataFrame) -> bytes:
     return b"".join(found.get(k, bytes(chunk // 8)) for k in range(1 << (bits - CHUNK_BITS)))
 
 
-def _windows(docs: DataFrame, frequent: bytes) -> DataFrame:
+def _windows(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
     """(lang, w1..w4, n): padded longest windows counted by block; a window without words
     counts the positions whose word is too rare to start a phrase."""
     import pyarrow as pa
 
-    block, cell_bits = BLOCK_BYTES, (8 * len(frequent)).bit_length() - 1
+    block = BLOCK_BYTES
     schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in WORDS], ("n", pa.int64())])
 
     def count(batches):
         import numpy as np
 
-        bits, shift = np.unpackbits(np.frombuffer(frequent, np.uint8)).view(bool), np.uint64(64 - cell_bits)
         for lang, vocabulary, words in _blocks(batches, block):
-            single, pair = _hashes(lang, vocabulary, words)
-            can = bits[single >> shift]
-            can[0] = False
-            starts = can[words]
-            on = np.append(starts[:-1] & starts[1:] & bits[pair >> shift], False)  # the pair from here on may be frequent
-            ahead = np.concatenate([words, np.zeros(3, np.int32)])
-            on1 = np.concatenate([on, np.zeros(3, bool)])
-            lead = [np.where(starts, words, 0)]
-            alive = starts
-            for k in (1, 2, 3):
-                alive = alive & on1[k - 1 : k - 1 + len(words)]
-                lead.append(np.where(alive, ahead[k : k + len(words)], 0))
-            longer = lead[1] > 0
-            alone = np.bincount(lead[0][~longer], minlength=len(vocabulary))
+            (_, one), (_, two), (_, three) = _runs(lang, vocabulary, words, bitmaps)
+            lead = lambda k: np.concatenate([words[k:], np.zeros(k, np.int32)])  # noqa: B023, E731
+            four = three & np.append(three[1:], False)
+            windows = [np.where(on, lead(k), 0) for k, on in enumerate((one, two, three, four))]
+            longer = windows[1] > 0
+            alone = np.bincount(windows[0][~longer], minlength=len(vocabulary))
             alone[0] -= np.count_nonzero(words == 0)
-            columns = [c[longer].astype(np.int64) for c in lead]
+            columns = [c[longer].astype(np.int64) for c in windows]
             size = len(vocabulary)
             front, front_at = np.unique(columns[0] * size + columns[1], return_inverse=True)
             back, back_at = np.unique(columns[2] * size + columns[3], return_inverse=True)
@@ -185,8 +194,9 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     """(lang, words, f) of all phrases of one to four words with f >= ``least``, and
     for each language a row without words with all its word occurrences."""
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    top = _windows(source, _bitmap(_frequent_hashes(source, least))).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
-    rolled = top.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("out"))
+    bitmaps = [_bitmap(_frequent_hashes(source, least, []))]
+    bitmaps.append(_bitmap(_frequent_hashes(source, least, bitmaps)))
+    rolled = _windows(source, bitmaps).rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("out"))
     last = F.col("w1")  # of the words that a level keeps, the last is no padding
     for w in WORDS[1:]:
         last = F.coalesce(F.col(w), last)

@@ -147,7 +147,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch, bits, block):
         assert sorted(map(tuple, collocations.collocations(docs, least, top).collect())) == brute_collocations(rows, least, top)
 
 
-def test_a_full_bitmap_of_pairs_change_nothing(spark, monkeypatch):
+def test_a_full_bitmap_change_nothing(spark, monkeypatch):
     rows = phrases(3, 40)
     docs = spark.createDataFrame(rows, "lang string, text string")
     monkeypatch.setattr(collocations, "_bitmap", lambda keys: b"\xff" * 8192)
