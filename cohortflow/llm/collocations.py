@@ -95,8 +95,8 @@ def _runs(lang: str, vocabulary: list[bytes], words, bitmaps: list[bytes]) -> li
     h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
     found, n = [], len(words)
     for size in (1, 2, 3):
-        name = sum((h * np.uint64(m))[words[k : n - size + 1 + k]] for k, m in enumerate(MULTIPLIERS[:size])) if size > 1 else h[words]
-        name = np.append(name, np.zeros(size - 1, np.uint64))
+        name = sum((h * np.uint64(m))[words[k : max(k, n - size + 1 + k)]] for k, m in enumerate(MULTIPLIERS[:size])) if size > 1 else h[words]
+        name = np.append(name, np.zeros(size - 1, np.uint64))[:n]
         if size == 1:
             may = words > 0
         else:
@@ -166,7 +166,7 @@ def _windows(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
 
         for lang, vocabulary, words in _blocks(batches, block):
             (_, one), (_, two), (_, three) = _runs(lang, vocabulary, words, bitmaps)
-            lead = lambda k: np.concatenate([words[k:], np.zeros(k, np.int32)])  # noqa: B023, E731
+            lead = lambda k: np.concatenate([words[k:], np.zeros(min(k, len(words)), np.int32)])  # noqa: B023, E731
             four = three & np.append(three[1:], False)
             windows = [np.where(on, lead(k), 0) for k, on in enumerate((one, two, three, four))]
             longer = windows[1] > 0
@@ -196,7 +196,8 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     bitmaps = [_bitmap(_frequent_hashes(source, least, []))]
     bitmaps.append(_bitmap(_frequent_hashes(source, least, bitmaps)))
-    rolled = _windows(source, bitmaps).rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("out"))
+    counted = _windows(source, bitmaps).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    rolled = counted.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("out"))
     last = F.col("w1")  # of the words that a level keeps, the last is no padding
     for w in WORDS[1:]:
         last = F.coalesce(F.col(w), last)
