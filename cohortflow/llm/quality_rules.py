@@ -14,7 +14,9 @@ All of it is counted over all documents, none is sampled. Vectors are whole
 multiples of 2^-10, so sums are exact integers, equal in any order. A subset
 is cut on a grid of 2^-10 in log2(1 + distance): the last step belongs to it
 whole. What is windowed is a histogram, whose length has a bound (distances,
-values), never a group's rows. The scatter holds the spread ``FLOOR`` in every
+values), never a group's rows; a C-step reads the vectors as numpy matrices of
+at most ``CHUNK_ROWS`` documents of a group. After ``FIRST_STEPS`` steps from each
+start only the better one goes on. The scatter holds the spread ``FLOOR`` in every
 coordinate, as a statistic may be constant, and counts ``PRIOR_ROWS`` rows of
 spread ``PRIOR``, so that groups of a few documents have one too.
 
@@ -38,8 +40,10 @@ from cohortflow.llm.common import checkpoint, slices
 SHARE = 0.75
 #: Quantile of the chi-square law beyond which a document is rejected.
 LEVEL = 0.9999
-#: C-steps from each start, fewer if no group's subset changes any more.
-STEPS = 12
+#: C-steps from each start, and all of them, fewer if no group's subset changes any more.
+FIRST_STEPS, STEPS = 2, 12
+#: Documents of a group that a matrix holds.
+CHUNK_ROWS = 4096
 #: Spread that every coordinate has at least, and that of the prior rows.
 FLOOR = (0.4, 0.1, 0.25, 0.5, 0.04)
 PRIOR = (1.0, 0.1, 0.25, 0.5, 0.04)
@@ -203,26 +207,84 @@ def _starts(rows: DataFrame) -> DataFrame:
     return checkpoint(diagonal.unionByName(signs))
 
 
-def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(lang, source, x): matrices of the vectors of at most CHUNK_ROWS documents of a group."""
+    most = CHUNK_ROWS
+
+    def pack(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for (lang, source), part in f.groupby(GROUP, sort=False)["x"]:
+                x = np.stack(part.to_list()).astype(np.int64)
+                out += [(lang, source, x[at : at + most].tobytes()) for at in range(0, len(x), most)]
+            yield pd.DataFrame(out, columns=[*GROUP, "x"])
+
+    return checkpoint(rows.select(*GROUP, "x").mapInPandas(pack, "lang string, source string, x binary"))
+
+
+def _steps_of(x, centre, inverse):
+    """Grid steps of the distances of a matrix of vectors, and the matrix."""
+    import numpy as np
+
+    x = np.frombuffer(x, np.int64).reshape(-1, DIMS)
+    off = x / GRID - np.asarray(centre)
+    distance = np.einsum("ni,ij,nj->n", off, np.asarray(inverse).reshape(DIMS, DIMS), off)
+    return np.floor(np.log2(1 + np.maximum(distance, 0)) * GRID).astype(np.int64), x
+
+
+def _step(chunks: DataFrame, estimate: DataFrame) -> DataFrame:
     """One C-step: the nearest share of each group, and centre and scatter of it."""
     keys = [*GROUP, "start"]
-    near = rows.join(estimate, GROUP).select(*keys, "x", F.floor(F.log2(1 + F.greatest(_distance(), F.lit(0.0))) * GRID).alias("step"))
+    types = "lang string, source string, start int"
+
+    def histogram(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            for lang, source, start, x, centre, inverse in f.itertuples(index=False):
+                step, n = np.unique(_steps_of(x, centre, inverse)[0], return_counts=True)
+                yield pd.DataFrame({"lang": lang, "source": source, "start": start, "step": step, "n": n})
+
+    def moments(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for lang, source, start, x, centre, inverse, edge in f.itertuples(index=False):
+                step, x = _steps_of(x, centre, inverse)
+                x = x[step <= edge]
+                out.append((lang, source, start, len(x), x.sum(0), (x.T @ x).ravel()))
+            yield pd.DataFrame(out, columns=[*keys, "n", "sums", "products"])
+
+    near = chunks.join(estimate.select(*keys, "centre", "inverse"), GROUP).select(*keys, "x", "centre", "inverse")
     w = Window.partitionBy(*keys)
-    counts = near.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("n"))
+    counts = near.mapInPandas(histogram, f"{types}, step long, n long").groupBy(*keys, "step").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     edge = counts.where(F.col("upto") >= F.ceil(F.lit(SHARE) * F.col("all"))).groupBy(*keys).agg(F.min("step").alias("edge"))
-    return checkpoint(_solved(_moments(near.join(edge, keys).where("step <= edge"), keys)))
+    nearer = chunks.join(estimate.select(*keys, "centre", "inverse").join(edge, keys), GROUP).select(*keys, "x", "centre", "inverse", "edge")
+    parts = nearer.mapInPandas(moments, f"{types}, n long, sums array<long>, products array<long>")
+    total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(DIMS)]).alias("sums"),
+                                     F.array(*[F.sum(F.col("products")[i]) for i in range(DIMS * DIMS)]).alias("products"))
+    return checkpoint(_solved(total))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(lang, source, centre, inverse) of the subset of least determinant; ``rows``: lang, source, x."""
-    now = _starts(rows)
-    for _ in range(STEPS):
-        before, now = now, _step(rows, now)
-        same = now.join(before.select(*GROUP, "start", F.col("n").alias("n0"), F.col("logdet").alias("logdet0")), [*GROUP, "start"])
-        if same.where("n != n0 OR logdet != logdet0").isEmpty():
-            break
-    return now.groupBy(*GROUP).agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("least")).select(*GROUP, "least.*")
+    chunks, now, state = _chunks(rows), _starts(rows), None
+    for k in range(1, STEPS + 1):
+        now = _step(chunks, now)
+        if k == FIRST_STEPS:
+            best = F.min_by(F.struct(*now.columns[2:]), F.struct("logdet", "start"))
+            now = now.groupBy(*GROUP).agg(best.alias("best")).select(*GROUP, "best.*")
+        if k > FIRST_STEPS:
+            before, state = state, now.agg(F.sum("n"), F.bit_xor(F.xxhash64(*GROUP, "n", "logdet"))).first()
+            if state == before:
+                break
+    return now.select(*GROUP, "centre", "inverse")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -204,18 +204,18 @@ def brute_estimate(x):
     unit = (x - middle) / q.GRID / scale
     size = np.sqrt((unit**2).sum(1))[:, None]
     ways = np.where(size > 0, np.round(unit / np.where(size > 0, size, 1) * scale * q.GRID), 0)
-    best = None
-    for scatter in (np.diag(scale**2), solve(ways)[1]):
-        centre, was = middle / q.GRID, None
-        for _ in range(q.STEPS):
+
+    def steps(centre, scatter, n):
+        for _ in range(n):
             off = x / q.GRID - centre
             step = np.floor(np.log2(1 + np.einsum("ni,ij,nj->n", off, np.linalg.inv(scatter), off)) * q.GRID)
             edge = np.sort(step)[int(np.ceil(q.SHARE * len(x))) - 1]
             centre, scatter = solve(x[step <= edge].astype(float))
-        det = np.linalg.slogdet(scatter)[1]
-        if best is None or det < best[0]:
-            best = det, centre, scatter
-    return best
+        return np.linalg.slogdet(scatter)[1], centre, scatter
+
+    starts = [steps(middle / q.GRID, scatter, q.FIRST_STEPS) for scatter in (np.diag(scale**2), solve(ways)[1])]
+    _, centre, scatter = min(starts, key=lambda r: r[0])
+    return steps(centre, scatter, q.STEPS - q.FIRST_STEPS)
 
 
 def test_estimate_equals_numpy_and_is_robust(spark):
