@@ -7,8 +7,10 @@ distributed MLlib / Spark job; no row data passes through the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ from cohortflow.functions.quantiles import median_map
 
 from cohortflow.functions.hashing import hash32, keyed
 from cohortflow.functions.windows import prefix_sum
-from cohortflow.operators import clean, compare, fidelity, models, privacy, sample, survival
+from cohortflow.operators import boosting, clean, compare, cox, fidelity, models, privacy, sample, survival
 from cohortflow.schema import DEFAULT, SurvivalSchema
-from cohortflow.session import cut_lineage
+from cohortflow.session import cut_lineage, materialize
 
 METRIC_SCHEMA = "method string, vs string, metric string, value double, tier string, error string"
 
@@ -27,32 +29,30 @@ def _methods(syn: DataFrame, method: str = "method") -> list[str]:
     return sorted(r[method] for r in syn.select(method).distinct().collect())
 
 
-def brier_at(df: DataFrame, sch: SurvivalSchema, pred: str, t_star: float) -> float:
-    """Inverse-probability-of-censoring weighted Brier score at ``t_star``.
+def brier_weights(df: DataFrame, sch: SurvivalSchema, t_star: float) -> DataFrame:
+    """``df`` with ``_alive`` (past t*) and ``_w``, the inverse-probability-of-censoring weight of its
+    squared error at t*: 1 / G(T-) for events up to t*, 1 / G(t*) past it, 0 for the rest.
 
-    G is the Kaplan-Meier curve of the censoring times (status flipped);
-    events before t* weigh 1 / G(T-), survivors past t* weigh 1 / G(t*).
-    Rows collapse per distinct time first; G(T-) comes from an exclusive
-    running sum of log factors over distinct times (``prefix_sum``).
+    G is the Kaplan-Meier curve of the censoring times (status flipped), from running sums over
+    distinct times; it depends on the scored table only, not on what is scored.
     """
     t, e = F.col(sch.time), F.col(sch.status)
-    per_t = df.groupBy(sch.time).agg(
-        F.count(F.lit(1)).alias("n_t"), F.sum((1 - e).cast("long")).alias("c_t"),
-        F.sum(F.when((e == 1) & (t <= t_star), F.col(pred) ** 2).otherwise(0.0)).alias("a_t"),
-        F.sum(F.when(t > t_star, (1 - F.col(pred)) ** 2).otherwise(0.0)).alias("b_t"))
-    n = df.count()
+    per_t = df.groupBy(sch.time).agg(F.count(F.lit(1)).alias("n_t"), F.sum((1 - e).cast("long")).alias("c_t"))
     per_t = prefix_sum(per_t, [], [sch.time], ["n_t"], descending=True, out_prefix="_risk_")
     per_t = per_t.withColumn("_f", F.when(F.col("c_t") < F.col("_risk_n_t"),
                                           F.log1p(-F.col("c_t") / F.col("_risk_n_t"))).otherwise(F.lit(-1e300)))
-    per_t = prefix_sum(per_t, [], [sch.time], ["_f"], inclusive=False, out_prefix="_cum")
-    g_star = per_t.where(t <= t_star).agg(F.sum("_f")).first()[0] or 0.0
-    import math
+    per_t = cut_lineage(prefix_sum(per_t, [], [sch.time], ["_f"], inclusive=False, out_prefix="_cum"))
+    g_star = math.exp(max(-745.0, per_t.where(t <= t_star).agg(F.sum("_f")).first()[0] or 0.0))
+    out = df.join(per_t.select(sch.time, F.exp("_cum_f").alias("_g")), sch.time)
+    w = F.when(t > t_star, F.lit(1.0 / g_star if g_star > 0 else 0.0)).when((e == 1) & (F.col("_g") > 0), 1 / F.col("_g")).otherwise(F.lit(0.0))
+    return out.withColumn("_alive", (t > t_star).cast("double")).withColumn("_w", w).drop("_g")
+
 
-    G_star = math.exp(g_star) if g_star > -700 else 0.0
-    r = per_t.agg(F.sum(F.when(F.exp(F.col("_cum_f")) > 0, F.col("a_t") / F.exp(F.col("_cum_f"))).otherwise(0.0)),
-                  F.sum("b_t")).first()
-    total = float(r[0] or 0.0) + (float(r[1] or 0.0) / G_star if G_star > 0 else 0.0)
-    return total / n if n else float("nan")
+def brier_at(df: DataFrame, sch: SurvivalSchema, pred: str, t_star: float) -> float:
+    """Inverse-probability-of-censoring weighted Brier score of S(t*) in ``pred``; NaN without rows."""
+    score = F.avg(F.col("_w") * F.pow(F.col("_alive") - F.col(pred), 2))
+    found = brier_weights(df, sch, t_star).agg(score).first()[0]
+    return float("nan") if found is None else float(found)
 
 
 def together(tasks: list, threads: int = 6) -> list:
@@ -69,73 +69,119 @@ def together(tasks: list, threads: int = 6) -> list:
         return list(pool.map(lambda f: inheritable_thread_target(spark)(f)(), tasks))
 
 
-def fit_sample(df: DataFrame, max_n: int, id_col: str, seed: int) -> DataFrame:
-    """At most ``max_n`` rows to fit on (``sample.cap_rows``), written once and spread over partitions."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return cut_lineage(sample.cap_rows(df, max_n, id_col, seed).repartition(min(parts, 8), F.col(id_col)))
+def capped(tables: DataFrame, max_n: int, id_col: str, seed: int, fit: str = "_fit") -> DataFrame:
+    """At most ``max_n`` rows of every fit, the least hash(id, seed), written once."""
+    return materialize(sample.hash_ranked(tables, id_col, seed, [fit]).where(F.col("_rank") <= max_n).drop("_rank"), "capped")
+
+
+def residual_curves(fits: DataFrame, models_: dict, sch: SurvivalSchema, cols: Sequence[str]) -> dict[str, tuple]:
+    """{fit: (residuals of log time, Kaplan-Meier S after each)}: the baseline survival of boosted
+    trees on log time. At most a row for each fitted row (capped tables) reaches the driver."""
+    import numpy as np
+
+    res = models.predict_log_time(models_, fits, cols, "_pred", F.col("_fit")).select(
+        "_fit", (models.log_time(sch) - F.col("_pred")).alias(sch.time), sch.status)
+    out: dict[str, tuple] = {}
+    km = survival.kaplan_meier(res, sch, ["_fit"]).select("_fit", sch.time, "s").toPandas().sort_values(["_fit", sch.time])
+    for f, part in km.groupby("_fit"):
+        out[f] = (part[sch.time].to_numpy(float), np.append(1.0, part["s"].to_numpy(float)))
+    return out
 
 
 def downstream(real_train: DataFrame, real_test: DataFrame, syn: DataFrame, sch: SurvivalSchema,
                cols: Sequence[str], max_n: int = 20000, seed: int = 42, trees: bool = True,
                tree_count: int = 300, brier: bool = False, id_col: str = "patient_id", on_train: bool = False) -> DataFrame:
     """TRTR, TSTR, TSTS C-index of Cox (and boosted trees) per
-    method; train tables capped at ``max_n`` rows by hash, the test table
-    not capped. Optional Brier score of a Weibull AFT fit at the median time.
+    method; train tables capped at ``max_n`` rows by hash, the scored tables
+    not capped. Optional Brier scores at the median time: a Weibull AFT fit, and
+    the trees with the Kaplan-Meier curve of their log residuals as baseline.
     ``on_train`` scores the same fits on the whole real train table as well
     (metrics ending in ``_id``).
 
-    Models are fitted per method (each fit a distributed job); every scored
-    table is then stacked with (method, metric) keys and all C-indices come
-    from one grouped concordance plan.
+    One Newton plan fits all Cox models and one job all trees; every scored table
+    is stacked with (model, fit, table) keys and all C-indices come from one
+    grouped concordance plan.
     """
     spark = real_train.sparkSession
     cols = list(cols)
     keep = [sch.time, sch.status]
     need = [id_col, *keep, *[c for c in cols if c not in keep]]
-    real_test = cut_lineage(real_test.select(*need))
-    refs = {"": real_test, **({"_id": cut_lineage(real_train.select(*need))} if on_train else {})}
+    refs = {"": cut_lineage(real_test.select(*need)), **({"_id": cut_lineage(real_train.select(*need))} if on_train else {})}
     syn = cut_lineage(syn.select("method", *need))
-    rt = fit_sample(real_train.select(*need), max_n, id_col, seed)
-    t_med = {x: median_map(ref, [sch.time])[sch.time] for x, ref in refs.items()} if brier else None
     methods = _methods(syn)
-    tables = [rt, *together([lambda m=m: fit_sample(syn.where(F.col("method") == m), max_n, id_col, seed) for m in methods])]
-    cox = [lambda t=t: models.CoxPH(0.01).fit(t, sch, cols) for t in tables]
-    gbt = [lambda t=t: models.fit_log_time(t, sch, cols, trees=tree_count) for t in tables] if trees else []
-    aft = [lambda t=t: models.fit_aft(t, sch, cols) for t in tables[1:]] if brier else []
-    fitted = together(gbt + cox + aft)
-    gbt, cox, aft = fitted[: len(gbt)], fitted[len(gbt) : len(gbt) + len(cox)], fitted[len(gbt) + len(cox) :]
-
-    scored: list[DataFrame] = []
-
-    def add(df: DataFrame, m: str, metric: str, score_col: str = "score"):
-        scored.append(df.select(F.lit(m).alias("method"), F.lit(metric).alias("metric"), *keep,
-                                F.col(score_col).cast("double").alias("score")))
-
-    for k, m in enumerate(methods, 1):
-        s = syn.where(F.col("method") == m)  # fitted on a capped sample, scored on all rows
-        for x, ref in refs.items():
-            add(cox[0].score(ref), m, f"custom.cox_trtr{x}")
-            add(cox[k].score(ref), m, f"custom.cox_tstr{x}")
-            if trees:
-                add(models.predict_log_time(gbt[0], ref, cols), m, f"custom.xgb_trtr{x}")
-                add(models.predict_log_time(gbt[k], ref, cols), m, f"custom.xgb_tstr{x}")
-        add(cox[k].score(s), m, "custom.cox_tsts")
-        if trees:
-            add(models.predict_log_time(gbt[k], s, cols), m, "custom.xgb_tsts")
-
-    def brier_of(k: int, x: str) -> tuple:
-        p = models.survival_curve(aft[k], refs[x], cols, [t_med[x]], "_sv").withColumn("_p", F.col("_sv")[0])
-        return methods[k], f"custom.brier_tstr_aft{x}", brier_at(p, sch, "_p", t_med[x])
-
-    extra = together([lambda k=k, x=x: brier_of(k, x) for k in range(len(aft)) for x in refs])
-    stacked = scored[0]
-    for d in scored[1:]:
-        stacked = stacked.unionByName(d)
-    c = survival.concordance(stacked, sch, "score", by=["method", "metric"])
-    out = c.select("method", "metric", F.col("c_index").alias("value"))
-    if extra:
-        out = out.unionByName(spark.createDataFrame(extra, "method string, metric string, value double"))
-    return out
+    own = real_train.select(F.lit("").alias("_fit"), *need).unionByName(syn.select(F.concat(F.lit("m:"), "method").alias("_fit"), *need))
+    tables = capped(own, max_n, id_col, seed)
+    cox_models = cox.fit_many(tables, sch, cols, F.col("_fit"), 0.01)
+    tree_models = models.fit_log_time(tables, sch, cols, trees=tree_count, fit=F.col("_fit"), id_col=id_col) if trees else {}
+
+    # Every scored row with the fits that score it: real tables by all of them, a method by its own.
+    fits = F.array(*[F.lit(f) for f in ["", *[f"m:{m}" for m in methods]]])
+    scored = syn.select(F.lit("own").alias("_table"), F.concat(F.lit("m:"), "method").alias("_fit"), *need)
+    for x, ref in refs.items():
+        scored = scored.unionByName(ref.select(F.lit(f"ref{x}").alias("_table"), F.explode(fits).alias("_fit"), *need))
+    linear = [(f, [float(b) / m.std[c] for b, c in zip(m.beta, cols)], -sum(float(b) * m.mean[c] / m.std[c] for b, c in zip(m.beta, cols)))
+              for f, m in cox_models.items()]
+    linear = spark.createDataFrame(linear, "_fit string, _b array<double>, _b0 double")  # one row a fit
+    eta = F.col("_b0")
+    for j, c in enumerate(cols):
+        eta = eta + F.col(f"`{c}`").cast("double") * F.col("_b")[j]
+    keys = ["_model", "_table", "_fit"]
+    by_cox = scored.join(F.broadcast(linear), "_fit").select(F.lit("cox").alias("_model"), *keys[1:], *keep, (-F.exp(eta)).alias("score"))
+    both = by_cox
+    if trees:
+        by_tree = models.predict_log_time(tree_models, scored, cols, fit=F.col("_fit"))
+        both = by_cox.unionByName(by_tree.select(F.lit("xgb").alias("_model"), *keys[1:], *keep, "score"))
+    found = {(r["_model"], r["_table"], r["_fit"]): r["c_index"] for r in survival.concordance(both, sch, "score", by=keys).collect()}
+    rows = []
+    for m in methods:
+        for kind in ("cox", "xgb") if trees else ("cox",):
+            for x in refs:
+                rows.append((m, f"custom.{kind}_trtr{x}", found.get((kind, f"ref{x}", ""))))
+                rows.append((m, f"custom.{kind}_tstr{x}", found.get((kind, f"ref{x}", f"m:{m}"))))
+            rows.append((m, f"custom.{kind}_tsts", found.get((kind, "own", f"m:{m}"))))
+    if brier:
+        rows += _briers(refs, tables, methods, sch, cols, tree_models)
+    return spark.createDataFrame([r for r in rows if r[2] is not None], "method string, metric string, value double")
+
+
+def _briers(refs: dict, tables: DataFrame, methods: list[str], sch: SurvivalSchema, cols: list[str], tree_models: dict) -> list[tuple]:
+    """(method, metric, Brier score at the median time of the reference) of AFT fits and of boosted trees."""
+    import numpy as np
+
+    spark = tables.sparkSession
+    aft = together([lambda m=m: models.fit_aft(tables.where(F.col("_fit") == f"m:{m}"), sch, cols) for m in methods])
+    params = spark.createDataFrame([(m, [float(v) for v in a.coefficients.toArray()], float(a.intercept), float(a.scale)) for m, a in zip(methods, aft)],
+                                   "_m string, _b array<double>, _b0 double, _scale double")  # one row a method
+    shared = spark.sparkContext.broadcast(residual_curves(tables, tree_models, sch, cols) if tree_models else {})
+
+    @F.pandas_udf("double")
+    def alive(fit: pd.Series, residual: pd.Series) -> pd.Series:
+        out = np.full(len(fit), np.nan)
+        for f in fit.unique():
+            if f in shared.value:
+                at, s = shared.value[f]
+                rows = (fit == f).to_numpy()
+                out[rows] = s[np.searchsorted(at, residual[rows].to_numpy(float), "right")]
+        return pd.Series(out)
+
+    rows = []
+    for x, ref in refs.items():
+        t_star = median_map(ref, [sch.time])[sch.time]
+        if t_star is None:
+            continue
+        weighted = brier_weights(ref, sch, t_star).join(F.broadcast(params))
+        eta = F.col("_b0")
+        for j, c in enumerate(cols):
+            eta = eta + F.col(f"`{c}`").cast("double") * F.col("_b")[j]
+        p = weighted.withColumn("aft", F.exp(-F.pow(F.lit(float(t_star)) / F.exp(eta), 1 / F.col("_scale")))).withColumn("_fit", F.concat(F.lit("m:"), "_m"))
+        names = ["aft"]
+        if tree_models:
+            p = models.predict_log_time(tree_models, p, cols, "_pred", F.col("_fit"))
+            p = p.withColumn("xgb", alive("_fit", F.lit(math.log(max(t_star, models.TIME_FLOOR))) - F.col("_pred")))
+            names.append("xgb")
+        scores = p.groupBy("_m").agg(*[F.avg(F.col("_w") * F.pow(F.col("_alive") - F.col(n), 2)).alias(n) for n in names]).collect()
+        rows += [(r["_m"], f"custom.brier_tstr_{n}{x}", r[n]) for r in scores for n in names]
+    return rows
 
 
 def detection_auc(real: DataFrame, syn: DataFrame, cols: Sequence[str], folds: int = 3, trees: int = 20,
@@ -146,7 +192,7 @@ def detection_auc(real: DataFrame, syn: DataFrame, cols: Sequence[str], folds: i
     standardised features (``model="mlp"``); fold = hash(row id) mod k; AUC by
     the rank formula on the held-out fold."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     from pyspark.ml.functions import vector_to_array
@@ -157,22 +203,35 @@ def detection_auc(real: DataFrame, syn: DataFrame, cols: Sequence[str], folds: i
     methods = _methods(syn)
     fold = (hash32(keyed(F.concat(F.col(id_col).cast("string"), F.col("label").cast("string")), seed)) % folds).cast("int")
 
+    def tree_aucs() -> dict:
+        """All methods and folds at once: a row is learned from by the fits of the other folds."""
+        both = real.withColumn("label", F.lit(0.0)).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+        both = cut_lineage(both.unionByName(syn.withColumn("label", F.lit(1.0))).withColumn("fold", fold))
+        others = F.array_remove(F.array(*[F.lit(f) for f in range(folds)]), F.col("fold"))
+        learn = both.withColumn("_held", F.explode(others)).withColumn("_fit", F.concat_ws(":", F.col("_held").cast("string"), "method"))
+        fitted = boosting.fit_many(learn, cols, F.col("label"), F.col("_fit"), F.concat_ws(":", F.col(id_col).cast("string"), F.col("label").cast("string")),
+                                   loss="logistic", trees=trees, depth=depth, seed=seed)
+        held = both.withColumn("_fit", F.concat_ws(":", F.col("fold").cast("string"), "method"))
+        scored = boosting.predict(held, fitted, cols, F.col("_fit"), loss="logistic").where("score IS NOT NULL")
+        return {(r["method"], r["fold"]): r["auc"] for r in compare.auc_rank(scored, "label", "score", ["method", "fold"]).collect()}
+
     def held_out_auc(m: str, f: int):
         both = real.withColumn("label", F.lit(0.0)).unionByName(
             syn.where(F.col("method") == m).drop("method").withColumn("label", F.lit(1.0))).withColumn("fold", fold)
         both = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep").transform(both)
-        if model == "mlp":
-            est = Pipeline(stages=[
-                StandardScaler(inputCol="features", outputCol="_zf", withMean=True, withStd=True),
-                MultilayerPerceptronClassifier(featuresCol="_zf", layers=[len(cols), hidden, 2],
-                                               maxIter=max_iter, seed=seed)])
-        else:
-            est = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+        est = Pipeline(stages=[
+            StandardScaler(inputCol="features", outputCol="_zf", withMean=True, withStd=True),
+            MultilayerPerceptronClassifier(featuresCol="_zf", layers=[len(cols), hidden, 2],
+                                           maxIter=max_iter, seed=seed)])
         pred = est.fit(both.where(F.col("fold") != f)).transform(both.where(F.col("fold") == f))
         pred = pred.select("label", vector_to_array("probability")[1].alias("score"))
         return compare.auc_rank(pred, "label", "score").first()["auc"]
 
-    aucs = together([lambda m=m, f=f: held_out_auc(m, f) for m in methods for f in range(folds)])
+    if model == "mlp":
+        aucs = together([lambda m=m, f=f: held_out_auc(m, f) for m in methods for f in range(folds)])
+    else:
+        by_fold = tree_aucs() if methods else {}
+        aucs = [by_fold.get((m, f)) for m in methods for f in range(folds)]
     name = "detection.detection_mlp.mean" if model == "mlp" else "detection.detection_xgb.mean"
     rows = []
     for k, m in enumerate(methods):
@@ -183,7 +242,7 @@ def detection_auc(real: DataFrame, syn: DataFrame, cols: Sequence[str], folds: i
 
 
 def feature_rank_distance(real: DataFrame, syn: DataFrame, sch: SurvivalSchema, cols: Sequence[str],
-                          trees: int = 50) -> DataFrame:
+                          trees: int = 300, id_col: str = "patient_id") -> DataFrame:
     """Spearman correlation of boosted-tree feature importances (log-time
     regressor) fitted on real vs on each method. The importances are one
     number per feature, so the rank correlation is driver math on k values."""
@@ -202,12 +261,12 @@ def feature_rank_distance(real: DataFrame, syn: DataFrame, sch: SurvivalSchema,
                 r[idx] = np.mean(r[idx])
         return r
 
-    need = list(dict.fromkeys([*cols, sch.time, sch.status]))
-    real = cut_lineage(real.select(*need))
-    syn = cut_lineage(syn.select("method", *need))
+    need = list(dict.fromkeys([id_col, *cols, sch.time, sch.status]))
+    syn = syn.select("method", *need)
     methods = _methods(syn)
-    importances = together([lambda t=t: models.fit_log_time(t, sch, cols, trees=trees).featureImportances.toArray()
-                            for t in [real, *[syn.where(F.col("method") == m) for m in methods]]])
+    both = real.select(F.lit("").alias("_fit"), *need).unionByName(syn.select(F.concat(F.lit("m:"), "method").alias("_fit"), *need))
+    fitted = models.fit_log_time(both, sch, cols, trees=trees, fit=F.col("_fit"), id_col=id_col)
+    importances = [fitted[f].importances if f in fitted else np.zeros(len(cols)) for f in ["", *[f"m:{m}" for m in methods]]]
     imp_r = importances[0]
     rows = []
     for m, imp_s in zip(methods, importances[1:]):

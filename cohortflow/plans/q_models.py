@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortflow.functions import hashing
 from cohortflow.functions.exprs import round_floats, sql_r6
 from cohortflow.operators import compare, evaluate, models, survival, synth
+from cohortflow.operators.hazard import DiscreteHazard
 from cohortflow.plans.oracle import gap_sql, with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
 from cohortflow.plans.q_metrics import _tables
@@ -55,23 +56,16 @@ def q_e10(spark, sf_dir):
 
 @register("E11_survival_curve_model")
 def q_e11(spark, sf_dir):
-    """S(t | x) at 100 equally spaced horizons from a Weibull AFT fit on the real train split."""
+    """S(t | x) at 100 equally spaced horizons of a discrete-time hazard model of the real train split."""
     real, test, _ = _tables(spark, sf_dir)
-    aft = models.fit_aft(real, DEFAULT, FEATURES)
-    b = real.agg(F.min("time"), F.max("time")).first()
-    hz = [b[0] + i * (b[1] - b[0]) / 99 for i in range(100)]
-    s = models.survival_curve(aft, test.select("patient_id", *FEATURES), FEATURES, hz)
-    return round_floats(s.select("patient_id", *[F.col("surv")[i].alias(f"s{i}") for i in range(100)]))
-
-
-def _tte(spark, sf_dir):
-    real, _, _ = _tables(spark, sf_dir)
-    return models.TimeToEvent().fit(real, DEFAULT, FEATURES)
+    model = DiscreteHazard(100).fit(real, DEFAULT, FEATURES)
+    s = model.survival(test.select("patient_id", *FEATURES))
+    return round_floats(s.select("patient_id", *[F.col("surv")[i].alias(f"s{i}") for i in range(len(model.horizons))]))
 
 
 @register("E12_E13_time_to_event")
 def q_e12(spark, sf_dir):
-    """Time-to-event fit (AFT curve features + boosted trees of depth 6) and
+    """Time-to-event fit (hazard curve features + boosted trees of depth 6) and
     seeded prediction with clamping for every synthetic row."""
     _, _, syn = _tables(spark, sf_dir)
     real, _, _ = _tables(spark, sf_dir)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cohortflow.operators import models, survival
+from cohortflow.operators import cox, models, survival
 from cohortflow.schema import DEFAULT
 
 
@@ -67,5 +67,5 @@ def test_cox_ties_over_several_blocks(spark, monkeypatch):
     rows = [(float(a), int(b), float(c)) for a, b, c in zip(t, rng.random(400) < 0.8, x)]
     df = spark.createDataFrame(rows, "time double, status int, x double").cache()
     whole = models.CoxPH(penalizer=0.01).fit(df, DEFAULT, ["x"]).beta
-    monkeypatch.setattr(models, "TIE_BLOCK", 7)
+    monkeypatch.setattr(cox, "TIE_BLOCK", 7)
     assert models.CoxPH(penalizer=0.01).fit(df, DEFAULT, ["x"]).beta == pytest.approx(whole, abs=1e-9)
