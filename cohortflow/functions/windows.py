@@ -2,11 +2,13 @@
 
 ``Window.orderBy(...)`` with no partition key moves every row into one task,
 and ``Window.partitionBy(group)`` puts a group holding a third of all rows
-into one task. ``prefix_sum`` has one plan at every size: rows get a *slice*
-from the sort key compared with boundaries drawn from a bounded sample. Each
-(slice, group) gets its local running sum in a window; the per-(slice, group)
-totals -- at most #groups + slices rows -- get an exclusive running sum over
-slices, joined back (null-safe) as an offset.
+into one task. ``prefix_sum`` cuts its input into slices of about
+``SLICE_ROWS`` rows, as many as the rows need (the cluster's shuffle partitions
+at most): rows get a *slice* from the sort key compared with boundaries drawn
+from a bounded sample. Each (slice, group) gets its local running sum in a
+window; the per-(slice, group) totals -- at most #groups + slices rows -- get an
+exclusive running sum over slices, joined back (null-safe) as an offset. Rows
+that fit one slice need neither boundaries nor offsets.
 
 The input is checkpointed once, so the sample, the local sums and the totals
 read the same written rows, and the slice is a pure function of the row's key
@@ -27,6 +29,8 @@ from cohortflow.session import cut_lineage
 
 #: Keys sampled for each slice boundary.
 SAMPLED = 32
+#: Rows of a slice, about.
+SLICE_ROWS = 65_536
 
 
 def _sort_exprs(order: Sequence[str], descending: bool) -> list[Column]:
@@ -39,11 +43,9 @@ def window_prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                       cols: Sequence[str], descending: bool = False,
                       inclusive: bool = True, out_prefix: str = "cum_",
                       next_col: str | None = None) -> DataFrame:
-    """Plain-window running sum: the reference that tests compare ``prefix_sum`` with."""
+    """Plain-window running sum of the rows of one slice; what tests compare slices with."""
     frame_end = Window.currentRow if inclusive else -1
-    w0 = Window.orderBy(*_sort_exprs(order, descending))
-    if by:
-        w0 = Window.partitionBy(*by).orderBy(*_sort_exprs(order, descending))
+    w0 = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_sort_exprs(order, descending))
     w = w0.rowsBetween(Window.unboundedPreceding, frame_end)
     extra = [F.lead(order[0]).over(w0).alias(next_col)] if next_col else []
     return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{out_prefix}{c}")
@@ -100,9 +102,12 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     by, order, cols = list(by), list(order), list(cols)
     spark = df.sparkSession
-    if slices is None:
-        slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     df = cut_lineage(df)
+    if slices is None:
+        partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        slices = min(partitions, -(-df.count() // SLICE_ROWS))
+    if slices <= 1:
+        return window_prefix_sum(df, by, order, cols, descending, inclusive, out_prefix, next_col)
 
     ord_keys = [(-F.col(c) if descending else F.col(c)) for c in order]
     key = F.struct(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)],
