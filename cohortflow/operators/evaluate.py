@@ -8,9 +8,11 @@ distributed MLlib / Spark job; no row data passes through the driver.
 from __future__ import annotations
 
 import math
+import posixpath
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -306,40 +308,68 @@ def cheap_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: Surviva
     return out
 
 
-def _boot_long(spark, rows: list[tuple], metric_prefix: str) -> DataFrame:
-    """(method, b, name, value) replicate rows -> C8 summary in the long form:
-    ``<prefix>.<name>.mean`` plus ``.boot_mean/.boot_std/.boot_ci_lo/.boot_ci_hi/.boot_n``."""
-    runs = spark.createDataFrame(rows, "method string, b int, metric string, value double")
+def _boot_long(runs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(method, b, metric, value) replicate rows -> C8 summary in the long form: ``<name>.mean``
+    plus ``.boot_mean/.boot_std/.boot_ci_lo/.boot_ci_hi/.boot_n``; ``names``: {metric: name}."""
+    named = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+    runs = runs.where(F.col("metric").isin(*names)).withColumn("metric", named[F.col("metric")])
     summ = sample.bootstrap_summary(runs, by=["method"])
     stats = {"mean": "boot_mean", "boot_mean": "boot_mean", "boot_std": "boot_std",
              "boot_ci_lo": "boot_ci_lo", "boot_ci_hi": "boot_ci_hi", "boot_n": "boot_n"}
     arr = F.array(*[F.struct(F.lit(k).alias("stat"), F.col(v).cast("double").alias("value")) for k, v in stats.items()])
     long = summ.select("method", "metric", F.explode(arr).alias("x"))
-    return long.select("method", F.concat_ws(".", F.lit(metric_prefix), F.col("metric"), F.col("x.stat")).alias("metric"),
-                       F.col("x.value").alias("value"))
+    return long.select("method", F.concat_ws(".", F.col("metric"), F.col("x.stat")).alias("metric"), F.col("x.value").alias("value"))
+
+
+# Names of the replicates' figures in the metric table.
+HEAVY_NAMES = {
+    "precision": "stats.prdc.precision", "recall": "stats.prdc.recall", "density": "stats.prdc.density", "coverage": "stats.prdc.coverage",
+    "delta_precision_alpha": "stats.alpha_precision.delta_precision_alpha_naive", "delta_coverage_beta": "stats.alpha_precision.delta_coverage_beta_naive",
+    "authenticity": "stats.alpha_precision.authenticity_naive", "mmd_rbf": "stats.max_mean_discrepancy.joint",
+}
+
+
+def matched_pairs(ref: DataFrame, syn: DataFrame, id_col: str, seed: int) -> list[tuple[DataFrame, DataFrame]]:
+    """C3 for every method: (reference rows, synthetic rows) of equal size, min(|ref|, |method|). Methods
+    of equal size share a pair; the larger side keeps its least hashes (ranked once for all)."""
+    n_ref = ref.count()
+    sizes: dict[int, list[str]] = {}
+    for r in syn.groupBy("method").count().collect():
+        if r["method"] is not None:
+            sizes.setdefault(min(n_ref, r["count"]), []).append(r["method"])
+    if set(sizes) <= {n_ref} and n_ref and syn.count() == n_ref * sum(map(len, sizes.values())):
+        return [(ref, syn)]
+    a = cut_lineage(sample.hash_ranked(ref, id_col, seed))
+    b = cut_lineage(sample.hash_ranked(syn, id_col, seed, ["method"]))
+    return [(a.where(F.col("_rank") <= n).drop("_rank"), b.where(F.col("method").isin(*ms) & (F.col("_rank") <= n)).drop("_rank"))
+            for n, ms in sorted(sizes.items())]
 
 
 def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalSchema, cols: Sequence[str],
                 cheap: bool = True, heavy: bool = True, priv: bool = False, downstream_cox: bool = False,
                 heavy_n_sub: int = 5000, heavy_n_bootstrap: int = 3,
-                seed: int = 42, id_col: str = "patient_id") -> DataFrame:
+                seed: int = 42, id_col: str = "patient_id", save_dir: str | None = None) -> DataFrame:
     """the evaluation tiers, vs the real train and the real test split.
 
+    Each method is compared with each reference at equal size (C3).
+
     * always: optimism / KM divergence / short-sightedness, censoring-rate
-      gap, time W1 for events and censored rows (all rows);
+      gap, time W1 for events and censored rows;
     * cheap: marginal JS distance, boosted-tree and perceptron detection AUC,
-      Cox and tree performance with the AFT Brier score (fitted once, scored on
-      both references), feature-rank distance;
-    * heavy: linear and RBF MMD, per-column W1 and inverse KL on all rows
-      (all linear in rows here), and k-NN precision/recall/density/coverage
-      and alpha-precision on ``heavy_n_bootstrap`` hash subsamples of
-      ``heavy_n_sub`` rows, summarised by C8;
-    * privacy (opt-in, as in the reference): k-anonymity, l-diversity,
-      identifiability.
+      Cox and tree performance with AFT and tree Brier scores (fitted once, scored
+      on both references), feature-rank distance;
+    * heavy: linear and RBF MMD, per-column and sliced joint W1 and inverse KL on
+      all rows (all linear in rows here), and k-NN precision/recall/density/
+      coverage, alpha-precision and exact RBF MMD on ``heavy_n_bootstrap`` hash
+      subsamples of ``heavy_n_sub`` rows, summarised by C8;
+    * privacy (opt-in, as in the reference): k-anonymity and l-diversity by
+      classes and by clusters, identifiability of all rows.
 
     Each metric runs on its own; a failure becomes a row with ``error``
     instead of stopping the others. Results are per-method numbers, so each
-    metric's small result is collected.
+    metric's small result is collected. With ``save_dir`` every metric overwrites
+    its own folder there when it ends without error, and a later call with the
+    same folder takes what is finished from it (A5).
     """
     from cohortflow.operators import neighbours
 
@@ -349,96 +379,114 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
     s_norm = cut_lineage(clean.normalise_labels(syn, sch))
     tasks: list = []
 
-    def run(tier, vs, name, fn):
+    def run(tier, vs, name, fn, part: int = 0):
+        folder = posixpath.join(save_dir, f"vs={vs}", f"{name}-{part}") if save_dir else None
+
         def rows_of() -> list[tuple]:
+            if folder:
+                try:  # the writer's commit leaves a whole table or none
+                    return [tuple(r) for r in spark.read.schema(METRIC_SCHEMA).parquet(folder).collect()]
+                except AnalysisException:
+                    pass
             try:
-                return [(r["method"], r["vs"] if "vs" in r.asDict() else vs, r["metric"] if "metric" in r.asDict() else name,
+                rows = [(r["method"], r["vs"] if "vs" in r.asDict() else vs, r["metric"] if "metric" in r.asDict() else name,
                          None if r["value"] is None else float(r["value"]), tier, None) for r in fn().collect()]
             except Exception as exc:  # noqa: BLE001  (isolation is the point)
                 return [(None, vs, name, None, tier, f"{type(exc).__name__}: {str(exc)[:300]}")]
+            if folder:
+                spark.createDataFrame(rows, METRIC_SCHEMA).coalesce(1).write.mode("overwrite").parquet(folder)
+            return rows
         tasks.append(rows_of)
 
-    def mean_over_columns(df, col, metric):
+    def mean_over(df, col, metric):
         return df.groupBy("method").agg(F.avg(col).alias("value")).withColumn("metric", F.lit(metric))
 
-    def knn_boot(ref, kind):
-        reps = []
-        for b in range(heavy_n_bootstrap):
-            if kind == "prdc":
-                out = neighbours.knn_metrics(ref, s_norm, all_cols, cap=heavy_n_sub, k=5, seed=seed + b)
-                names = ["precision", "recall", "density", "coverage"]
-            else:
-                out = neighbours.alpha_precision(ref, s_norm, all_cols, cap=heavy_n_sub, seed=seed + b)
-                names = ["delta_precision_alpha_naive", "delta_coverage_beta_naive", "authenticity_naive"]
-                out = out.withColumnRenamed("delta_precision_alpha", names[0]) \
-                         .withColumnRenamed("delta_coverage_beta", names[1]).withColumnRenamed("authenticity", names[2])
-            for r in out.collect():
-                reps += [(r["method"], b, n, None if r[n] is None else float(r[n])) for n in names]
-        return _boot_long(spark, reps, f"stats.{kind}")
-
-    def tiers(vs: str, ref: DataFrame) -> None:
-        run("custom", vs, "custom.survival_gap", lambda: compare.metric_long(
-            survival.survival_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
+    def named(df, col, metric):
+        return df.select("method", F.lit(metric).alias("metric"), F.col(col).cast("double").alias("value"))
+
+    def tiers(vs: str, ref: DataFrame, syn: DataFrame, part: int) -> None:
+        again = lambda tier, name, fn: run(tier, vs, name, fn, part)
+        again("custom", "custom.survival_gap", lambda: compare.metric_long(
+            survival.survival_gap(ref, syn, sch, syn_keys=["method"]), ["method"],
             {"custom.optimism": "optimism", "custom.km_divergence": "km_divergence",
              "custom.short_sightedness": "short_sightedness"}))
-        run("custom", vs, "custom.censoring_rate_diff", lambda: compare.metric_long(
-            survival.event_rate_gap(ref, s_norm, sch, syn_keys=["method"]), ["method"],
+        again("custom", "custom.censoring_rate_diff", lambda: compare.metric_long(
+            survival.event_rate_gap(ref, syn, sch, syn_keys=["method"]), ["method"],
             {"custom.censoring_rate_diff": "censoring_rate_diff"}))
-        run("custom", vs, "custom.time_wass", lambda: fidelity.wasserstein_time(ref, s_norm, sch, ["method"])
-            .select("method", F.concat(F.lit("custom.time_wass_"), F.col("subset")).alias("metric"),
-                    F.col("w1").alias("value")))
+        again("custom", "custom.time_wass", lambda: fidelity.wasserstein_time(ref, syn, sch, ["method"])
+              .select("method", F.concat(F.lit("custom.time_wass_"), F.col("subset")).alias("metric"),
+                      F.col("w1").alias("value")))
         if cheap:
-            run("cheap", vs, "stats.jensenshannon_dist.marginal.mean",
-                lambda: mean_over_columns(fidelity.jensen_shannon(ref, s_norm, all_cols, ["method"]),
-                                          "js_distance", "stats.jensenshannon_dist.marginal.mean"))
+            again("cheap", "stats.jensenshannon_dist.marginal.mean",
+                  lambda: mean_over(fidelity.jensen_shannon(ref, syn, all_cols, ["method"]),
+                                    "js_distance", "stats.jensenshannon_dist.marginal.mean"))
             for model, name in (("gbt", "detection.detection_xgb.mean"), ("mlp", "detection.detection_mlp.mean")):
-                run("cheap", vs, name, lambda model=model: detection_auc(ref, s_norm, list(cols) + [sch.time], folds=3, model=model).drop("verdict"))
-            run("cheap", vs, "performance.feat_rank_distance.corr", lambda: feature_rank_distance(ref, s_norm, sch, cols))
+                again("cheap", name, lambda model=model: detection_auc(ref, syn, list(cols) + [sch.time], folds=3, model=model).drop("verdict"))
+            again("cheap", "performance.feat_rank_distance.corr", lambda: feature_rank_distance(ref, syn, sch, cols))
         if heavy:
-            run("heavy", vs, "stats.max_mean_discrepancy.linear",
-                lambda: fidelity.mmd_linear(ref, s_norm, all_cols, ["method"])
-                .select("method", F.lit("stats.max_mean_discrepancy.linear").alias("metric"),
-                        F.col("mmd_linear").alias("value")))
-            run("heavy", vs, "stats.max_mean_discrepancy.rbf",
-                lambda: fidelity.mmd_rbf(ref, s_norm, all_cols, ["method"])
-                .select("method", F.lit("stats.max_mean_discrepancy.rbf").alias("metric"),
-                        F.col("mmd_rbf").alias("value")))
-            run("heavy", vs, "stats.wasserstein_dist.columns.mean",
-                lambda: mean_over_columns(fidelity.wasserstein_columns(ref, s_norm, all_cols, ["method"]),
-                                          "w1", "stats.wasserstein_dist.columns.mean"))
-            run("heavy", vs, "stats.inv_kl_divergence.marginal.mean",
-                lambda: mean_over_columns(fidelity.inverse_kl(ref, s_norm, all_cols, ["method"]),
-                                          "inv_kl", "stats.inv_kl_divergence.marginal.mean"))
-            run("heavy", vs, "stats.prdc", lambda: knn_boot(ref, "prdc"))
-            run("heavy", vs, "stats.alpha_precision", lambda: knn_boot(ref, "alpha_precision"))
+            again("heavy", "stats.max_mean_discrepancy.linear", lambda: named(
+                fidelity.mmd_linear(ref, syn, all_cols, ["method"]), "mmd_linear", "stats.max_mean_discrepancy.linear"))
+            again("heavy", "stats.max_mean_discrepancy.rbf", lambda: named(
+                fidelity.mmd_rbf(ref, syn, all_cols, ["method"]), "mmd_rbf", "stats.max_mean_discrepancy.rbf"))
+            again("heavy", "stats.wasserstein_dist.columns.mean",
+                  lambda: mean_over(fidelity.wasserstein_columns(ref, syn, all_cols, ["method"]), "w1", "stats.wasserstein_dist.columns.mean"))
+            again("heavy", "stats.wasserstein_dist.joint",
+                  lambda: mean_over(fidelity.wasserstein_sliced(ref, syn, all_cols, ["method"]), "w1", "stats.wasserstein_dist.joint"))
+            again("heavy", "stats.inv_kl_divergence.marginal.mean",
+                  lambda: mean_over(fidelity.inverse_kl(ref, syn, all_cols, ["method"]),
+                                    "inv_kl", "stats.inv_kl_divergence.marginal.mean"))
+            again("heavy", "stats.replicates", lambda: _boot_long(
+                neighbours.replicates(ref, syn, all_cols, heavy_n_sub, heavy_n_bootstrap, 5, seed, id_col), HEAVY_NAMES))
         if priv and vs == "train":
-            both = ref.withColumn("method", F.lit("real")).unionByName(s_norm, allowMissingColumns=True)
-            run("privacy", vs, "privacy.k-anonymization",
-                lambda: privacy.k_anonymity(both, ["age", "sex", "ancestry"], ["method"])
-                .select("method", F.lit("privacy.k-anonymization").alias("metric"),
-                        F.col("k_anonymity").cast("double").alias("value")))
-            run("privacy", vs, "privacy.l-diversity",
-                lambda: privacy.l_diversity(both, ["age", "sex", "ancestry"], "cancer_type", ["method"])
-                .select("method", F.lit("privacy.l-diversity").alias("metric"),
-                        F.col("l_diversity").cast("double").alias("value")))
-            run("privacy", vs, "privacy.identifiability_score",
-                lambda: neighbours.knn_metrics(ref, s_norm, all_cols, cap=heavy_n_sub, seed=seed)
-                .select("method", F.lit("privacy.identifiability_score").alias("metric"),
-                        F.col("identifiability").alias("value")))
+            def classes():
+                both = ref.withColumn("method", F.lit("real")).unionByName(syn, allowMissingColumns=True)
+                k = privacy.k_anonymity(both, ["age", "sex", "ancestry"], ["method"])
+                d = privacy.l_diversity(both, ["age", "sex", "ancestry"], "cancer_type", ["method"])
+                return named(k, "k_anonymity", "privacy.k-anonymization").unionByName(named(d, "l_diversity", "privacy.l-diversity"))
+
+            def by_clusters():
+                both = ref.withColumn("method", F.lit("real")).unionByName(syn, allowMissingColumns=True)
+                c = cut_lineage(privacy.cluster_privacy(both, all_cols, "cancer_type", id_col=id_col))
+                return named(c, "k_anonymity", "privacy.k-anonymization.clusters").unionByName(
+                    named(c, "l_diversity", "privacy.l-diversity.clusters"))
+
+            again("privacy", "privacy.classes", classes)
+            again("privacy", "privacy.clusters", by_clusters)
+            again("privacy", "privacy.identifiability_score", lambda: named(
+                neighbours.knn_metrics(ref, syn, all_cols), "identifiability", "privacy.identifiability_score"))
+
     def performance() -> DataFrame:
         """Scores on the train table are vs train; ``custom`` names as well for ``downstream_cox``."""
-        d = downstream(real, test, s_norm, sch, cols, trees=True, brier=True, on_train=True)
+        d = cut_lineage(downstream(real, test, s_norm, sch, cols, trees=True, brier=True, on_train=True))
         d = d.withColumn("vs", F.when(F.col("metric").endswith("_id"), "train").otherwise("test"))
         bare = F.regexp_replace("metric", "_id$", "")
-        out = d.select("method", "vs", "value", F.regexp_replace(F.regexp_replace(
-            bare, r"^custom\.(cox|brier)", "performance.linear_model.$1"), r"^custom\.xgb", "performance.xgb.xgb").alias("metric"))
+        out = d.select("method", "vs", "value", F.regexp_replace(F.regexp_replace(F.regexp_replace(
+            bare, r"^custom\.brier_tstr_xgb$", "performance.xgb.brier_tstr"), r"^custom\.(cox|brier)", "performance.linear_model.$1"),
+            r"^custom\.xgb", "performance.xgb.xgb").alias("metric"))
         own = d.where("vs = 'test'").select("method", "vs", "value", "metric")
         return out.unionByName(own) if downstream_cox else out
 
-    tiers("train", real)
-    tiers("test", test)
     if cheap:
         run("cheap", "test", "performance", performance)
     elif downstream_cox:
         run("downstream", "test", "custom.cox", lambda: downstream(real, test, s_norm, sch, cols, trees=True, brier=True))
+    for vs, ref, s in (("train", real, seed), ("test", test, seed + 1)):
+        for part, (r, m) in enumerate(matched_pairs(ref, s_norm, id_col, s)):
+            tiers(vs, r, m, part)
     return spark.createDataFrame([r for rows in together(tasks) for r in rows], METRIC_SCHEMA)
+
+
+def evaluate_methods(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalSchema, cols: Sequence[str],
+                     strict: bool = False, save_dir: str | None = None, **sizes) -> DataFrame:
+    """preflight of every method, then the tiers of those that pass, as one long metric table.
+
+    A method that fails its preflight (``strict``: also one with warnings) has the row
+    ``preflight.passed`` = 0 and no metrics. ``save_dir`` as in ``run_metrics``.
+    """
+    checks = cut_lineage(compare.preflight(syn, real, sch, strict=strict).groupBy("method").agg(F.min(F.col("passed").cast("double")).alias("value")))
+    passed = [r["method"] for r in checks.where("value = 1").collect()]
+    long = checks.select("method", F.lit("train").alias("vs"), F.lit("preflight.passed").alias("metric"), "value",
+                         F.lit("preflight").alias("tier"), F.lit(None).cast("string").alias("error"))
+    if not passed:
+        return long
+    return long.unionByName(run_metrics(real, test, syn.where(F.col("method").isin(*passed)), sch, cols, downstream_cox=True, save_dir=save_dir, **sizes))

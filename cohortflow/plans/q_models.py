@@ -233,12 +233,10 @@ def q_f14(spark, sf_dir):
 
 @register("F26_evaluate_methods")
 def q_f26(spark, sf_dir):
-    """Whole evaluation, vs train and vs test, pivoted to one row per method; a failed metric shows as a row "(failed)"."""
+    """Whole evaluation, vs train and vs test, pivoted to one row per method; a method that fails its preflight has
+    that column only; a failed metric shows as a row "(failed)"."""
     real, test, syn = _tables(spark, sf_dir)
-    long = evaluate.run_metrics(real, test, syn, DEFAULT, FEATURES, downstream_cox=True)
-    checks = compare.preflight(syn, real, DEFAULT).groupBy("method").agg(F.min(F.col("passed").cast("double")).alias("value"))
-    long = long.unionByName(checks.select("method", F.lit("train").alias("vs"), F.lit("preflight.passed").alias("metric"), "value",
-                                          F.lit("preflight").alias("tier"), F.lit(None).cast("string").alias("error")))
+    long = evaluate.evaluate_methods(real, test, syn, DEFAULT, FEATURES)
     return round_floats(compare.method_comparison(long.withColumn("method", F.coalesce("method", F.lit("(failed)"))),
                                                   ["custom.optimism", "custom.km_divergence",
                                                    "custom.short_sightedness", "custom.cox_tstr"]))
