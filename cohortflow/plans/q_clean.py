@@ -11,6 +11,7 @@ from cohortflow.plans import cohort, pipeline
 from cohortflow.plans.oracle import BASE, LABELLED, PATIENTS, with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_BASE
 from cohortflow.plans.registry import register
+from cohortflow.sources import io
 from cohortflow.sources.fixture import RAW_SQL, raw_samples
 
 RAW_COLS = ["sample_id", "patient_id", "sample_type", "os_months", "os_status", "cancer_type",
@@ -32,7 +33,14 @@ def _stage(spark, sf_dir, name):
 # A1 ------------------------------------------------------------------------
 @register("A1_read_cohort", with_ctes(RAW_SQL, tail=f"SELECT {_raw_sql_cols(RAW_COLS)} FROM raw"))
 def q_a1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_floats(raw_samples(spark, sf_dir))
+    """The raw samples as a CSV file with blanks around its header names, read with a schema."""
+    from pyspark.sql import types as T
+
+    raw = raw_samples(spark, sf_dir)
+    padded = raw.toDF(*[f" {c} " for c in raw.columns])
+    path = io.write_cohort(padded, io.scratch_dir(spark, "raw"), "csv")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in padded.schema.fields])
+    return round_floats(io.read_cohort(spark, path, schema).select(*RAW_COLS))
 
 
 # B1-B4 ---------------------------------------------------------------------

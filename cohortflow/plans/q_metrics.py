@@ -215,6 +215,24 @@ def q_f3(spark, sf_dir):
     return round_floats(fidelity.wasserstein_columns(real, syn, COLS, by=["method"]))
 
 
+def _sliced_sql():
+    """Projections of min-max scaled rows on the seeded directions, as literals."""
+    mm = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in COLS)
+    scaled = [f"coalesce(CASE WHEN hi_{c} > lo_{c} THEN (CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c}) END, 0.0::DOUBLE)" for c in COLS]
+    project = ", ".join("0.0::DOUBLE + " + " + ".join(f"{x} * {w!r}::DOUBLE" for x, w in zip(scaled, d)) for d in fidelity.directions(len(COLS)))
+    return [f"mm AS (SELECT {mm} FROM ctrain)",
+            *[f"""{name} AS (SELECT {key} CAST(d - 1 AS INTEGER) AS direction, p[d] AS value
+                FROM (SELECT {key} [{project}] AS p FROM {src}, mm), range(1, 17) r(d))""" for name, src, key in (("rsl", "ctrain", ""), ("ssl", "csyn", "method,"))],
+            _w1_sql("rsl", "ssl", "direction").strip()]
+
+
+@register("F3_wasserstein_sliced", with_ctes(*CLEAN_SYN, *_sliced_sql(), tail=f"SELECT method, direction, {sql_r6('w1')} AS w1 FROM w1"))
+def q_f3_sliced(spark, sf_dir):
+    """Joint distance: W1 of all rows on 16 seeded directions."""
+    real, _, syn = _tables(spark, sf_dir)
+    return round_floats(fidelity.wasserstein_sliced(real, syn, COLS, by=["method"]))
+
+
 @register("F4_mmd_linear", with_ctes(*CLEAN_SYN, _MM.strip(), tail=f"""
 SELECT s.method, {sql_r6('sum(pow(s.m - r.m, 2))')} AS mmd_linear
 FROM (SELECT method, "column", avg(value) AS m FROM ssc GROUP BY ALL) s
@@ -249,6 +267,14 @@ def q_f12(spark, sf_dir):
     return privacy.l_diversity(both, QUASI, "cancer_type", by=["method"])
 
 
+@register("F11_F12_cluster_privacy")
+def q_f11_clusters(spark, sf_dir):
+    """Smallest cluster and least number of cancer types of a cluster, k-means with 2, 5, 10 and 15 clusters."""
+    real, _, syn = _tables(spark, sf_dir)
+    both = real.withColumn("method", F.lit("real")).unionByName(syn, allowMissingColumns=True)
+    return privacy.cluster_privacy(both, COLS, "cancer_type")
+
+
 # ------------------------------------------------------------------ F16-F20 --
 
 @register("F16_preflight", with_ctes(*CLEAN_SYN, """

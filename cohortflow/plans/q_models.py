@@ -12,6 +12,7 @@ from cohortflow.operators.hazard import DiscreteHazard
 from cohortflow.plans.oracle import gap_sql, with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
 from cohortflow.plans.q_metrics import _tables
+from cohortflow.plans.q_more import q_a5
 from cohortflow.plans.q_repair import FEATURES, NORM_SQL
 from cohortflow.plans.registry import register
 from cohortflow.schema import DEFAULT
@@ -189,6 +190,9 @@ def q_f15(spark, sf_dir):
     return round_floats(out)
 
 
+register("A5_write_metrics", with_ctes(*CLEAN_SYN, *_metrics_sql(), tail=f"SELECT method, vs, metric, {sql_r6('value', 5)} AS value FROM mlong"))(q_a5)
+
+
 @register("F24_method_comparison", with_ctes(*CLEAN_SYN, *_metrics_sql(), tail=f"""
 SELECT method,
   {sql_r6("max(CASE WHEN vs = 'test' AND metric = 'custom.optimism' THEN value END)")} AS "test__custom.optimism",

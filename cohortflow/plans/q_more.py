@@ -296,22 +296,24 @@ def q_a7(spark, sf_dir):
 
 
 def q_a3(spark, sf_dir):
-    """B20 metadata written as a JSON sidecar and read back with its schema."""
+    """B20 metadata written as a JSON sidecar next to the train table and found from the table's path."""
     from cohortflow.plans.q_clean import q_b20
 
-    meta = q_b20(spark, sf_dir)
-    path = io.scratch_dir(spark, "metadata")
-    io.write_metadata(meta, path, "time", "status", pipeline.clean_cohort(spark, sf_dir).params["integer_columns"])
-    back = io.read_metadata(spark, path)
-    return back.select("column", "dtype", "lo", "hi")
+    real, _, _ = _tables(spark, sf_dir)
+    folder = io.scratch_dir(spark, "metadata")
+    train = io.write_cohort(real, f"{folder}/train.parquet")
+    io.write_metadata(q_b20(spark, sf_dir), f"{folder}/train_metadata.json", "time", "status",
+                      pipeline.clean_cohort(spark, sf_dir).params["integer_columns"])
+    return io.find_metadata(spark, train).select("column", "dtype", "lo", "hi")
 
 
 def q_a4(spark, sf_dir):
-    """Methods written one folder per method and read back with the method column."""
+    """One ``<method>.csv`` a method in a flat folder, read back with the method from the stem."""
     _, _, syn = _tables(spark, sf_dir)
     path = io.scratch_dir(spark, "methods")
-    io.write_cohort(syn.select("method", "patient_id", "status", "time"), path, "csv", partition_by=["method"])
-    back = io.read_methods(spark, path, "csv", schema="patient_id bigint, status int, time double, method string")
+    for m in sorted(r["method"] for r in syn.select("method").distinct().collect()):
+        io.write_cohort(syn.where(F.col("method") == m).select("patient_id", "status", "time"), f"{path}/{m}.csv", "csv")
+    back = io.read_methods(spark, path, "csv", schema="patient_id bigint, status int, time double")
     return round_floats(back.select("method", "patient_id", "status", "time"))
 
 
@@ -322,7 +324,9 @@ register("A4_read_methods", with_ctes(*CLEAN_SYN, tail=f"""
 SELECT method, patient_id, status, {sql_r6('time')} AS time FROM csyn"""))(q_a4)
 
 
-@register("A2_write_cohort")
+@register("A2_write_cohort", with_ctes(*CLEAN_SYN, tail=f"""
+SELECT patient_id, CAST(status AS INTEGER) AS status, {sql_r6('time')} AS time, 'train' AS split FROM ctrain
+UNION ALL SELECT patient_id, CAST(status AS INTEGER), {sql_r6('time')}, 'test' FROM ctest"""))
 def q_a2(spark, sf_dir):
     """Clean train and test written as Parquet (and the test split as CSV) and read back."""
     from cohortflow.plans.q_repair import FEATURES as _F
@@ -339,7 +343,6 @@ def q_a2(spark, sf_dir):
     return round_floats(a.unionByName(b))
 
 
-@register("A5_write_metrics")
 def q_a5(spark, sf_dir):
     """The long metric table appended under (method, vs) partitions and read back."""
     from cohortflow.operators import evaluate
@@ -348,7 +351,8 @@ def q_a5(spark, sf_dir):
     m = evaluate.cheap_metrics(real, test, syn, DEFAULT)
     path = io.scratch_dir(spark, "metrics")
     io.write_metrics(m, path)
-    return spark.read.parquet(path).select("method", "vs", "metric", "value")
+    back = spark.read.parquet(path).select("method", "vs", "metric", "value")
+    return round_floats(back, 5)
 
 
 @register("A6_save_load_fitted")
@@ -396,13 +400,11 @@ def q_c4(spark, sf_dir):
 # ------------------------------------------------------------------ k-NN ----
 
 _KNN_COLS = FEATURES + ["time", "status"]
-_CAP = 2000
 
 
 def _knn_sql():
-    from cohortflow.plans.q_repair import FEATURES as _F
-
-    cols = _F + ["time", "status"]
+    """Distances of all rows; a row keeps its five least ones, no pair is stored."""
+    cols = _KNN_COLS
     mm = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in cols)
 
     def sc(c):
@@ -410,49 +412,32 @@ def _knn_sql():
 
     d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
     return [f"mm AS (SELECT {mm} FROM ctrain)",
-            f"""rcap AS (SELECT *, row_number() OVER (ORDER BY {u_sql('patient_id', 42)}, patient_id) AS i FROM ctrain
-                QUALIFY i <= {_CAP})""",
-            f"""scap AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY {u_sql("method || ':' || CAST(patient_id AS VARCHAR)", 42)},
-                   method || ':' || CAST(patient_id AS VARCHAR)) AS j FROM csyn QUALIFY j <= {_CAP})""",
-            f"rs AS (SELECT i, {', '.join(sc(c) for c in cols)} FROM rcap, mm)",
-            f"ss AS (SELECT method, j, {', '.join(sc(c) for c in cols)} FROM scap, mm)",
-            f"rr AS (SELECT a.i, b.i AS i2, {d2} AS d2 FROM rs a JOIN rs b ON a.i <> b.i)",
-            """rrad AS (SELECT i, max(CASE WHEN rn = 5 THEN d2 END) AS rad, max(CASE WHEN rn = 1 THEN d2 END) AS nn1
-                FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2) AS rn FROM rr) GROUP BY i)""",
-            f"sspair AS (SELECT a.method, a.j, b.j AS j2, {d2} AS d2 FROM ss a JOIN ss b ON a.method = b.method AND a.j <> b.j)",
-            """srad AS (SELECT method, j, max(CASE WHEN rn = 5 THEN d2 END) AS rad
-                FROM (SELECT *, row_number() OVER (PARTITION BY method, j ORDER BY d2) AS rn FROM sspair) GROUP BY ALL)""",
-            f"rsd AS (SELECT b.method, a.i, b.j, {d2} AS d2 FROM rs a JOIN ss b ON true)",
+            f"rs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY patient_id) AS i, {', '.join(sc(c) for c in cols)} FROM ctrain, mm)",
+            f"ss AS MATERIALIZED (SELECT method, row_number() OVER (ORDER BY method, patient_id) AS j, {', '.join(sc(c) for c in cols)} FROM csyn, mm)",
+            f"""rrad AS MATERIALIZED (SELECT i, l[5] AS rad, l[1] AS nn1 FROM (
+                SELECT a.i, min({d2}, 5) AS l FROM rs a JOIN rs b ON a.i <> b.i GROUP BY a.i))""",
+            f"""srad AS MATERIALIZED (SELECT method, j, l[5] AS rad FROM (
+                SELECT a.method, a.j, min({d2}, 5) AS l FROM ss a JOIN ss b ON a.method = b.method AND a.j <> b.j GROUP BY ALL))""",
+            "rr AS MATERIALIZED (SELECT rs.*, rad, nn1 FROM rs JOIN rrad USING (i))",
+            "sr AS MATERIALIZED (SELECT ss.*, rad FROM ss JOIN srad USING (method, j))",
+            f"""of_syn AS (SELECT b.method, b.j, bool_or({d2} <= a.rad) AS hit FROM rr a JOIN sr b ON true GROUP BY ALL)""",
+            f"""of_real AS (SELECT b.method, a.i, any_value(a.rad) AS rad, any_value(a.nn1) AS nn1, min({d2}) AS mind,
+                   bool_or({d2} <= b.rad) AS rec, count_if({d2} <= a.rad) AS n_in FROM rr a JOIN sr b ON true GROUP BY ALL)""",
             ]
 
 
 _KNN_TAIL = f"""
-SELECT p.method,
-  {sql_r6('avg(CASE WHEN p.hit THEN 1.0 ELSE 0.0 END)')} AS precision,
-  {sql_r6('any_value(q.recall)')} AS recall,
-  {sql_r6('any_value(q.density)')} AS density,
-  {sql_r6('any_value(q.coverage)')} AS coverage,
-  {sql_r6('any_value(q.identifiability)')} AS identifiability
-FROM (SELECT x.method, x.j, bool_or(x.d2 <= r.rad) AS hit FROM rsd x JOIN rrad r USING (i) GROUP BY ALL) p
-JOIN (
-  SELECT x.method,
-    avg(CASE WHEN x.rec THEN 1.0 ELSE 0.0 END) AS recall,
-    sum(x.n_in) / (5.0 * any_value(m.m)) AS density,
-    avg(CASE WHEN x.mind <= r.rad THEN 1.0 ELSE 0.0 END) AS coverage,
-    avg(CASE WHEN x.mind < r.nn1 THEN 1.0 ELSE 0.0 END) AS identifiability
-  FROM (SELECT y.method, y.i, min(y.d2) AS mind, bool_or(y.d2 <= sr.rad) AS rec,
-               count_if(y.d2 <= rr2.rad) AS n_in
-        FROM rsd y JOIN srad sr ON sr.method = y.method AND sr.j = y.j JOIN rrad rr2 ON rr2.i = y.i GROUP BY ALL) x
-  JOIN rrad r USING (i) JOIN (SELECT method, count(*) AS m FROM ss GROUP BY method) m USING (method)
-  GROUP BY x.method) q USING (method)
-GROUP BY p.method"""
+SELECT p.method, {sql_r6('p.precision')} AS precision, {sql_r6('q.recall')} AS recall, {sql_r6('q.n_in / (5.0 * p.m)')} AS density,
+  {sql_r6('q.coverage')} AS coverage, {sql_r6('q.identifiability')} AS identifiability
+FROM (SELECT method, count(*) AS m, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS precision FROM of_syn GROUP BY method) p
+JOIN (SELECT method, avg(CASE WHEN rec THEN 1.0 ELSE 0.0 END) AS recall, sum(n_in) AS n_in, avg(CASE WHEN mind <= rad THEN 1.0 ELSE 0.0 END) AS coverage,
+             avg(CASE WHEN mind < nn1 THEN 1.0 ELSE 0.0 END) AS identifiability FROM of_real GROUP BY method) q USING (method)"""
 
 
 @register("F5_F13_prdc_identifiability", with_ctes(*CLEAN_SYN, *_knn_sql(), tail=_KNN_TAIL))
 def q_f5(spark, sf_dir):
     """k-NN precision / recall / density / coverage (k = 5) and identifiability of
-    all rows, min-max scaled by the real range. The oracle is cut to 2 000 rows a
-    side, so it holds only for tables that are not larger."""
+    all rows, min-max scaled by the real range."""
     from cohortflow.operators import neighbours
 
     real, _, syn = _tables(spark, sf_dir)

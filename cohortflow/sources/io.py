@@ -75,25 +75,48 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).json(path)
 
 
+def find_metadata(spark: SparkSession, input_path: str) -> DataFrame | None:
+    """A3 discovery: the sidecar next to an input, ``<stem>_metadata.json`` first, then
+    ``column_metadata.json`` in the same folder; None if there is neither."""
+    from pyspark.errors import AnalysisException
+
+    folder, name = posixpath.split(input_path.rstrip("/"))
+    for side in (f"{name.rsplit('.', 1)[0]}_metadata.json", "column_metadata.json"):
+        try:
+            return read_metadata(spark, posixpath.join(folder, side))
+        except AnalysisException:
+            continue
+    return None
+
+
 def read_methods(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None,
                  method: str = "method") -> DataFrame:
     """A4: every synthetic table in a folder, one ``method`` per file.
 
-    A partitioned folder (``method=<name>/``) yields the column by partition
-    discovery; a flat folder of ``<name>.csv`` files takes the file stem
-    from ``_metadata.file_name``.
+    A folder partitioned by method (``method=<name>/``) yields the column by partition
+    discovery; else every entry of the folder is a method, a file ``<name>.csv`` or a
+    folder of that name with part files, and its stem is the method's name.
     """
+    import re
+
     r = spark.read
     if fmt == "csv":
         r = r.option("header", True)
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(path)
-    else:
-        df = r.parquet(path)
-    if method in df.columns:
-        return df
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return df.withColumn(method, stem)
+    load = r.csv if fmt == "csv" else r.parquet
+    if _partitioned(spark, path, method):
+        return load(path)
+    df = load(posixpath.join(path, "*"))
+    inside = F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(posixpath.basename(path.rstrip('/')))}/([^/]+)", 1)
+    return df.withColumn(method, F.url_decode(F.regexp_replace(inside, r"\.[A-Za-z0-9]+$", "")))
+
+
+def _partitioned(spark: SparkSession, path: str, method: str) -> bool:
+    """Whether the folder has a ``method=<name>`` entry (one listing, by the path's own file system)."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(jvm.org.apache.hadoop.fs.Path(at, f"{method}=*"))
+    return found is not None and len(found) > 0
 
 
 def align_columns(real: DataFrame, syn: DataFrame, keep: Sequence[str] = ()
