@@ -68,43 +68,25 @@ def init_modes(train: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
 
 def fit_modes(train: DataFrame, cols: Sequence[str], k: int = 10, max_iter: int = 100,
               seed: int = 0) -> DataFrame:
-    """D2 fit: a Gaussian mixture per column with MLlib's EM.
+    """D2 fit: a variational Bayesian mixture per column (``mixture.fit``), all columns in
+    one aggregation an iteration.
 
-    The reference uses a Bayesian mixture with a small Dirichlet prior, which
-    switches off unneeded components; here components with weight below 1e-3
-    are pruned after EM, with the same effect. One distributed EM job set per
-    column (a handful of columns); only k (weight, mu, sigma) triples per
-    column reach the driver.
+    The small concentration of the weights switches off unneeded components; those of
+    weight under ``WEIGHT_FLOOR`` are dropped and the rest numbered from 0. Only k (weight,
+    mu, sigma) triples per column reach the driver. ``seed`` is not used: the fit starts
+    at quantiles and is deterministic.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+    from cohortflow.operators import mixture
 
-    spark = train.sparkSession
-    rows = []
+    found = mixture.fit(train, cols, k, max_iter)
+    out = []
     for c in cols:
-        x = train.select(nan_to_null(F.col(c).cast("double")).alias(c)).where(F.col(c).isNotNull())
-        nd = x.agg(F.count_distinct(c)).first()[0]
-        kk = max(1, min(k, int(nd)))
-        if kk == 1:
-            m = x.agg(F.avg(c), F.stddev_pop(c)).first()
-            rows.append((c, 0, 1.0, float(m[0]), max(float(m[1] or 0.0), SIGMA_FLOOR)))
+        if c not in found:
             continue
-        vec = VectorAssembler(inputCols=[c], outputCol="features").transform(x)
-        model = GaussianMixture(k=kk, maxIter=max_iter, seed=seed, tol=1e-4).fit(vec)
-        g = model.gaussians
-        for j, w in enumerate(model.weights):
-            if w < WEIGHT_FLOOR:
-                continue
-            mu = float(g[j].mean[0])
-            sd = math.sqrt(max(float(g[j].cov.toArray()[0][0]), 0.0))
-            rows.append((c, j, float(w), mu, max(sd, SIGMA_FLOOR)))
-    # renumber kept components 0..k'-1 per column
-    out, seen = [], {}
-    for c, _, w, mu, sd in rows:
-        i = seen.get(c, 0)
-        seen[c] = i + 1
-        out.append((c, i, w, mu, sd))
-    return spark.createDataFrame(out, "column string, comp int, weight double, mu double, sigma double")
+        p = found[c]
+        kept = [(w, m, max(math.sqrt(v), SIGMA_FLOOR)) for w, m, v in zip(p.weights(), p.m, p.var) if w >= WEIGHT_FLOOR]
+        out += [(c, j, float(w), float(m), float(s)) for j, (w, m, s) in enumerate(kept)]
+    return train.sparkSession.createDataFrame(out, "column string, comp int, weight double, mu double, sigma double")
 
 
 def _params(params: DataFrame) -> dict[str, list[tuple[int, float, float, float]]]:

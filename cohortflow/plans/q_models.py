@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions import hashing
 from cohortflow.functions.exprs import round_floats, sql_r6
-from cohortflow.operators import compare, evaluate, models, survival, synth
+from cohortflow.operators import boosting, compare, evaluate, models, saved, survival, synth
 from cohortflow.operators.hazard import DiscreteHazard
 from cohortflow.plans.oracle import gap_sql, with_ctes
 from cohortflow.plans.oracle_clean import CLEAN_SYN
@@ -16,6 +16,7 @@ from cohortflow.plans.q_more import q_a5
 from cohortflow.plans.q_repair import FEATURES, NORM_SQL
 from cohortflow.plans.registry import register
 from cohortflow.schema import DEFAULT
+from cohortflow.sources import io
 
 
 def _cox(spark, sf_dir):
@@ -124,13 +125,33 @@ def q_f21(spark, sf_dir):
 
 @register("G1_synthesizer")
 def q_g1(spark, sf_dir):
-    """Copula synthesizer fitted on the real train split; as many rows, seed 42."""
+    """Conditional chain fitted on the real train split (copula covariates, E16 status, E13 time); as many rows, seed 42."""
     real, _, _ = _tables(spark, sf_dir)
     n = real.count()
-    g = synth.Synthesizer(DEFAULT, seed=42).fit(real, FEATURES + ["time", "status"], row_id="patient_id")
+    g = synth.ConditionalSynthesizer(DEFAULT, seed=42).fit(real, FEATURES, row_id="patient_id")
     return round_floats(g.generate(spark, n, seed=42))
 
 
+@register("A6_save_load_models")
+def q_a6_models(spark, sf_dir):
+    """Cox, hazard and status models saved and loaded; their scores of the real test split, and whether they equal those before saving."""
+    real, test, _ = _tables(spark, sf_dir)
+    fitted = {"cox": _cox(spark, sf_dir), "hazard": DiscreteHazard(100).fit(real, DEFAULT, FEATURES),
+              "status": models.fit_censoring(real, DEFAULT, FEATURES)}
+    path = io.scratch_dir(spark, "models")
+    saved.save_models(spark, fitted, path)
+
+    def scored(m: dict):
+        rows = m["hazard"].survival(m["cox"].score(test.select("patient_id", *FEATURES), "cox"), "surv")
+        rows = boosting.predict(rows, m["status"], FEATURES, F.lit("all"), "p_event", loss="logistic")
+        return rows.select("patient_id", "cox", F.element_at("surv", 50).alias("s50"), "p_event")
+
+    after = scored(saved.load_models(spark, path))
+    before = scored(fitted).toDF("patient_id", "b1", "b2", "b3")
+    return after.join(before, "patient_id").select("patient_id", "cox", "s50", "p_event", (
+        (F.col("cox") == F.col("b1")) & (F.col("s50") == F.col("b2")) & (F.col("p_event") == F.col("b3"))).alias("equal"))
+
+
 _G3_SQL = with_ctes(*CLEAN_SYN, tail=f"""
 SELECT patient_id,
   {sql_r6("sqrt(-2.0 * ln((('0x' || substr(md5(CAST(patient_id AS VARCHAR) || '|z:a|7'), 1, 8))::BIGINT + 0.5) / 4294967296.0))"

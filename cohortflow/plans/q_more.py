@@ -261,14 +261,14 @@ def q_d7(spark, sf_dir):
 
 
 def q_d2_fit(spark, sf_dir):
-    """EM mixture per continuous column (MLlib); rows-only (iterative fit)."""
+    """Variational mixture of all seven continuous columns; rows-only (iterative fit)."""
     real, _, _ = _tables(spark, sf_dir)
     return round_floats(encode.fit_modes(real, _CONT, k=10))
 
 
 def q_d5(spark, sf_dir):
     """Tabular encode -> decode round trip of the clean test split (rows-only:
-    the modes come from EM)."""
+    the modes come from an iterative fit)."""
     real, test, _ = _tables(spark, sf_dir)
     cols = FEATURES + ["time", "status"]
     enc = encode.TabularEncoder(k=10, limit=10).fit(real, cols)
