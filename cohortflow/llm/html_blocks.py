@@ -11,7 +11,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
     "tfoot th thead tr ul".split())
-HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object canvas title textarea select audio video".split())
+HIDDEN_TAGS = frozenset("script style noscript template svg iframe object canvas title textarea select audio video".split())
+#: Those whose text goes to the end of the page if they are not closed; the others are then passed over.
+RAW_TAGS = frozenset("script style textarea title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends open elements of the second, up to one of the third.
 CLOSED_BY = {
@@ -93,7 +95,7 @@ def blocks(page: str | None) -> list[Block]:
             texts.append(" ")
             if not m["attrs"].endswith("/"):
                 ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = ending.end() if ending else len(page)
+                at = ending.end() if ending else len(page) if tag in RAW_TAGS else at
         elif tag == "br":
             texts.append(" ")
         elif tag == "a":

@@ -10,7 +10,10 @@ bounded sample for fitting, all else covers every page). Their blocks are
 labelled by explicit page markup (article or main, and not inside menus, forms,
 comments and the like), and each page is also rebuilt with other containers:
 main text and page furniture in varied wrappers and places, whose labels are
-known. So the labels do not hang on one template's tags.
+known. So the labels do not hang on one template's tags. Pages are read whole. If no
+sampled page has explicit markup, long texts outside links stand for main text;
+without any block in the sample the parameters stay those of the start. A block
+of probability PROBABLE exactly is main text.
 
 Null or empty pages and pages without visible text give the empty text. Repeated
 rows are extracted each. Without any page the result is empty. Extra columns are
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from cohortflow.llm.common import slices
 from cohortflow.llm.html_blocks import Block, blocks
 
-FIT_PAGES, FIT_BLOCKS = 240, 80
+FIT_PAGES = 240
+#: Blocks of a training batch, padded; a longer page is a batch of its own, whole.
+BATCH_BLOCKS = 2400
 STEPS, BATCH, HIDDEN = 500, 24, 20
 PATH_DIMS, WORD_DIMS, SIZES = 160, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + SIZES
@@ -179,7 +184,9 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed: in
     by_size = sorted(range(len(pages)), key=lambda k: len(pages[k][0]))
     for step in range(1, steps + 1):
         at = rng.integers(0, max(1, len(pages) - BATCH + 1))
-        batch = [pages[k] for k in by_size[at : at + BATCH]]  # pages of like length
+        batch = [pages[k] for k in by_size[at : at + BATCH]]  # whole pages of like length
+        while len(batch) > 1 and len(batch) * len(batch[-1][0]) > BATCH_BLOCKS:
+            batch = batch[-(len(batch) // 2) :]
         x, mask = _padded([v for v, _ in batch])
         y = np.zeros(mask.shape)
         for k, (_, labels) in enumerate(batch):
@@ -237,21 +244,27 @@ def _built(rng, main: list[str], around: list[str]) -> list[tuple[Block, int]]:
     return out + (furniture(inside, 1) if rng.random() < 0.4 else []) + furniture(root, 4)
 
 
+def long_text(block: Block) -> bool:
+    """Where no sampled page marks its main text: sentences outside links."""
+    return len(block.text) >= 80 and 2 * block.linked < len(block.text)
+
+
 def training_pages(sample: list[str], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """(vectors, labels) of the sampled pages and of each rebuilt in two other ways."""
     rng, out = np.random.default_rng(seed), []
-    parsed = [blocks(p)[:FIT_BLOCKS] for p in sample]
-    others = [b.text for page in parsed for b in page if not explicit_label(b)]
+    parsed = [blocks(p) for p in sample]
+    label = explicit_label if any(explicit_label(b) for page in parsed for b in page) else long_text
+    others = [b.text for page in parsed for b in page if not label(b)]
     for page in parsed:
         if not page:
             continue
-        labels = np.array([explicit_label(b) for b in page], float)
+        labels = np.array([label(b) for b in page], float)
         if labels.any():
             out.append((block_vectors(page), labels))
         main = [b.text for b, y in zip(page, labels) if y] if labels.any() else []
         for _ in range(2 if main else 0):
             around = [others[k] for k in rng.integers(0, len(others), 20)] if others else []
-            built = _built(rng, main[: int(rng.integers(1, len(main) + 1))], around)[:FIT_BLOCKS]
+            built = _built(rng, main[: int(rng.integers(1, len(main) + 1))], around)
             out.append((block_vectors([b for b, _ in built]), np.array([y for _, y in built], float)))
     return out
 

@@ -18,7 +18,6 @@ piece at a time. Repeated rows are predicted each. Extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,11 @@ BITS = 13  # hashed n-grams: 2 ** BITS counters
 UNITS = 1_000_000  # a document's weight, in whole units so that sums are exact
 AMBIGUOUS = 0.05
 PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A letter in the sense of Unicode; numbers such as ½ or ² are none."""
+    return any(map(str.isalpha, text))
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -83,7 +86,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is ambiguous."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return "und", 0.0, True
         counts = gram_counts(text)
         margin = (counts / counts.sum() @ self.weight - self.middle) / self.half
@@ -105,7 +108,7 @@ def gram_table(docs: DataFrame, learn: Column) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if _LETTER.search(text):
+                    if has_letter(text):
                         c = gram_counts(text)
                         c = c * UNITS // c.sum()
                         total[lang] = total[lang] + c if lang in total else c

@@ -15,7 +15,8 @@ Equal vectors are one entry with the k + 1 smallest ids, which is all that a
 result can show, so copies cost nothing. Vectors that are null or hold null or
 non-finite components, and rows of null id, take no part; repeated rows count
 once, a query never meets its own id. Shorter vectors count as padded with
-zeros. An empty table gives no rows. Extra columns are not read.
+zeros. An empty table gives no rows. Extra columns are not read. Scores are 64-bit
+integers: a vector whose squared norm in whole units passes 2^62 raises an error.
 """
 
 from __future__ import annotations
@@ -52,8 +53,11 @@ def integer_vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
                     continue
                 x = x.values.to_numpy(zero_copy_only=False).astype(float)
                 if np.isfinite(x).all():
+                    units = np.floor(x * scale)
+                    if float(units @ units) > 2.0**62:  # so that no inner product can pass 64 bits
+                        raise ValueError(f"vector {i} is too large for exact 64-bit scores")
                     ids.append(i)
-                    out.append(np.floor(x * scale).astype("<i8"))
+                    out.append(units.astype("<i8"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in out], pa.binary()),
                  pa.array([float(v @ v) for v in out], pa.float64()), pa.array([len(v) for v in out], pa.int32())],

@@ -13,7 +13,8 @@ the written feature table, so every row counts and only sums (a few thousand
 numbers) reach the driver.
 
 Null and empty texts have the features of an empty text and are scored like any
-other. Null ids match no label; of repeated labels of an id the largest counts.
+other; very long texts are read whole, one at a time, by the same features. Equal
+texts have equal scores. Null ids match no label; of repeated labels of an id the largest counts.
 Without positives or without documents the score is 0.5. Repeated rows are
 scored each. Extra columns are not read.
 """
@@ -21,6 +22,7 @@ scored each. Extra columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,6 @@ from cohortflow.llm.common import checkpoint, slices
 STEPS = 15
 #: Ridge penalty of a standardised weight: RIDGE + RIDGE_ROWS / positives.
 RIDGE, RIDGE_ROWS = 1e-3, 10.0
-#: Words whose repetition is counted together: memory of a very long text stays bounded.
-WORDS_AT_ONCE = 1 << 18
 
 _UPPER, _LOWER, _DIGIT, _SPACE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[0x41:0x5B], _LOWER[0x61:0x7B], _DIGIT[0x30:0x3A] = True, True, True
@@ -50,11 +50,7 @@ def text_features(text: str | None) -> np.ndarray:
               hist[_SYMBOLS].sum(), *hist[_SYMBOLS]]
     words = data.split()
     m = max(1, len(words))
-    distinct = repeats = 0
-    for at in range(0, len(words), WORDS_AT_ONCE):
-        part = words[at : at + WORDS_AT_ONCE]
-        distinct += len(set(part))
-        repeats += sum(map(bytes.__eq__, part, part[1:]))
+    distinct, repeats = len(set(words)), sum(map(bytes.__eq__, words, islice(words, 1, None)))
     lines = data.split(b"\n")
     size = [np.log1p(len(data)) / 10, np.log1p(m) / 10, np.log1p(len(lines)) / 10]
     shape = [min(1.0, n / m / 20), distinct / m, repeats / m, len(set(lines)) / len(lines), hist.max()]
