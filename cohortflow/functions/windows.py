@@ -90,6 +90,12 @@ def _slice_expr(df: DataFrame, key: Column, slices: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
+def slice_count(df: DataFrame) -> int:
+    """Slices that the rows of ``df`` (written, as they are counted) need."""
+    partitions = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(1, min(partitions, -(-df.count() // SLICE_ROWS)))
+
+
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                cols: Sequence[str], descending: bool = False,
                inclusive: bool = True, out_prefix: str = "cum_",
@@ -98,14 +104,15 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
     ``inclusive=False`` gives the sum over strictly earlier rows. ``next_col``
     also adds the next row's first order key (a lead that crosses slices).
-    Null group values form groups of their own.
+    Null group values form groups of their own. ``slices``: the ``slice_count`` of
+    the rows where a caller has it, as for several running sums of one table.
     """
     by, order, cols = list(by), list(order), list(cols)
-    spark = df.sparkSession
-    df = cut_lineage(df)
     if slices is None:
-        partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        slices = min(partitions, -(-df.count() // SLICE_ROWS))
+        df = cut_lineage(df)
+        slices = slice_count(df)
+    elif slices > 1:
+        df = cut_lineage(df)
     if slices <= 1:
         return window_prefix_sum(df, by, order, cols, descending, inclusive, out_prefix, next_col)
 

@@ -67,10 +67,9 @@ def stratified_split(df: DataFrame, by: Sequence[str], id_col: str, frac: float
 
 
 def cap_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, the n smallest hash(id, seed) (TakeOrdered: each
-    task keeps its n best, the driver merges k*n). ``n`` is the feature."""
-    return (df.withColumn("_u", split_key(id_col, seed))
-            .orderBy("_u", id_col).limit(n).drop("_u"))
+    """At most ``n`` rows, the n smallest hash(id, seed), by a distributed rank: the
+    kept rows stay spread over the cluster. ``n`` is the feature."""
+    return hash_ranked(df, id_col, seed).where(F.col("_rank") <= n).drop("_rank")
 
 
 def hash_ranked(df: DataFrame, id_col: str, seed: int, by: Sequence[str] = ()) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.exprs import join_null_safe
-from cohortflow.functions.windows import prefix_sum
+from cohortflow.functions.windows import prefix_sum, slice_count
 from cohortflow.schema import DEFAULT, SurvivalSchema
+from cohortflow.session import cut_lineage
 
 
 def whole_table_key(col: str) -> Column:
@@ -39,14 +40,15 @@ def kaplan_meier(df: DataFrame, sch: SurvivalSchema = DEFAULT, by: Sequence[str]
     the event (d = n). Times with only censoring keep S unchanged.
     """
     by = list(by)
-    ev = event_table(df, sch, by)
-    ev = prefix_sum(ev, by, [sch.time], ["c"], descending=True, out_prefix="_risk_")
+    ev = cut_lineage(event_table(df, sch, by))
+    slices = slice_count(ev)
+    ev = prefix_sum(ev, by, [sch.time], ["c"], descending=True, out_prefix="_risk_", slices=slices)
     ev = ev.withColumnRenamed("_risk_c", "n_at_risk")
     n = F.col("n_at_risk").cast("double")
     d = F.col("d").cast("double")
     ev = ev.withColumn("_lf", F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0))) \
            .withColumn("_z", F.when((d >= n) & (d > 0), F.lit(1)).otherwise(F.lit(0)))
-    ev = prefix_sum(ev, by, [sch.time], ["_lf", "_z"], out_prefix="_cum")
+    ev = prefix_sum(ev, by, [sch.time], ["_lf", "_z"], out_prefix="_cum", slices=slices)
     s = F.when(F.col("_cum_z") > 0, F.lit(0.0)).otherwise(F.exp(F.col("_cum_lf")))
     return ev.select(*by, sch.time, F.col("n_at_risk").cast("bigint").alias("n_at_risk"),
                      F.col("d").cast("bigint").alias("d"), F.col("c").cast("bigint").alias("c"),
