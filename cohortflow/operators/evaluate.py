@@ -453,7 +453,7 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
             again("privacy", "privacy.classes", classes)
             again("privacy", "privacy.clusters", by_clusters)
             again("privacy", "privacy.identifiability_score", lambda: named(
-                neighbours.knn_metrics(ref, syn, all_cols), "identifiability", "privacy.identifiability_score"))
+                neighbours.identifiability(ref, syn, all_cols), "identifiability", "privacy.identifiability_score"))
 
     def performance() -> DataFrame:
         """Scores on the train table are vs train; ``custom`` names as well for ``downstream_cox``."""

@@ -118,7 +118,7 @@ def q_f9(spark, sf_dir):
 
 @register("F21_projection_2d")
 def q_f21(spark, sf_dir):
-    """Standardise + PCA(2) of up to 2 500 rows a side (real and each method)."""
+    """Standardise + PCA(2) of all rows, real and each method."""
     real, _, syn = _tables(spark, sf_dir)
     return round_floats(evaluate.projection_2d(real, syn, FEATURES))
 

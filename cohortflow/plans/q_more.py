@@ -457,7 +457,10 @@ def q_f6(spark, sf_dir):
 SELECT method, identifiability FROM ({_KNN_TAIL})"""))
 def q_f13(spark, sf_dir):
     """Share of real rows whose nearest synthetic row is nearer than their nearest other real row."""
-    return q_f5(spark, sf_dir).select("method", "identifiability")
+    from cohortflow.operators import neighbours
+
+    real, _, syn = _tables(spark, sf_dir)
+    return round_floats(neighbours.identifiability(real, syn, _KNN_COLS))
 
 
 _B23_TEXT = ["cancer_type", "subgroup", "sex", "ancestry", "msi_type"]
