@@ -473,7 +473,7 @@ def run_metrics(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalS
     for vs, ref, s in (("train", real, seed), ("test", test, seed + 1)):
         for part, (r, m) in enumerate(matched_pairs(ref, s_norm, id_col, s)):
             tiers(vs, r, m, part)
-    return spark.createDataFrame([r for rows in together(tasks) for r in rows], METRIC_SCHEMA)
+    return spark.createDataFrame([r for rows in together(tasks, threads=12) for r in rows], METRIC_SCHEMA)
 
 
 def evaluate_methods(real: DataFrame, test: DataFrame, syn: DataFrame, sch: SurvivalSchema, cols: Sequence[str],
