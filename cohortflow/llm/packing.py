@@ -4,10 +4,11 @@ Documents are tokenised once; the pieces (no text) are written and counted by
 length. Only that histogram (2048 counts at most) reaches the driver. The
 covering program  min sum x_c  with  sum_c a_cl x_c >= n_l  over all multisets
 c of lengths that fit a sequence is solved by multiplicative weights: weights
-y_l fall as length l gets covered, and the next configuration is the best
-knapsack under these weights (dynamic program over 0..capacity). The fractional
-solution is rounded down and the rest is packed best-fit decreasing, on counts.
-The plan is a list of groups of sequences with equal contents; its size depends
+y_l fall as length l gets covered, and the next configurations are the best
+knapsacks under these weights (dynamic program over 0..capacity), until every length
+is covered. The fractional solution is rounded and the program solved again for
+what the rounding leaves; the last pieces, one in 20 at most, fill the room left, best
+fit first. The plan is a list of groups of sequences with equal contents; its size depends
 on the capacity alone. Each piece finds its place from its rank among the
 pieces of its length.
 
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from cohortflow.llm.common import checkpoint, shuffle_partitions, slices
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights.
-ROUNDS = 400
+#: Rate at which weights fall, and the share of the best price that a step may lack.
+ETA, NEAR = 0.3, 0.005
+#: One piece in so many at most is left to best-fit decreasing.
+SHARE = 20
 #: Words whose ids a task keeps; a cache only, what is not in it is encoded again.
 CACHE_WORDS = 250_000
 #: Texts that are looked up together.
@@ -45,6 +48,9 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
 _ALPHABET = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)} | {0x20: 0x20}
 
+#: (contents [(length, copies)], sequences with these contents).
+Groups = list[tuple[list[tuple[int, int]], int]]
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -166,61 +172,104 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 # --- the plan ---------------------------------------------------------------
 
 
-def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for every capacity 0..capacity, and the index of the last length taken (-1: none)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        fit = np.searchsorted(lengths, c, side="right")
-        got = best[c - lengths[:fit]] + value[:fit]
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best value for every capacity 0..capacity, and the length taken last (0: none);
+    ``value`` by length, -inf where there is none."""
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    value = value[1:]
+    for c in range(1, capacity + 1):
+        got = best[c - 1 :: -1] + value[:c]
         k = int(got.argmax())
         if got[k] > best[c - 1]:
-            best[c], last[c] = got[k], k
+            best[c], last[c] = got[k], k + 1
         else:
             best[c] = best[c - 1]
     return best, last
 
 
-def trace(lengths: np.ndarray, last: np.ndarray, best: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration (index of a length: copies) behind best[capacity]."""
+def trace(last: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration (length: copies) behind the best value for ``capacity``."""
     out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-            continue
-        out[int(last[c])] += 1
-        c -= int(lengths[last[c]])
-    return dict(out)
-
-
-def solve(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, eta: float = 1.0) -> tuple[dict[tuple, float], float]:
-    """Fractional solution {configuration: sequences} that covers no length beyond
-    its count, and a lower bound of the program (its best dual value)."""
-    lengths = np.array(sorted(hist))
-    need = np.array([hist[int(x)] for x in lengths], float)
-    covered, x, bound = np.zeros(len(lengths)), defaultdict(float), 0.0
-    for step_ in range(rounds):
-        open_ = covered < need - 1e-9
-        if not open_.any():
-            break
-        y = lengths * np.exp(-eta * covered / need)
-        if step_ % 20 == 0:  # any weights give a bound: y over the best configuration's value is dual feasible
-            bound = max(bound, float((y * need).sum() / knapsack(lengths, y, capacity)[0][capacity]))
+    while capacity > 0:
+        k = int(last[capacity])
+        if k:
+            out[k] += 1
+        capacity -= k or 1
+    return out
+
+
+def solve(hist: dict[int, int], capacity: int = CAPACITY, eta: float = ETA, near: float = NEAR) -> tuple[dict[tuple, float], float]:
+    """Fractional solution {configuration: sequences} that covers every length exactly,
+    and a lower bound of the program (its best dual value).
+
+    A round prices once: the knapsack table holds the best configuration with each open
+    length, too. Of these, all within ``near`` of the best are taken, until one of their
+    lengths is covered; so a step covers at least one length, the solution has at most
+    as many configurations as lengths, and the rounds end when all are covered.
+    """
+    need = np.zeros(capacity + 1)
+    for length, n in hist.items():
+        need[length] = n
+    size, left, x, bound, rounds = np.arange(capacity + 1.0), need.copy(), defaultdict(float), 0.0, 0
+    while (left > 0).any():
+        y = size * np.exp(-eta * (1 - left / np.maximum(need, 1)))
+        if rounds % 20 == 0:  # any weights give a bound: y over the best configuration's value is dual feasible
+            bound = max(bound, float((y * need).sum() / knapsack(np.where(need > 0, y, -np.inf), capacity)[0][capacity]))
+        rounds += 1
         # Pricing over what is still open, so that no length is covered twice.
-        idx = np.flatnonzero(open_)
-        best, last = knapsack(lengths[idx], y[idx], capacity)
-        config = trace(lengths[idx], last, best, capacity)
-        left = {k: need[idx[k]] - covered[idx[k]] for k in config}
-        step = min(left[k] / a for k, a in config.items())
-        x[tuple((int(lengths[idx[k]]), a) for k, a in sorted(config.items(), reverse=True))] += step
-        for k, a in config.items():
-            covered[idx[k]] += step * a
+        best, last = knapsack(np.where(left > 0, y, -np.inf), capacity)
+        lengths = np.flatnonzero(left > 0)
+        gain = y[lengths] + best[capacity - lengths]
+        order = np.argsort(-gain, kind="stable")
+        for length in lengths[order[gain[order] >= (1 - near) * gain.max()]].tolist():
+            config = trace(last, capacity - length)
+            config[length] += 1
+            step = min(left[k] / a for k, a in config.items())
+            if step <= 0:
+                continue
+            x[tuple(sorted(config.items(), reverse=True))] += step
+            for k, a in config.items():
+                left[k] -= step * a
+                if left[k] < 1e-9 * need[k]:
+                    left[k] = 0
     return dict(x), bound
 
 
-def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Best-fit decreasing on counts: groups (contents [(length, copies)], sequences)."""
-    open_: dict[int, list[tuple[list[tuple[int, int]], int]]] = defaultdict(list)
+def rounded(x: dict[tuple, float], left: dict[int, int]) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole sequences of the configurations of ``x``, taken out of ``left``: first their
+    whole parts, then one more of each that what is left still holds, largest
+    remainders of at least a half first, then the fullest; one, less what is missing,
+    if there are none."""
+    got: dict[tuple, int] = defaultdict(int)
+
+    def take(config: tuple, most: int) -> None:
+        m = min(most, *(left.get(k, 0) // a for k, a in config))
+        if m > 0:
+            got[config] += m
+            for k, a in config:
+                left[k] -= m * a
+
+    order = sorted(x, key=lambda c: (-sum(k * a for k, a in c), -x[c], c))
+    for config in order:
+        take(config, int(x[config] + 1e-9))
+    for config in sorted(order, key=lambda c: -(x[c] % 1)):
+        if x[config] % 1 >= 0.5:
+            take(config, 1)
+    for config in order:
+        take(config, 1)
+    if not got:
+        take(tuple((k, min(a, left[k])) for k, a in order[0]), 1)
+    for k in [k for k, n in left.items() if not n]:
+        del left[k]
+    return [(list(c), m) for c, m in got.items()]
+
+
+def best_fit_decreasing(hist: dict[int, int], capacity: int, started: Groups = ()) -> Groups:
+    """Best-fit decreasing on counts, into the room of ``started`` first: groups
+    (contents [(length, copies)], sequences)."""
+    open_: dict[int, Groups] = defaultdict(list)
+    for contents, m in started:
+        open_[capacity - sum(k * a for k, a in contents)].append((contents, m))
     for length in sorted(hist, reverse=True):
         n = hist[length]
         rooms = sorted(r for r in open_ if r >= length and open_[r])
@@ -247,26 +296,26 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[list[
     return [g for room in open_.values() for g in room]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[list[tuple[int, int]], int]], float]:
+def plan(hist: dict[int, int], capacity: int = CAPACITY, share: int = SHARE) -> tuple[Groups, float]:
     """Groups of sequences that hold every length of ``hist`` exactly, and the lower
-    bound of the program plus the full sequences."""
+    bound of the program plus the full sequences. Solved and rounded again for what the
+    rounding leaves, until that is at most one piece in ``share``; best-fit decreasing
+    puts these into the room that is left. Plain best-fit decreasing is taken only where it
+    needs fewer sequences."""
     left = {int(k): int(v) for k, v in hist.items() if v}
+    plain = best_fit_decreasing(left, capacity)
     full = left.pop(capacity, 0)
-    groups: list[tuple[list[tuple[int, int]], int]] = [([(capacity, 1)], full)] if full else []
-    bound = 0.0
-    if left:
-        x, bound = solve(left, capacity, rounds)
-        for config, m in sorted(x.items()):
-            whole = min([int(m + 1e-9), *(left[k] // a for k, a in config)])
-            if whole:
-                groups.append((list(config), whole))
-                for k, a in config:
-                    left[k] -= whole * a
-        groups += best_fit_decreasing({k: v for k, v in left.items() if v}, capacity)
-    return groups, bound + full
-
-
-def placements(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
+    groups: Groups = [([(capacity, 1)], full)] if full else []
+    total, bound = sum(left.values()), 0.0
+    while sum(left.values()) * share > total:
+        x, b = solve(left, capacity)
+        bound = bound or b
+        groups += rounded(x, left)
+    groups = best_fit_decreasing(left, capacity, groups)
+    return min(groups, plain, key=lambda g: sum(m for _, m in g)), bound + full
+
+
+def placements(groups: Groups) -> dict[str, np.ndarray]:
     """For ranks first.. of a length: copies in a sequence, first sequence, offset there."""
     used: dict[int, int] = defaultdict(int)
     rows, base = [], 0
@@ -302,11 +351,11 @@ def ranked_in_length(pieces: DataFrame, hist: dict[int, int]) -> DataFrame:
             .withColumn("rank_", F.col("before_") + F.col("in_") - 1))
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS,
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, share: int = SHARE,
                 report: Callable[[dict], None] | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     hist = dict(pieces.groupBy("length").count().collect())
-    groups, bound = plan(hist, capacity, rounds)
+    groups, bound = plan(hist, capacity, share)
     if report:
         report({"sequences": sum(m for _, m in groups), "lower_bound": bound, "groups": len(groups)})
     p = placements(groups)
