@@ -41,3 +41,11 @@ def slices(batch, rows: int = SLICE_ROWS) -> Iterator:
     """Consecutive pieces of an Arrow record batch."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

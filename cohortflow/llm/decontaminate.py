@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import checkpoint, slices
+from cohortflow.llm.common import checkpoint, free_name, slices
 
 WINDOW, K = 10, 5
 BITMAP_BITS = 1 << 22
@@ -239,5 +239,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """``docs`` without the documents that hold a benchmark window; all columns stay."""
     _, hits = contaminated_spans(docs, benchmark, window, k)
     bad = hits.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
-    d = docs.withColumn("text_hash__", F.xxhash64("text"))
-    return d.join(bad, d["doc_id"].eqNullSafe(bad["id_"]) & (d["text_hash__"] == bad["hash_"]), "left_anti").drop("text_hash__")
+    hash_ = free_name(docs, "text_hash__")
+    d = docs.withColumn(hash_, F.xxhash64("text"))
+    return d.join(bad, d["doc_id"].eqNullSafe(bad["id_"]) & (d[hash_] == bad["hash_"]), "left_anti").drop(hash_)

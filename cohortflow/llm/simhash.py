@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import checkpoint, slices
+from cohortflow.llm.common import checkpoint, free_name, slices
 from cohortflow.llm.components import connected_components
 
 SEED = 42
@@ -261,6 +261,7 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = rows.groupBy("root").agg(F.min(key).alias("k"))
     ids = kept.select(F.col("k.doc_id").alias("id_"), F.col("k.text_hash").alias("hash_"))
-    d = docs.withColumn("text_hash__", F.xxhash64("text"))
-    one = d.join(ids, d["doc_id"].eqNullSafe(ids["id_"]) & (d["text_hash__"] == ids["hash_"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "text_hash__"]).drop("text_hash__")
+    hash_ = free_name(docs, "text_hash__")
+    d = docs.withColumn(hash_, F.xxhash64("text"))
+    one = d.join(ids, d["doc_id"].eqNullSafe(ids["id_"]) & (d[hash_] == ids["hash_"]), "left_semi")
+    return one.dropDuplicates(["doc_id", hash_]).drop(hash_)
