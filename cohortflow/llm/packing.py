@@ -40,7 +40,7 @@ SHARE = 20
 #: Words whose ids a task keeps; a cache only, what is not in it is encoded again.
 CACHE_WORDS = 250_000
 #: Texts that are looked up together.
-TEXTS = 1024
+TEXTS = 256
 #: Marks that the pattern parts from the letters before them (no apostrophe: contractions are words of their own).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The byte alphabet of the model: printable Latin-1 characters stand for themselves,
