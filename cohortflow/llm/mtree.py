@@ -276,8 +276,11 @@ class Index:
     def _round(self, queries: DataFrame, blocks: int, first: bool) -> DataFrame:
         visits = queries.mapInArrow(_visits(self.routers, self.radius, self.top, self.dims, first),
                                     "query_id long, v binary, best long, cell int, to_router double")
-        visits = visits.join(self.parts, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        trees = self.trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        visits = checkpoint(visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
+        # A tree goes only to the blocks of which some query visits its cell.
+        wanted = visits.select("cell", "block").distinct().withColumnRenamed("block", "wanted")
+        trees = self.trees.join(wanted, "cell").withColumnRenamed("wanted", "block")
+        visits = visits.join(self.parts, "cell")
         key = ["cell", "part", "block"]
         return visits.groupBy(*key).cogroup(trees.groupBy(*key)).applyInPandas(
             _searched(self.k, self.dims), "query_id long, vec_id long, score long")
