@@ -12,6 +12,8 @@ from cohortflow.session import cut_lineage
 
 #: Rows handed to numpy code at a time; bounds the Python memory of a task.
 SLICE_ROWS = 256
+#: Equal rows that stay together where rows are numbered.
+COPIES = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +51,18 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Distinct rows with ``copies_``, COPIES at most: rows that repeat more often are several
+    blocks, told apart by ``block_``, so that they hash apart. Null values are equal."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_ - 1) div {COPIES}"))).alias("block_")
+    every = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n_")).select("*", blocks)
+    return every.select(*rows.columns, "block_", F.least(F.lit(COPIES), F.col("n_") - F.col("block_") * COPIES).alias("copies_"))
+
+
+def unfolded(blocks: DataFrame, first: str) -> DataFrame:
+    """The rows behind ``blocks`` of ``counted``; column ``first``, the number of a block's
+    first row, counts on over its copies."""
+    n = F.explode(F.sequence(F.col(first), F.col(first) + F.col("copies_") - 1))
+    return blocks.withColumn(first, n).drop("block_", "copies_")

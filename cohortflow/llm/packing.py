@@ -1,7 +1,7 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
-Documents are tokenised once; the pieces (no text) are written and counted by
-length. Only that histogram (2048 counts at most) reaches the driver. The
+Documents are tokenised once; the pieces (no text) are written, equal ones as
+blocks with a count, and counted by length. Only that histogram (2048 counts at most) reaches the driver. The
 covering program  min sum x_c  with  sum_c a_cl x_c >= n_l  over all multisets
 c of lengths that fit a sequence is solved by multiplicative weights: weights
 y_l fall as length l gets covered, and the next configurations are the best
@@ -13,7 +13,7 @@ on the capacity alone. Each piece finds its place from its rank among the
 pieces of its length.
 
 Null text counts as empty: one piece of length 1 (id 0). Repeated rows are
-packed each. An empty table gives no rows. Extra columns are not read. White
+packed each, however many are equal. An empty table gives no rows. Extra columns are not read. White
 space other than blanks and newlines stays inside a cached word and is left to
 the tokenizer, so ids equal those of the whole text.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import checkpoint, shuffle_partitions, slices
+from cohortflow.llm.common import checkpoint, counted, shuffle_partitions, slices, unfolded
 
 CAPACITY = 2048
 #: Rate at which weights fall, and the share of the best price that a step may lack.
@@ -38,7 +38,7 @@ ETA, NEAR = 0.3, 0.005
 #: One piece in so many at most is left to best-fit decreasing.
 SHARE = 20
 #: Words whose ids a task keeps; a cache only, what is not in it is encoded again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Texts that are looked up together.
 TEXTS = 256
 #: Marks that the pattern parts from the letters before them (no apostrophe: contractions are words of their own).
@@ -330,31 +330,34 @@ def placements(groups: Groups) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "copies", "base", "offset"), table.T))
 
 
-def ranked_in_length(pieces: DataFrame, hist: dict[int, int]) -> DataFrame:
-    """``rank_`` from 0 among the pieces of a length. A length that many pieces
-    share is split into hashed buckets in proportion to its share, and the rank is
-    the bucket's offset plus the rank inside; the offsets (lengths + 2 x
-    partitions rows at most) are all that the driver sees."""
-    spark, total = pieces.sparkSession, max(1, sum(hist.values()))
-    parts = 2 * shuffle_partitions(pieces)
+def ranked_in_length(blocks: DataFrame, hist: dict[int, int]) -> DataFrame:
+    """The pieces behind ``blocks`` (of ``counted``) with ``rank_`` from 0 among the pieces
+    of a length. A length that many pieces share is split into hashed buckets in proportion
+    to its share, and the rank is the bucket's offset plus the rank inside; the offsets
+    (lengths + 2 x partitions rows at most) are all that the driver sees. Equal pieces
+    are blocks of bounded size and hash apart, too."""
+    spark, total = blocks.sparkSession, max(1, sum(hist.values()))
+    parts = 2 * shuffle_partitions(blocks)
     split = spark.createDataFrame([(k, 1 + v * parts // total) for k, v in hist.items()] or [(0, 1)], "length long, split_ long")
-    keyed = pieces.join(F.broadcast(split), "length").withColumn(
-        "bucket_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("split_")))
-    counts = sorted(tuple(r) for r in keyed.groupBy("length", "bucket_").count().collect())
+    order = ["doc_id", "piece", "ids_crc32", "block_"]
+    keyed = blocks.join(F.broadcast(split), "length").withColumn("bucket_", F.pmod(F.xxhash64(*order), F.col("split_")))
+    counts = sorted(tuple(r) for r in keyed.groupBy("length", "bucket_").agg(F.sum("copies_")).collect())
     offsets, before = [], defaultdict(int)
     for length, bucket, n in counts:
         offsets.append((length, bucket, before[length]))
         before[length] += n
     at = spark.createDataFrame(offsets or [(0, 0, 0)], "length long, bucket_ long, before_ long")
-    w = Window.partitionBy("length", "bucket_").orderBy("doc_id", "piece", "ids_crc32")
-    return (keyed.withColumn("in_", F.row_number().over(w)).join(F.broadcast(at), ["length", "bucket_"])
-            .withColumn("rank_", F.col("before_") + F.col("in_") - 1))
+    w = Window.partitionBy("length", "bucket_").orderBy(*order, "start").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed.withColumn("through_", F.sum("copies_").over(w)).join(F.broadcast(at), ["length", "bucket_"])
+    return unfolded(ranked.withColumn("rank_", F.col("before_") + F.col("through_") - F.col("copies_")), "rank_")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, share: int = SHARE,
                 report: Callable[[dict], None] | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
-    hist = dict(pieces.groupBy("length").count().collect())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    blocks = checkpoint(counted(pieces.select(names)))
+    hist = dict(blocks.groupBy("length").agg(F.sum("copies_")).collect())
     groups, bound = plan(hist, capacity, share)
     if report:
         report({"sequences": sum(m for _, m in groups), "lower_bound": bound, "groups": len(groups)})
@@ -371,9 +374,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, share: int = SHARE,
             yield out.append_column("sequence_id", pa.array(p["base"][at] + r // copies)).append_column(
                 "offset", pa.array(p["offset"][at] + r % copies * length))
 
-    ranked = ranked_in_length(pieces, hist).select("doc_id", "piece", "start", "length", "ids_crc32", "rank_")
+    ranked = ranked_in_length(blocks, hist).select(*names, "rank_")
     return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, **more) -> DataFrame:
-    return pack_pieces(checkpoint(token_pieces(docs, capacity, path)), capacity, **more)
+    return pack_pieces(token_pieces(docs, capacity, path), capacity, **more)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import checkpoint
+from cohortflow.llm.common import checkpoint, counted, unfolded
 
 ROUNDS = 6
 #: Under a = ceil(sqrt n) numbers of the domain lie outside 0..n-1, each met
@@ -77,32 +77,35 @@ def shard_slot(number: Column, n: int, shards: int, seed: int = 0) -> Column:
     )
 
 
-def number_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+def number_rows(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows`` with ``row_number_`` from 0 without gaps, and the row count.
 
-    Rows are spread over BUCKETS by a hash of all keys and numbered by rank
-    inside a bucket plus the rows of the buckets before; only the bucket
-    counts (BUCKETS at most) reach the driver.
+    Equal rows are counted first and cut into blocks of bounded size, so however
+    often a row repeats, its copies spread. Blocks go to BUCKETS by a hash of all
+    columns and are numbered by the rows before them in the bucket plus those of the
+    buckets before; only the bucket counts (BUCKETS at most) reach the driver.
     """
-    rows = rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-    counts = dict(rows.groupBy("bucket_").count().collect())
+    keys = [*rows.columns, "block_"]
+    blocks = checkpoint(counted(rows)).withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    counts = dict(blocks.groupBy("bucket_").agg(F.sum("copies_")).collect())
     offsets, total = [], 0
     for k in sorted(counts):
         offsets.append((k, total))
         total += counts[k]
     at = rows.sparkSession.createDataFrame(offsets, "bucket_ int, offset_ long")
-    ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("bucket_").orderBy(*keys)))
-    out = ranked.join(F.broadcast(at), "bucket_").withColumn("row_number_", F.col("offset_") + F.col("rank_") - 1)
-    return out.drop("bucket_", "offset_", "rank_"), total
+    through = F.sum("copies_").over(Window.partitionBy("bucket_").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = blocks.withColumn("through_", through).join(F.broadcast(at), "bucket_")
+    out = ranked.withColumn("row_number_", F.col("offset_") + F.col("through_") - F.col("copies_"))
+    return unfolded(out.drop("bucket_", "offset_", "through_"), "row_number_"), total
 
 
 def feistel_shards(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, row_number_, shard, slot of every document."""
-    rows = checkpoint(docs.select(
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-    ))
-    numbered, n = number_rows(rows, ["doc_id", "text_crc32", "size"])
+    )
+    numbered, n = number_rows(rows)
     placed = numbered.withColumn("at_", shard_slot(F.col("row_number_"), n, shards, seed))
     return placed.select("doc_id", "size", "text_crc32", "row_number_", "at_.shard", "at_.slot")
