@@ -38,7 +38,7 @@ ETA, NEAR = 0.3, 0.005
 #: One piece in so many at most is left to best-fit decreasing.
 SHARE = 20
 #: Words whose ids a task keeps; a cache only, what is not in it is encoded again.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 #: Texts that are looked up together.
 TEXTS = 256
 #: Marks that the pattern parts from the letters before them (no apostrophe: contractions are words of their own).
@@ -66,7 +66,7 @@ class WordIds:
     that ends a word.
     """
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, cache_words: int | None = None) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -79,7 +79,7 @@ class WordIds:
         self.bare = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.words, self.letters = _Kept(), _Kept()
+        self.words, self.letters = _Kept(cache_words or CACHE_WORDS), _Kept(cache_words or CACHE_WORDS)
 
     def _single(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -119,14 +119,15 @@ class WordIds:
 
 
 class _Kept:
-    """A bounded memory of ids by text: the last CACHE_WORDS new entries, and those used since."""
+    """A bounded memory of ids by text: the last ``most`` new entries, and those used since."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def turn(self) -> dict[str, bytes]:
-        if len(self.new) > CACHE_WORDS:
+        if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         return self.new
 
@@ -138,20 +139,23 @@ class _Kept:
         return out
 
 
-_WORD_IDS: dict[str | None, WordIds] = {}
+_WORD_IDS: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str | None) -> WordIds:
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+def word_ids(path: str | None, cache_words: int | None = None) -> WordIds:
+    key = path, cache_words
+    if key not in _WORD_IDS:
+        _WORD_IDS.clear()  # a worker keeps one
+        _WORD_IDS[key] = WordIds(path, cache_words)
+    return _WORD_IDS[key]
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Every document's pieces: ids, then id 0, cut only where longer than ``capacity``."""
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, cache_words: int | None = None) -> DataFrame:
+    """Every document's pieces: ids, then id 0, cut only where longer than ``capacity``;
+    ``cache_words`` bounds the memory of a task for the price of time, results are the same."""
 
     def run(batches):
-        coder = word_ids(path)
+        coder = word_ids(path, cache_words)
         for batch in batches:
             for part in slices(batch, TEXTS):
                 rows: list[tuple] = []
@@ -378,5 +382,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, share: int = SHARE,
     return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, **more) -> DataFrame:
-    return pack_pieces(token_pieces(docs, capacity, path), capacity, **more)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, cache_words: int | None = None, **more) -> DataFrame:
+    return pack_pieces(token_pieces(docs, capacity, path, cache_words), capacity, **more)

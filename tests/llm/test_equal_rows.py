@@ -33,7 +33,7 @@ def test_shards_of_equal_rows(hot):
 
 
 def test_packing_of_equal_rows(hot):
-    got = packing.pack_documents(hot, capacity=64).collect()
+    got = packing.pack_documents(hot, capacity=64, cache_words=5).collect()
     assert sum(r.doc_id is None for r in got) == 100 and sum(r.doc_id == 1 for r in got) == 99
     ends = {}
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
