@@ -13,7 +13,8 @@ another licence's template explains as well (a clause they share) is not confirm
 What lies before and after a confirmed span is scanned again.
 
 A row is a notice: ``block`` is its first line, ``text`` its lines (the span alone in
-lines longer than LONG). ``n_different`` counts words that one side has and the other
+lines longer than LONG; what such a line holds beside its notices is a candidate like
+any line). ``n_different`` counts words that one side has and the other
 lacks; ``exact`` means that the words of the row are a run of the template's words.
 Other candidate lines (a shared run that saves GAIN of the bytes, or a word that
 licence notices use, CUES) give a row of null license with the best-ranked template,
@@ -39,7 +40,7 @@ from cohortflow.llm.common import slices
 #: Share of words that may differ, and words in a row that must be the same.
 DIFFERENT, RUN = 0.25, 4
 LEVEL = 9
-#: Words between two shared runs of one region, words of a region (the longest notice has 230), characters of a line given whole.
+#: Words between two shared runs of one region, words of a region (the longest notice has 230), characters of a line given whole with its notice.
 GAP, REGION, LONG = 40, 800, 4000
 #: Share of bytes that a line of a shared run, without a cue and unconfirmed, saves at least to give a row.
 GAIN = 0.2
@@ -286,7 +287,7 @@ class Scanner:
                 regions[-1][1] = p + 1
             else:
                 regions.append([p, p + 1])
-        out, taken, open_words = [], set(), set()
+        out, taken, open_words = [], {}, set()
         todo = [tuple(r) for r in reversed(regions)]
         hit = set(where)
         while todo:
@@ -303,30 +304,37 @@ class Scanner:
                 exact = one and not different and len(words(shown)) == b - a
                 best = self.templates[self.ranked(shown)[0][1]][0]
                 out.append((t.line[a], shown, name, best, round(saved, 4), same + different, different, exact))
-                taken.update(t.line[a:b])
+                for x in range(t.line[a], t.line[b - 1] + 1):
+                    ends = (t.first[a] if x == t.line[a] else 0, t.end[b - 1] if x == t.line[b - 1] else len(lines[x]))
+                    taken.setdefault(x, []).append(ends)
                 todo += [(b, end), (lo, a)]
             else:
                 cut = hi if hi == end else lo + REGION // 2
                 open_words.update(p for p in inside if p < cut)
                 todo.append((cut, end))
         # Candidates that no template confirms: neighbouring lines in one row.
-        places: dict[int, list[int]] = {}
-        for p in open_words:
-            places.setdefault(t.line[p], []).append(p)
-        free = sorted(({k for k, line in enumerate(lines) if _CUES.search(line)} | set(places)) - taken)
+        free = sorted(({k for k, line in enumerate(lines) if _CUES.search(line)} | {t.line[p] for p in open_words}) - set(taken))
         groups: list[list[int]] = []
         for k in free:
             if groups and k == groups[-1][1] + 1:
                 groups[-1][1] = k
             else:
                 groups.append([k, k])
-        for a, b in groups:
-            shown = "\n".join(line if len(line) <= LONG else self._around(line, t, places.get(a + x, [])) for x, line in enumerate(lines[a : b + 1]))
-            (saved, k), *_ = self.ranked(shown)
+        rest = [(a, "\n".join(lines[a : b + 1])) for a, b in groups]
+        # What a long line holds beside its notices.
+        for k, ends in taken.items():
+            if len(lines[k]) > LONG:
+                ends = sorted(ends)
+                places = [t.first[p] for p in open_words if t.line[p] == k]
+                for lo, hi in zip([0, *[e for _, e in ends]], [*[b for b, _ in ends], len(lines[k])]):
+                    part = lines[k][lo:hi].strip()
+                    if part and (_CUES.search(part) or any(lo <= p < hi for p in places)):
+                        rest.append((k, part))
+        for a, shown in rest:
+            (saved, k), *_ = self.ranked(shown) if len(shown) <= LONG else self.ranked.__wrapped__(shown)
             if saved < GAIN and not _CUES.search(shown):
                 continue
-            mine = Words(shown.split("\n"))
-            same, different = max(((s[1], s[2]) for s in self.spans(mine, 0, min(len(mine.word), REGION), k)), key=lambda s: s[0] - s[1], default=(0, 0))
+            same, different = self._nearest(Words(shown.split("\n")), k)
             out.append((a, shown, None, self.templates[k][0], round(saved, 4), same + different, different, False))
         return sorted(out, key=lambda r: r[0])
 
@@ -344,13 +352,19 @@ class Scanner:
             return self._text(lines, t, a, b)
         return "\n".join(lines[x : y + 1])
 
-    @staticmethod
-    def _around(line: str, t: Words, places: list[int]) -> str:
-        """The part of a long line with its shared runs, or around its first cue."""
-        if places:
-            return line[t.first[min(places)] : t.end[max(places)]][:LONG]
-        at = _CUES.search(line).start()
-        return line[max(0, at - LONG // 4) : at + LONG // 4]
+    def _nearest(self, t: Words, k: int) -> tuple[int, int]:
+        """(same, differing) words of the best span of all of t in a notice of template k. Windows of REGION
+        words overlap by half, more than a span of the longest notice can take."""
+        runs = {tuple(v.word[x : x + RUN]) for v in self.templates[k][2] for x in range(max(1, len(v.word) - RUN + 1))}
+        sizes = {len(r) for r in runs}
+        places = [p for p in range(len(t.word)) if any(tuple(t.word[p : p + n]) in runs for n in sizes)]
+        best = (0, 0)
+        for lo in sorted({max(0, p // (REGION // 2) - x) * (REGION // 2) for p in places for x in (0, 1)}):
+            if lo and lo + REGION // 2 >= len(t.word):
+                continue  # the window before holds it
+            for s in self.spans(t, lo, min(len(t.word), lo + REGION), k):
+                best = max(best, (s[1], s[2]), key=lambda s: s[0] - s[1])
+        return best
 
 
 _SCANNERS: dict[tuple, Scanner] = {}

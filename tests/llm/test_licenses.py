@@ -76,3 +76,23 @@ def test_every_text_is_looked_at(spark):
     docs = spark.createDataFrame([row(1, prose(4) + "\n" + "\n".join(lines)), row(2, "CC0 1.0 Universal"), row(3, prose(5)), row(4, None)], DOC_SCHEMA)
     got = {(r.doc_id, r.block): (r.license, r.text) for r in licenses.license_blocks(docs).collect()}
     assert got == {(1, 1): ("MIT", "\n".join(lines)), (2, 0): ("CC0-1.0", "CC0 1.0 Universal")}
+
+
+def test_a_long_line_is_shown_and_measured_whole(scanner):
+    head = "copyright of the town " + prose(3, 1500).replace("\n", " ")
+    mit = last("MIT").split()[3:75]
+    notice = " ".join(" ".join(mit[k : k + 6]) + " apache" for k in range(0, len(mit), 6))  # no notice, for its marks
+    line = f"{head} {notice} {prose(4, 900)}".replace("\n", " ") + " all permissions end here"
+    assert len(line) > 3 * licenses.LONG
+    (got,) = scanner.scan(line)
+    assert got[2] is None and got[1] == line
+    assert got[5] >= 50  # the words beyond the first REGION are compared as well
+
+
+def test_what_follows_a_notice_in_a_long_line_is_a_candidate(scanner):
+    end = "Ask the owner for permission to print this."
+    line = f"{last('MIT')} {prose(5, 2000)} {end}".replace("\n", " ")
+    assert len(line) > licenses.LONG
+    got = scanner.scan(line)
+    assert [r[2] for r in got] == ["MIT", None]
+    assert got[1][1].endswith(end)
