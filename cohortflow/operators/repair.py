@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.exprs import join_null_safe
+from cohortflow.functions.exprs import join_null_safe, whole
 from cohortflow.functions.quantiles import median_map
 from cohortflow.operators.clean import is_numeric, nan_to_null
 
@@ -22,7 +22,7 @@ MAX_DECIMALS = 18
 
 def decimals_needed(x: Column) -> Column:
     """Fewest decimals d (0..18) with bround(x, d) == x; null for null."""
-    return F.coalesce(*[F.when(F.bround(x, d) == x, F.lit(d)) for d in range(MAX_DECIMALS + 1)],
+    return F.coalesce(*[F.when((F.bround(x, d) if d else whole(x)) == x, F.lit(d)) for d in range(MAX_DECIMALS + 1)],
                       F.lit(MAX_DECIMALS))
 
 
@@ -86,6 +86,22 @@ def _null_groups(syn: DataFrame, cols: Sequence[str], by: Sequence[str]) -> dict
     return holes
 
 
+def _distinct_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
+    """(by..., column, ``name``: distinct non-null values), by stacked values: what is shuffled
+    is a group, a column's name and one value, not a row of all columns for each of them."""
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        t = df.schema[c].dataType.simpleString()
+        kinds.setdefault("double" if t in ("double", "float") else "bigint" if not t.startswith("decimal") else "string", []).append(c)
+    counts = None
+    for kind, mine in kinds.items():
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("_v")) for c in mine])
+        part = df.select(*by, F.inline(pairs)).where(F.col("_v").isNotNull()).distinct().groupBy(*by, "column").agg(F.count(F.lit(1)).alias("_k"))
+        counts = part if counts is None else counts.unionByName(part)
+    each = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).select(*by, F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    return join_null_safe(each, counts, [*by, "column"], "left").select(*by, "column", F.coalesce("_k", F.lit(0)).alias(name))
+
+
 def match_precision(syn: DataFrame, params: DataFrame, unique_threshold: int = 1000,
                     skip: Sequence[str] = ("time", "status"), by: Sequence[str] = ()
                     ) -> tuple[DataFrame, DataFrame]:
@@ -125,15 +141,11 @@ def match_precision(syn: DataFrame, params: DataFrame, unique_threshold: int = 1
             e = F.bround(nan_to_null(F.col(c).cast("double")), d) if d > 0 else F.col(c)
             rule[c] = f"round:{d}"
         if rows[c]["real_is_int"]:
-            whole = F.bround(e, 0)
-            e = whole.cast("long") if holes[c] is None else F.when(holes[c], e.cast("double")).otherwise(whole.cast("double"))
+            near = whole(e.cast("double"))
+            e = near.cast("long") if holes[c] is None else F.when(holes[c], e.cast("double")).otherwise(near)
         exprs.append(e.alias(c))
     out = out.select(*exprs)
-    before = syn.groupBy(*by).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
-    after = out.groupBy(*by).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
-    b = before.unpivot(list(by), cols, "column", "syn_nuniq_before")
-    a = after.unpivot(list(by), cols, "column", "syn_nuniq_after")
-    report = join_null_safe(b, a, [*by, "column"])
+    report = join_null_safe(_distinct_counts(syn, cols, by, "syn_nuniq_before"), _distinct_counts(out, cols, by, "syn_nuniq_after"), [*by, "column"])
     table = syn.sparkSession.createDataFrame([(c, rule[c], int(rows[c]["real_nuniq"])) for c in cols],
                                              "column string, rule string, real_nuniq bigint")
     report = report.join(F.broadcast(table), "column")  # a row per column
@@ -172,7 +184,7 @@ def resolve_constraints(real: DataFrame, metadata: DataFrame | None = None,
     for c in cols:
         x = nan_to_null(F.col(c).cast("double"))
         aggs.append(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"),
-                             F.coalesce(F.bool_and(x == F.bround(x, 0)), F.lit(False)).alias("is_int")).alias(c))
+                             F.coalesce(F.bool_and(x == whole(x)), F.lit(False)).alias("is_int")).alias(c))
     inferred = real.agg(*aggs).unpivot([], cols, "column", "s").select(
         "column", F.when(F.col("s.is_int"), "int").otherwise("float").alias("i_dtype"),
         F.col("s.lo").alias("i_lo"), F.col("s.hi").alias("i_hi"))
@@ -220,8 +232,8 @@ def enforce_constraints(syn: DataFrame, constraints: DataFrame, by: Sequence[str
         below = F.count_if(x < lo) if lo is not None else F.lit(0)
         above = F.count_if(x > hi) if hi is not None else F.lit(0)
         if r["dtype"] == "int":
-            rounded = F.count_if(y != F.bround(y, 0))
-            y = F.bround(y, 0).cast("long")
+            rounded = F.count_if(y != whole(y))
+            y = whole(y).cast("long")
         else:
             rounded = F.lit(0)
         exprs.append(y.alias(c))
