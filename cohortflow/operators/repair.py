@@ -30,22 +30,21 @@ def fit_precision(real: DataFrame, cols: Sequence[str], unique_threshold: int =
     """B24/B25 fit: per column: real distinct count, decimals, integer type, and
     the sorted distinct values when there are at most ``unique_threshold``.
 
-    Two passes over the real rows: HyperLogLog sketches and the decimals of
-    every column; then ``collect_set`` only for the columns whose sketch is
-    near or under the threshold (its size is the exact count), so a
-    continuous column is never collected value by value.
+    The decimals of every column in one pass, the exact distinct count of every
+    column by stacked values; then ``collect_set`` only for the columns within the
+    threshold, so a continuous column is never collected value by value.
     """
     cols = [c for c in cols if c in real.columns and is_numeric(real, c)]
     wide = real.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    margin = int(unique_threshold * 1.5) + 10
-    first = wide.agg(*[F.approx_count_distinct(c).alias(f"a__{c}") for c in cols],
-                     *[F.max(decimals_needed(F.col(c))).alias(f"d__{c}") for c in cols]).first()
-    small = [c for c in cols if first[f"a__{c}"] <= margin]
+    first = wide.agg(*[F.max(decimals_needed(F.col(c))).alias(f"d__{c}") for c in cols]).first() if cols else {}
+    stacked = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("_v")) for c in cols]))) if cols else None
+    distinct = dict(stacked.where("_v IS NOT NULL").distinct().groupBy("column").count().collect()) if cols else {}  # a number a column
+    small = [c for c in cols if distinct.get(c, 0) <= unique_threshold]
     sets = wide.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in small]).first() if small else {}
     rows = []
     for c in cols:
         vals = list(sets[c]) if c in small else None
-        n = len(vals) if vals is not None else unique_threshold + 1
+        n = len(vals) if vals is not None else distinct[c]
         rows.append((c, n, first[f"d__{c}"], vals if n <= unique_threshold else None,
                      real.schema[c].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")))
     return real.sparkSession.createDataFrame(
